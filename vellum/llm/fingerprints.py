@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import hashed, lower_words, mix, rolling, rolling_raw, small_batches, utf8
+from .words import hashed, mix, rolling, rolling_raw, small_batches, utf8
 
 BINS, BITS, WIDTH = 256, 8, 5
 _BIN_BITS = BINS.bit_length() - 1
@@ -76,7 +76,7 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def signatures(texts: list[bytes]) -> list[np.ndarray | None]:
-    h, starts = hashed(lower_words(texts))
+    h, starts = hashed(texts)
     runs = rolling(h, WIDTH)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):

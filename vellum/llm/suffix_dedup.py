@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import hashed, lower_words, rolling, small_batches, utf8
+from .words import hashed, rolling, small_batches, utf8
 
 WINDOW, RUN = 50, 8
 HOT_BITS, HOT_ROW = 18, 4096
@@ -46,7 +46,7 @@ _HOT = "doc_id long, place long, h long"
 
 def _suffixes(texts: list[bytes], doc_ids: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
     """Kept suffixes: hash of the first words, doc_id, first window, count of windows; and all windows' hashes in order."""
-    h, starts = hashed(lower_words(texts))
+    h, starts = hashed(texts)
     keys, windows = rolling(h, run), rolling(h, window)
     width = window - run + 1
     low = (keys >> np.uint64(32) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64)
