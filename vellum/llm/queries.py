@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_extract, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup, warc
+from . import bpe, fingerprints, html_extract, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup, token_rollups, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollups.document_totals(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_token_rollups": op2_token_rollups,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_html_extract": op5_html_extract,
