@@ -4,9 +4,10 @@ Method: words and pairs of neighbouring words are hashed into 2^16 buckets.
 The raw corpus is one multinomial over the buckets, counted over all texts;
 the trusted target is another, counted over labelled documents of good quality
 that are not toxic. A text's score is the mean over its features of
-log p_trusted - log p_raw (both smoothed by adding 1), so length cancels out;
-a document is kept if no base rule rejects it and its score is at least
-MIN_SCORE, a constant.
+log p_trusted - log p_raw, so length cancels out. A bucket's trusted share is
+drawn to the corpus's by PRIOR features, so that what is seen seldom, as in
+the trusted documents alone, counts for little. A document is kept if no base
+rule rejects it and its score is at least MIN_SCORE, a constant.
 
 Sizes: the trusted ids are a bounded sample of labelled rows (TRUSTED_ROWS,
 smallest hash of doc_id first), so they can be broadcast; everything else reads
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 50_000
-MIN_SCORE = -0.06
+PRIOR = 30
+MIN_SCORE = -0.08
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[#*$%&|<>]+"
@@ -95,9 +97,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS) ->
     n_raw, n_target = (sum(x[k] for x in found.values()) for k in (0, 1))
     if not n_target:
         return F.split(F.lit(",".join(["0"] * BUCKETS)), ",").cast("array<double>")
-    shift = math.log(n_raw + BUCKETS) - math.log(n_target + BUCKETS)
+    share = n_target / n_raw
     every = (found.get(b, (0, 0)) for b in range(BUCKETS))
-    ratios = (math.log((target + 1) / (raw + 1)) + shift for raw, target in every)
+    ratios = (math.log((target + PRIOR * share) / ((raw + PRIOR) * share)) for raw, target in every)
     return F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
 
 
