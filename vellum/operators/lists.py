@@ -26,7 +26,8 @@ def nested_lists(elements: DataFrame, levels: int = LEVELS) -> DataFrame:
     smaller = F.slice("_last", F.lit(1), level)
     parent = F.array_max(F.filter(smaller, lambda x: x.isNotNull()))
     rows = rows.withColumn("parent_pos", parent.cast("int"))
-    # depth: how many of the last places of smaller levels stand in line, each behind all of those of still smaller levels
-    chain = F.aggregate(F.reverse(smaller), F.struct(F.lit(0).alias("n"), F.lit(1 << 30).alias("at")), lambda a, x: F.when(x.isNotNull() & (x < a["at"]), F.struct((a["n"] + 1).alias("n"), x.cast("int").alias("at"))).otherwise(a), lambda a: a["n"])
+    # an item's ancestors are those smaller levels whose last place comes behind the last of every still smaller one
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"))
+    chain = F.aggregate(smaller, start, lambda a, x: F.when(x > a["at"], F.struct((a["n"] + 1).alias("n"), x.cast("int").alias("at"))).otherwise(a), lambda a: a["n"])
     rows = rows.withColumn("depth", chain)
     return rows.select("doc_id", "list_id", "pos", "parent_pos", "depth", "text", "level", "list_type", "display_index")

@@ -1,0 +1,51 @@
+"""``spark.read.format("docx").load(path)``: packages of a local folder as rows of parts.
+
+For stores that only Spark's own readers open, use ``package.packages``.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .guards import PackageError
+from .package import Archive
+
+
+class DocxDataSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "docx"
+
+    def schema(self) -> str:
+        return "doc_id string, part_name string, size bigint, bytes binary, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"])
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://")
+
+    def partitions(self) -> list[InputPartition]:
+        files = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(f"{self.path}/**/*.docx", recursive=True))
+        return [InputPartition(x) for x in files]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        try:
+            with open(partition.value, "rb") as f:
+                archive = Archive(f.read())
+            for name in sorted(set(archive.names)):
+                data = archive.read(name)
+                yield partition.value, name, len(data), data, None
+        except (OSError, PackageError) as e:
+            yield partition.value, None, None, None, str(e)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(DocxDataSource)
