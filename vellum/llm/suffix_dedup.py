@@ -26,6 +26,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,16 +267,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column holds the spans of each row's text."""
     for batch in batches:
         k = batch.schema.get_field_index("text")
-        texts = [cut(t, [(s["start_word"], s["n_words"]) for s in spans]) if spans and t else t for t, spans in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)]
+        last = batch.num_columns - 1
+        texts = [cut(t, [(s["start_word"], s["n_words"]) for s in spans]) if spans and t else t for t, spans in zip(batch[k].to_pylist(), batch[last].to_pylist(), strict=True)]
         batch = batch.set_column(k, "text", pa.array(texts, batch.schema.field(k).type))
-        yield batch.drop_columns(["_spans"])
+        yield batch.select(range(last))
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with the copies of repeated spans cut from their texts (and n_chars set anew, where there is one)."""
-    spans = repeated_spans(docs, **options).where("NOT is_source").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, "_spans")
-    out = joined.mapInArrow(_cut_rows, docs.schema)
+    own, spans = (f"_{k}_{uuid.uuid4().hex}" for k in ("id", "spans"))  # names that docs does not have
+    found = repeated_spans(docs, **options).where("NOT is_source").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(spans))
+    out = docs.join(found, docs["doc_id"] == found[own], "left").select(*docs.columns, spans).mapInArrow(_cut_rows, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
