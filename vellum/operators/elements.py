@@ -146,7 +146,11 @@ def classify(items: DataFrame) -> DataFrame:
 
 
 def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_targets: bool = False) -> DataFrame:
-    """The element stream of parsed packages, ordered by (doc_id, pos)."""
+    """The element stream of parsed packages, ordered by (doc_id, pos).
+
+    Several branches (tables, sections, body) read parsed: persist it, or write
+    it, so that packages are unpacked once.
+    """
     nested = resolved_items(parsed, honor_start_override, normalise_targets)
     rows = nested.where(_style_error().isNull()).select("doc_id", F.inline("items"))
     rows = rows.select("*", "style.list", "style.heading").drop("style")

@@ -188,7 +188,8 @@ def zip_guards(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return package.parse_packages(writer.write_packages(stream(spark, sf_dir)))
+    # several branches of the element plan read it
+    return package.parse_packages(writer.write_packages(stream(spark, sf_dir))).persist()
 
 
 def docx_roundtrip_elements(spark, sf_dir):

@@ -28,14 +28,21 @@ def package_stream(spark: SparkSession, path: str, glob: str = "*.docx", max_fil
     return source.load(path).select(F.col("path").alias("doc_id"), "path", F.col("modificationTime").alias("modification_time"), "length", "content")
 
 
-def chunk_batch(packages: DataFrame) -> DataFrame:
-    return rag_chunks(elements(parse_packages(packages)))
+def chunk_batch(parsed: DataFrame) -> DataFrame:
+    return rag_chunks(elements(parsed))
 
 
 def write_stream(packages: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = chunk_batch) -> DataStreamWriter:
-    """A writer that appends transform's rows; a batch that is tried again replaces what it wrote before."""
+    """A writer that appends transform's rows of parsed packages; a batch that is tried again replaces what it wrote.
+
+    The parsed rows of a micro-batch are kept while it runs, since several branches read them.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        parsed = parse_packages(batch).persist()
+        try:
+            transform(parsed).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            parsed.unpersist()
 
     return packages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
