@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, html_extract, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup, token_rollups, warc
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +64,3 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
-
-ORACLE_SQL: dict[str, str] = {}
