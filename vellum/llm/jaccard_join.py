@@ -7,18 +7,23 @@ sets with identical prefixes and sizes become one group, and only groups go
 into the inverted index on prefix members. Group pairs are filtered by size
 and position, then expanded to members and verified on whole sets.
 
-No group emits all its pairs. Within the sorted list of an index key, each
-entry is first compared with the leader of its size range, which a chain of
-leaders covers; the links found make components. A second round takes every
-list in which members of different components are left, and compares exactly
-those members, so that no link between components is lost and none within a
-component is tried twice.
-
-Sizes: the order comes from a sketch of fixed size (2^18 counters) over all
+No group emits all its pairs. Within the sorted list of an index key each
+entry has a leader, the first one whose size allows a link; an entry is first
+verified against the leader it shares most keys with, which gives components
+of copies at one comparison a text. Every list that then still holds different
+components is taken up again: twice with the likeliest pair of each component,
+and last with all pairs of entries whose components differ, so that no link
+between components is lost and none within a component is tried. Before texts
+are compared, bit parities of the sets (four to eight bits for each member)
+bound the overlap from above and drop pairs that cannot link.
+
+Sizes: the order comes from a sketch of fixed size (2^20 counters) over all
 texts; index entries travel as packed arrays, one blob for each index part and
 batch; texts travel only for the candidates that a fixed-size Bloom filter of
 candidate ids lets through (it saturates at scale and then merely stops
-saving). All tables between steps are in spark.checkpoint.dir.
+saving). All tables between steps are in spark.checkpoint.dir. The list of a
+very common key that stands in many prefixes all the same is taken up by one
+task; the order by frequency keeps such keys out of all but short texts.
 
 Cases: a null or blank text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; rows that share a doc_id are one node; a
@@ -28,6 +33,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +44,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import connected_components
-from .words import mix, shingle_sets, small_batches, utf8
+from .words import mix, opened, shingle_sets, small_batches, squeezed, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SKETCH_ROW = 4096
 BLOOM_BITS = 23
 
@@ -61,15 +67,12 @@ def prefix_length(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
 
 def _sketch_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         low = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for piece in small_batches(batch, "text"):
                 for s in shingle_sets(utf8(piece["text"]), width):
-                    if len(s) > 1 << 14:
-                        counts += np.bincount((s & low).astype(np.int64), minlength=len(counts))
-                    else:
-                        np.add.at(counts, (s & low).astype(np.int64), 1)
+                    np.add.at(counts, (s & low).astype(np.int64), 1)
         if counts.any():
             parts = counts.reshape(-1, SKETCH_ROW)
             yield pa.RecordBatch.from_pydict({"row": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
@@ -78,29 +81,55 @@ def _sketch_rows(width: int):
 
 
 def _sketch_sum(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
-    return pa.table({"row": table["row"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.sum([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()], axis=0, dtype=np.int64)
+    return pa.table({"row": table["row"][:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
 def shingle_sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How many (text, shingle) pairs fall on each of 2^18 buckets, over all texts. 2 MB, whatever the input."""
+    """How many (text, shingle) pairs fall on each of 2^20 buckets, over all texts. 8 MB, whatever the input."""
     rows = docs.select("text").mapInArrow(_sketch_rows(width), "row int, counts binary")
     rows = rows.groupBy("row").applyInArrow(_sketch_sum, "row int, counts binary").collect()
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.int64).reshape(-1, SKETCH_ROW)
+    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.uint32).reshape(-1, SKETCH_ROW)
     for row, counts in rows:
-        out[row] = np.frombuffer(counts, np.int64)
+        out[row] = np.frombuffer(counts, np.uint32)
     return out.reshape(-1)
 
 
+def parities(members: np.ndarray) -> bytes:
+    """For each of 64 or more buckets whether an odd number of members falls on it: four to eight buckets a member."""
+    size = max(64, 1 << (4 * len(members) - 1).bit_length()) if len(members) else 64
+    return np.packbits((np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _rows_of(parity: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parity), np.uint64).reshape(len(parity), -1)
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
+def distance_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of members that only one of two sets has."""
+    x, y = _rows_of([a]), _rows_of([b])
+    while x.shape[1] > y.shape[1]:
+        x = _folded(x)
+    while y.shape[1] > x.shape[1]:
+        y = _folded(y)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _prefix_rows(sketch, width: int, num: int, den: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.minimum(sketch.value, (1 << 31) - 1).astype(np.uint64)
+        common = sketch.value
         low = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for piece in small_batches(batch, "text"):
-                n, s1, s2, group, prefixes = [], [], [], [], []
+                n, s1, s2, group, prefixes, bits = [], [], [], [], [], []
                 for s in shingle_sets(utf8(piece["text"]), width):
                     n.append(len(s))
+                    bits.append(parities(s))
                     if not len(s):
                         s1.append(0), s2.append(0), group.append(0), prefixes.append(b"")
                         continue
@@ -110,14 +139,14 @@ def _prefix_rows(sketch, width: int, num: int, den: int):
                     s1.append(_signed(whole >> 64)), s2.append(_signed(whole & (1 << 64) - 1))
                     group.append(_signed(xxhash.xxh3_64_intdigest(prefix, len(s)))), prefixes.append(prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [piece["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (s1, s2, group)), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "n_shingles", "s1", "s2", "g", "prefix"],
+                    [piece["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in (s1, s2, group)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())],
+                    ["doc_id", "n_shingles", "s1", "s2", "g", "prefix", "bits"],
                 )
 
     return rows
 
 
-_ENTRY = [("token", "u8"), ("gid", "i8"), ("n", "u4"), ("at", "u2")]
+_ENTRY = ("u8", "i8", "u4", "u2")  # token, gid, n, at
 
 
 def _index_rows(parts: int):
@@ -137,7 +166,7 @@ def _index_rows(parts: int):
             pick = order[cuts[k] : cuts[k + 1]]
             if len(pick):
                 keys.append(k)
-                blobs.append(b"".join(x[pick].tobytes() for x in (tokens, gid, n, at)))
+                blobs.append(squeezed([tokens[pick], gid[pick], n[pick], at[pick]]))
         yield pa.RecordBatch.from_pydict({"part": pa.array(keys, pa.int32()), "entries": pa.array(blobs, pa.binary())})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +184,11 @@ def _index_rows(parts: int):
     return rows
 
 
-def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
-    for blob in blobs:
-        count, at = len(blob) // 22, 0
-        for k, (_, kind) in enumerate(_ENTRY):
-            columns[k].append(np.frombuffer(blob, kind, count, at))
-            at += count * np.dtype(kind).itemsize
-    return [np.concatenate(x) for x in columns]
-
-
 def _first_round(num: int, den: int):
     """From packed entries: pairs of each entry with its leader, and each distinct list of three or more entries."""
 
     def lists_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        token, gid, n, at = _unpacked(blobs)
+        token, gid, n, at = (np.concatenate(x) for x in zip(*(opened(x, _ENTRY) for x in blobs), strict=True))
         order = np.lexsort((gid, n, token))
         token, gid, n, at = token[order], gid[order], n[order], at[order]
         fresh = np.ones(len(token), bool)
@@ -177,7 +196,7 @@ def _first_round(num: int, den: int):
         starts = np.flatnonzero(fresh)
         ends = np.append(starts[1:], len(token))
         long_ = ends - starts >= 2
-        pairs, seen = set(), {}
+        pairs, alone, seen = Counter(), Counter(), {}
         for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True):
             g, size = gid[a:b].tolist(), n[a:b].tolist()
             leader, most = g[0], size[0]
@@ -185,18 +204,20 @@ def _first_round(num: int, den: int):
                 if most * den < num * m:  # too short for this one and all that follow
                     leader, most = x, m
                 elif x != leader:
-                    pairs.add((leader, x))
+                    pairs[leader, x] += 1
+                    alone[leader, x] += b - a == 2
             if b - a > 2:
                 key = gid[a:b].tobytes()
                 held = seen.get(key)
                 seen[key] = (n[a:b], at[a:b] if held is None else np.minimum(held[1], at[a:b]))
         if pairs:
             a, b = zip(*pairs, strict=True)
-            yield _out(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
-        for key, (size, place) in seen.items():
-            g = np.frombuffer(key, np.int64)
-            k = np.full(len(g), _signed(xxhash.xxh3_64_intdigest(key)), np.int64)
-            yield _out(list=pa.array(k), gid=pa.array(g), n=pa.array(size.astype(np.int64)), at=pa.array(place.astype(np.int64)))
+            yield _out(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()), keys=pa.array(pairs.values(), pa.int64()), alone=pa.array([alone[x] for x in pairs], pa.int64()))
+        if seen:
+            g = np.frombuffer(b"".join(seen), np.int64)
+            k = np.repeat(np.array([_signed(xxhash.xxh3_64_intdigest(x)) for x in seen], np.int64), [len(x) // 8 for x in seen])
+            size, place = (np.concatenate([x[i] for x in seen.values()]).astype(np.int64) for i in (0, 1))
+            yield _out(list=pa.array(k), gid=pa.array(g), n=pa.array(size), at=pa.array(place))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -209,7 +230,7 @@ def _first_round(num: int, den: int):
     return rows
 
 
-_ROUND = ("a", "b", "list", "gid", "n", "at")
+_ROUND = ("a", "b", "keys", "alone", "list", "gid", "n", "at")
 
 
 def _out(**columns: pa.Array) -> pa.RecordBatch:
@@ -217,29 +238,64 @@ def _out(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(length, pa.int64())) for c in _ROUND], list(_ROUND))
 
 
-def _across(num: int, den: int):
-    """All pairs of one list whose components differ and whose sizes and places allow a link."""
+def _across(best: bool, num: int, den: int):
+    """Pairs of one list whose components differ and whose sizes, places and parities allow a link.
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    With best, only the likeliest pair of each component.
+    """
+
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         rep, n, at, component = (np.asarray(table[c].combine_chunks()) for c in ("rep", "n", "at", "component"))
         order = np.lexsort((rep, n))
         rep, n, at, component = rep[order], n[order], at[order], component[order]
+        bits = table["bits"].take(pa.array(order)).to_pylist()
+        width = np.array([len(x) for x in bits])
         last = np.searchsorted(n * num, n * den, side="right")
-        for i in range(len(rep) - 1):
-            j = slice(i + 1, last[i])
-            bound = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
-            good = (component[j] != component[i]) & (bound >= least_overlap(n[i], n[j], num, den)) & (rep[j] != rep[i])
-            if good.any():
-                yield pa.RecordBatch.from_pydict({"a": np.full(good.sum(), rep[i]), "b": rep[j][good]})
+        for w in np.unique(width).tolist():
+            lo, mid, hi = np.searchsorted(width, [w, w + 1, 2 * w + 1]).tolist()
+            rows = _rows_of(bits[lo:mid])
+            if hi > mid:
+                rows = np.concatenate([rows, _folded(_rows_of(bits[mid:hi]))])
+            for i in range(lo, mid):
+                j = np.arange(i + 1, last[i])
+                j = j[component[j] != component[i]]
+                if len(j):
+                    apart = np.bitwise_count(rows[i - lo] ^ rows[j - lo]).sum(axis=1).astype(np.int64)
+                    bound = np.minimum(1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1), (n[i] + n[j] - apart) // 2)
+                    good = (bound >= least_overlap(n[i], n[j], num, den)) & (rep[j] != rep[i])
+                    if good.any():
+                        j = j[good]
+                        yield np.full(len(j), rep[i]), rep[j], np.full(len(j), component[i]), component[j], apart[good] / (n[i] + n[j])
 
     def run(table: pa.Table) -> pa.Table:
-        made = list(pairs(table))
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        return pa.Table.from_batches(made, schema).combine_chunks() if made else schema.empty_table()
+        made = list(pairs(table))
+        if not made:
+            return schema.empty_table()
+        a, b, c, d, apart = (np.concatenate(x) for x in zip(*made, strict=True))
+        if best:
+            # the nearest other component of each: a list of m gives m pairs at most
+            ends = np.concatenate([c, d])
+            order = np.lexsort((np.tile(b, 2), np.tile(a, 2), np.tile(apart, 2), ends))
+            first = order[np.append(True, ends[order][1:] != ends[order][:-1])] % len(a)
+            a, b = a[first], b[first]
+        return pa.table({"a": a, "b": b}, schema=schema)
 
     return run
 
 
+def _possible(num: int, den: int):
+    """Pairs that the parities of their sets do not rule out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+            keep = [(x + y - distance_at_least(p, q)) // 2 >= least_overlap(x, y, num, den) for x, y, p, q in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows
+
+
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
@@ -323,32 +379,54 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
     docs = docs.select("doc_id", "text")
     parts = shared.partitions(spark)
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, width))
-    kept = shared.written(docs.mapInArrow(_prefix_rows(sketch, width, num, den), "doc_id long, n_shingles long, s1 long, s2 long, g long, prefix binary"), "prefixes")
+    made = docs.mapInArrow(_prefix_rows(sketch, width, num, den), "doc_id long, n_shingles long, s1 long, s2 long, g long, prefix binary, bits binary")
+    kept = shared.written(made, "prefixes")
     full = kept.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "g", "prefix")).alias("x"))
-    sets = shared.written(sets.select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.g").alias("g"), F.col("x.prefix").alias("prefix")), "sets")
-    groups = sets.groupBy("g", "n").agg(F.min(F.struct("rep", "prefix")).alias("x"), F.count("*").alias("size"))
-    groups = groups.select(F.col("x.rep").alias("gid"), "g", "n", "size", F.col("x.prefix").alias("prefix"))
-    blobs = groups.select("gid", "n", "prefix").mapInArrow(_index_rows(parts), "part int, entries binary")
-    found = shared.written(blobs.repartition(parts, "part").mapInArrow(_first_round(num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
-
-    # first round: each entry of a list with its leader, each member of a group with its first
-    shared_groups = groups.where("size > 1").select("gid", "g", "n", "size")
-    members = sets.select("rep", "g", "n").join(shared_groups, ["g", "n"])
-    first = found.where("a IS NOT NULL").select("a", "b").union(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct()
-    links = shared.written(verified(docs, first, width, num, den), "links")
+    sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("g").alias("g"))
+    sets = shared.written(sets, "sets")
+    groups = sets.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
+    indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(groups.select("gid"), "gid", "left_semi")
+    blobs = indexed.mapInArrow(_index_rows(parts), "part int, entries binary").repartition(parts, "part")
+    found = shared.written(blobs.mapInArrow(_first_round(num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
+    members = sets.select("rep", "g", "n").join(groups.where("size > 1"), ["g", "n"])
+    bits = full.select("doc_id", "n_shingles", "bits")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        sides = [bits.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b")]
+        return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(num, den), "a long, b long").distinct()
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = shared.written(pairs, "pairs")
+        return pairs if pairs.isEmpty() else shared.written(verified(docs, pairs, width, num, den), "links")
+
+    # each entry with the leader it shares most keys with, each member of a group with its first
+    pairs = shared.written(found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.sum("alone").alias("alone")), "leaders")
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+    links = links_of(possible(first.union(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))))
     nodes = shared.written(connected_components(links), "nodes")
 
-    # second round: what lists and groups still hold of different components
+    # what lists and groups still hold of different components
     lists = found.where("list IS NOT NULL").groupBy("list", "gid").agg(F.min("n").alias("n"), F.min("at").alias("at"))
     lists = lists.join(members.select("gid", "rep"), "gid", "left").select("list", F.coalesce("rep", "gid").alias("rep"), "n", "at")
     grouped = members.where("size > 2").select(F.xxhash64("g", "n", F.lit("group")).alias("list"), "rep", "n", F.lit(0).cast("long").alias("at"))
-    entries = lists.union(grouped).join(nodes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = entries.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("list")
-    more = entries.join(open_, "list").groupBy("list").applyInArrow(_across(num, den), "a long, b long").distinct()
-    more = shared.written(verified(docs, shared.written(more, "pairs"), width, num, den), "links")
-    if not more.isEmpty():
-        nodes = connected_components(links.union(more))
+    entries = lists.union(grouped)
+    for best, with_twos in ((True, True), (True, False), (False, False)):
+        label = nodes.withColumnRenamed("node", "rep")
+        named = entries.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = named.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("list")
+        entries = shared.written(named.join(mixed, "list").select("list", "rep", "n", "at", "component"), "entries")
+        with_bits = entries.join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep")
+        more = with_bits.groupBy("list").applyInArrow(_across(best, num, den), "a long, b long").distinct()
+        if with_twos:  # and the lists of two
+            twos = pairs.where("alone > 0").select("a", "b").join(first, ["a", "b"], "left_anti")
+            for k in ("a", "b"):
+                twos = twos.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
+            more = more.union(possible(twos.where("coalesce(ca, a) <> coalesce(cb, b)"))).distinct()
+        entries = entries.drop("component")
+        new = links_of(more)
+        if not new.isEmpty():
+            links = links.union(new)
+            nodes = shared.written(connected_components(links), "nodes")
 
     classes = sets.select("s1", "s2", "rep").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = kept.select("doc_id", "n_shingles", "s1", "s2")
@@ -358,6 +436,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all columns of docs."""
-    keep = jaccard_components(docs, **options).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """One row of docs for each component, the smallest doc_id's, with all columns; rows without doc_id all stay."""
+    keep = jaccard_components(docs, **options).where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    one = docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).union(docs.where("doc_id IS NULL"))
