@@ -56,6 +56,12 @@ def test_jaccard_families(spark):
     assert sorted(r.doc_id for r in jaccard_join.one_of_each(df).collect()) == sorted({c for _, c in components(rows).values()})
 
 
+def test_jaccard_hot_and_long_lists(documents, rows):
+    """All keys by the way of very common ones, all lists in blocks."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents, hot_entries=2, block=3).collect()}
+    assert got == components(rows)
+
+
 def test_jaccard_edge(edge, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(edge).collect()), key=str)
     want = components(EDGE)

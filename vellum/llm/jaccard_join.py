@@ -21,9 +21,11 @@ Sizes: the order comes from a sketch of fixed size (2^20 counters) over all
 texts; index entries travel as packed arrays, one blob for each index part and
 batch; texts travel only for the candidates that a fixed-size Bloom filter of
 candidate ids lets through (it saturates at scale and then merely stops
-saving). All tables between steps are in spark.checkpoint.dir. The list of a
-very common key that stands in many prefixes all the same is taken up by one
-task; the order by frequency keeps such keys out of all but short texts.
+saving). All tables between steps are in spark.checkpoint.dir. The order by
+frequency keeps very common keys out of all but short texts' prefixes; those
+that are left are dealt, by the sketch's count, into several lists with leaders
+of their own, which the second round takes up as one. There a long list is
+dealt into blocks, and each two blocks are compared by a task of their own.
 
 Cases: a null or blank text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; rows that share a doc_id are one node; a
@@ -50,6 +52,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 SKETCH_BITS = 20
 SKETCH_ROW = 4096
 BLOOM_BITS = 23
+HOT_ENTRIES = 2_000_000
+BLOCK = 4096
 
 
 def _signed(x: int) -> int:
@@ -149,8 +153,14 @@ def _prefix_rows(sketch, width: int, num: int, den: int):
 _ENTRY = ("u8", "i8", "u4", "u2")  # token, gid, n, at
 
 
-def _index_rows(parts: int):
-    """Index entries of groups (gid, n, prefix), packed by part of the index."""
+def _salts(tokens: np.ndarray, common: np.ndarray, limit: int) -> np.ndarray:
+    """Into how many lists a key is dealt: by what its bucket of the sketch counts beyond twice the mean of all."""
+    more = common[(tokens & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.int64) - int(2 * common.mean())
+    return np.maximum(more, 0) // limit + 1
+
+
+def _index_rows(parts: int, sketch, limit: int):
+    """Index entries of groups (gid, n, prefix), packed by part of the index; very common keys have several."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([np.frombuffer(p, np.uint64) for _, _, p in held])
@@ -158,7 +168,8 @@ def _index_rows(parts: int):
         gid = np.repeat(np.array([g for g, _, _ in held], np.int64), lengths)
         n = np.repeat(np.array([x for _, x, _ in held], np.uint32), lengths)
         at = np.minimum(np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths), 65535).astype(np.uint16)
-        part = ((tokens >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        salt = mix(gid.view(np.uint64)) % _salts(tokens, sketch.value, limit).astype(np.uint64)
+        part = (((tokens >> np.uint64(20)) + salt) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         keys, blobs = [], []
@@ -184,8 +195,22 @@ def _index_rows(parts: int):
     return rows
 
 
-def _first_round(num: int, den: int):
-    """From packed entries: pairs of each entry with its leader, and each distinct list of three or more entries."""
+def _first_round(sketch, limit: int, num: int, den: int):
+    """From packed entries: pairs of each entry with its leader, and each distinct list of three or more entries.
+
+    The parts of a very common key's list keep the key's own number, so that
+    the second round takes them up as one list.
+    """
+
+    def led(gids: list[int], sizes: list[int]) -> list[tuple[int, int]]:
+        """Each entry with its leader, given entries by size."""
+        out, leader, most = [], gids[0], sizes[0]
+        for x, m in zip(gids[1:], sizes[1:], strict=True):
+            if most * den < num * m:  # too short for this one and all that follow
+                leader, most = x, m
+            elif x != leader:
+                out.append((leader, x))
+        return out
 
     def lists_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         token, gid, n, at = (np.concatenate(x) for x in zip(*(opened(x, _ENTRY) for x in blobs), strict=True))
@@ -195,17 +220,17 @@ def _first_round(num: int, den: int):
         fresh[1:] = token[1:] != token[:-1]
         starts = np.flatnonzero(fresh)
         ends = np.append(starts[1:], len(token))
-        long_ = ends - starts >= 2
+        hot = _salts(token[starts], sketch.value, limit) > 1
+        long_ = (ends - starts >= 2) & ~hot
         pairs, alone, seen = Counter(), Counter(), {}
+        for a, b in zip(starts[hot].tolist(), ends[hot].tolist(), strict=True):
+            pairs.update(led(gid[a:b].tolist(), n[a:b].tolist()))
+            yield _out(list=pa.array(mix(token[a:b]).view(np.int64)), gid=pa.array(gid[a:b]), n=pa.array(n[a:b].astype(np.int64)), at=pa.array(at[a:b].astype(np.int64)))
         for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True):
-            g, size = gid[a:b].tolist(), n[a:b].tolist()
-            leader, most = g[0], size[0]
-            for x, m in zip(g[1:], size[1:], strict=True):
-                if most * den < num * m:  # too short for this one and all that follow
-                    leader, most = x, m
-                elif x != leader:
-                    pairs[leader, x] += 1
-                    alone[leader, x] += b - a == 2
+            own = led(gid[a:b].tolist(), n[a:b].tolist())
+            pairs.update(own)
+            if b - a == 2:
+                alone.update(own)
             if b - a > 2:
                 key = gid[a:b].tobytes()
                 held = seen.get(key)
@@ -245,9 +270,10 @@ def _across(best: bool, num: int, den: int):
     """
 
     def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        rep, n, at, component = (np.asarray(table[c].combine_chunks()) for c in ("rep", "n", "at", "component"))
+        rep, n, at, component, block = (np.asarray(table[c].combine_chunks()) for c in ("rep", "n", "at", "component", "block"))
         order = np.lexsort((rep, n))
-        rep, n, at, component = rep[order], n[order], at[order], component[order]
+        rep, n, at, component, block = rep[order], n[order], at[order], component[order], block[order]
+        one = (block == block[0]).all()
         bits = table["bits"].take(pa.array(order)).to_pylist()
         width = np.array([len(x) for x in bits])
         last = np.searchsorted(n * num, n * den, side="right")
@@ -259,6 +285,8 @@ def _across(best: bool, num: int, den: int):
             for i in range(lo, mid):
                 j = np.arange(i + 1, last[i])
                 j = j[component[j] != component[i]]
+                if not one:  # two blocks of a long list: those within a block meet elsewhere
+                    j = j[block[j] != block[i]]
                 if len(j):
                     apart = np.bitwise_count(rows[i - lo] ^ rows[j - lo]).sum(axis=1).astype(np.int64)
                     bound = np.minimum(1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1), (n[i] + n[j] - apart) // 2)
@@ -373,7 +401,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, num: int = N
     return rows.mapInArrow(_verify(width, num, den), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, hot_entries: int = HOT_ENTRIES, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, set_id (smallest doc_id with an equal set)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -386,8 +414,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
     sets = shared.written(sets, "sets")
     groups = sets.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
     indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(groups.select("gid"), "gid", "left_semi")
-    blobs = indexed.mapInArrow(_index_rows(parts), "part int, entries binary").repartition(parts, "part")
-    found = shared.written(blobs.mapInArrow(_first_round(num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
+    blobs = indexed.mapInArrow(_index_rows(parts, sketch, hot_entries), "part int, entries binary").repartition(parts, "part")
+    found = shared.written(blobs.mapInArrow(_first_round(sketch, hot_entries, num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
     members = sets.select("rep", "g", "n").join(groups.where("size > 1"), ["g", "n"])
     bits = full.select("doc_id", "n_shingles", "bits")
 
@@ -413,16 +441,19 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
     for best, with_twos in ((True, True), (True, False), (False, False)):
         label = nodes.withColumnRenamed("node", "rep")
         named = entries.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("list")
-        entries = shared.written(named.join(mixed, "list").select("list", "rep", "n", "at", "component"), "entries")
+        mixed = named.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("list", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+        entries = shared.written(named.join(mixed, "list").select("list", "rep", "n", "at", "component", "blocks"), "entries")
         with_bits = entries.join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep")
-        more = with_bits.groupBy("list").applyInArrow(_across(best, num, den), "a long, b long").distinct()
+        # long lists are dealt into blocks, and each two blocks meet in a group of their own
+        with_bits = with_bits.withColumn("block", F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        groups_of = ["list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
+        more = with_bits.groupBy(*groups_of).applyInArrow(_across(best, num, den), "a long, b long").distinct()
         if with_twos:  # and the lists of two
             twos = pairs.where("alone > 0").select("a", "b").join(first, ["a", "b"], "left_anti")
             for k in ("a", "b"):
                 twos = twos.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
             more = more.union(possible(twos.where("coalesce(ca, a) <> coalesce(cb, b)"))).distinct()
-        entries = entries.drop("component")
+        entries = entries.drop("component", "blocks")
         new = links_of(more)
         if not new.isEmpty():
             links = links.union(new)

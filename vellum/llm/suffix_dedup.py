@@ -14,8 +14,9 @@ words in common always shares a kept suffix: nothing is missed by sampling.
 Suffixes travel as packed arrays, one blob for each part of the suffix order
 and batch, with 48-bit hashes of their windows beside the 64-bit one of the
 suffix. A suffix that very many documents share would fill one part: buckets
-of suffixes that a fixed-size count of all suffixes shows to be over HOT_LOAD
-go another way, as rows that are summed by window hash before the shuffle.
+of suffixes that a fixed-size count of all suffixes shows to be more than
+HOT_LOAD over twice the mean go another way, as rows that are summed by window
+hash before the shuffle.
 
 Cases: null and blank texts, and texts under 50 words, have no spans; repeated
 rows are copies of the first (rows that share a doc_id are taken as parts of
@@ -101,7 +102,7 @@ def _hot_buckets(docs: DataFrame, window: int, run: int, load: int) -> np.ndarra
     total = np.zeros((1 << HOT_BITS) // HOT_ROW * HOT_ROW, np.int64).reshape(-1, HOT_ROW)
     for row, counts in rows:
         total[row] = np.frombuffer(counts, np.int64)
-    return total.reshape(-1) > load
+    return total.reshape(-1) > load + 2 * total.mean() if load else total.reshape(-1) > 0
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
