@@ -56,6 +56,18 @@ def test_jaccard_families(spark):
     assert sorted(r.doc_id for r in jaccard_join.one_of_each(df).collect()) == sorted({c for _, c in components(rows).values()})
 
 
+def test_jaccard_two_groups(spark):
+    """A list of two groups, of which only a member that does not stand for its group links with the other."""
+    base = [f"c{k}" for k in range(10)]
+    rows = [(1, " ".join([*base, "x", "y"])), (2, " ".join([*base, "p", "q"])), (3, " ".join([*base, "p", "r"]))]
+    # texts that make the ends of 1 and 2 commoner than their beginning
+    for k in range(6):
+        rows.append((10 + k, " ".join([*(f"u{k}-{j}" for j in range(20)), *base[6:], "x", "y", *(f"v{k}-{j}" for j in range(20)), *base[6:], "p", "q"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got[1] == (8, 1) and got[2] == (8, 2) and got[3] == (8, 2) and got == components(rows)
+
+
 def test_jaccard_hot_and_long_lists(documents, rows):
     """All keys by the way of very common ones, all lists in blocks."""
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents, hot_entries=2, block=3).collect()}

@@ -150,7 +150,7 @@ def _prefix_rows(sketch, width: int, num: int, den: int):
     return rows
 
 
-_ENTRY = ("u8", "i8", "u4", "u2")  # token, gid, n, at
+_ENTRY = ("u8", "i8", "u4", "u2", "u1")  # token, gid, n, at, whether the group has several members
 
 
 def _salts(tokens: np.ndarray, common: np.ndarray, limit: int) -> np.ndarray:
@@ -160,13 +160,14 @@ def _salts(tokens: np.ndarray, common: np.ndarray, limit: int) -> np.ndarray:
 
 
 def _index_rows(parts: int, sketch, limit: int):
-    """Index entries of groups (gid, n, prefix), packed by part of the index; very common keys have several."""
+    """Index entries of groups (gid, n, prefix, many), packed by part of the index; very common keys have several."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([np.frombuffer(p, np.uint64) for _, _, p in held])
-        lengths = np.array([len(p) // 8 for _, _, p in held])
-        gid = np.repeat(np.array([g for g, _, _ in held], np.int64), lengths)
-        n = np.repeat(np.array([x for _, x, _ in held], np.uint32), lengths)
+        tokens = np.concatenate([np.frombuffer(p, np.uint64) for _, _, p, _ in held])
+        lengths = np.array([len(p) // 8 for _, _, p, _ in held])
+        gid = np.repeat(np.array([g for g, _, _, _ in held], np.int64), lengths)
+        n = np.repeat(np.array([x for _, x, _, _ in held], np.uint32), lengths)
+        many = np.repeat(np.array([m for _, _, _, m in held], np.uint8), lengths)
         at = np.minimum(np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths), 65535).astype(np.uint16)
         salt = mix(gid.view(np.uint64)) % _salts(tokens, sketch.value, limit).astype(np.uint64)
         part = (((tokens >> np.uint64(20)) + salt) % np.uint64(parts)).astype(np.int64)
@@ -177,13 +178,13 @@ def _index_rows(parts: int, sketch, limit: int):
             pick = order[cuts[k] : cuts[k + 1]]
             if len(pick):
                 keys.append(k)
-                blobs.append(squeezed([tokens[pick], gid[pick], n[pick], at[pick]]))
+                blobs.append(squeezed([tokens[pick], gid[pick], n[pick], at[pick], many[pick]]))
         yield pa.RecordBatch.from_pydict({"part": pa.array(keys, pa.int32()), "entries": pa.array(blobs, pa.binary())})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(batch["gid"].to_pylist(), batch["n"].to_pylist(), batch["prefix"].to_pylist(), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("gid", "n", "prefix", "many")), strict=True):
                 held.append(row)
                 size += len(row[2])
                 if size > 32 << 20:
@@ -196,8 +197,10 @@ def _index_rows(parts: int, sketch, limit: int):
 
 
 def _first_round(sketch, limit: int, num: int, den: int):
-    """From packed entries: pairs of each entry with its leader, and each distinct list of three or more entries.
+    """From packed entries: pairs of each entry with its leader, and each distinct list that is more than one pair.
 
+    Such are lists of three or more entries, and those of two of which one
+    stands for several members.
     The parts of a very common key's list keep the key's own number, so that
     the second round takes them up as one list.
     """
@@ -213,9 +216,9 @@ def _first_round(sketch, limit: int, num: int, den: int):
         return out
 
     def lists_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        token, gid, n, at = (np.concatenate(x) for x in zip(*(opened(x, _ENTRY) for x in blobs), strict=True))
+        token, gid, n, at, many = (np.concatenate(x) for x in zip(*(opened(x, _ENTRY) for x in blobs), strict=True))
         order = np.lexsort((gid, n, token))
-        token, gid, n, at = token[order], gid[order], n[order], at[order]
+        token, gid, n, at, many = token[order], gid[order], n[order], at[order], many[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = token[1:] != token[:-1]
         starts = np.flatnonzero(fresh)
@@ -229,9 +232,9 @@ def _first_round(sketch, limit: int, num: int, den: int):
         for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True):
             own = led(gid[a:b].tolist(), n[a:b].tolist())
             pairs.update(own)
-            if b - a == 2:
+            if b - a == 2 and not many[a:b].any():
                 alone.update(own)
-            if b - a > 2:
+            else:
                 key = gid[a:b].tobytes()
                 held = seen.get(key)
                 seen[key] = (n[a:b], at[a:b] if held is None else np.minimum(held[1], at[a:b]))
@@ -413,7 +416,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
     sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("g").alias("g"))
     sets = shared.written(sets, "sets")
     groups = sets.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(groups.select("gid"), "gid", "left_semi")
+    indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(groups.groupBy("gid").agg((F.max("size") > 1).alias("many")), "gid")
     blobs = indexed.mapInArrow(_index_rows(parts, sketch, hot_entries), "part int, entries binary").repartition(parts, "part")
     found = shared.written(blobs.mapInArrow(_first_round(sketch, hot_entries, num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
     members = sets.select("rep", "g", "n").join(groups.where("size > 1"), ["g", "n"])
@@ -448,7 +451,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
         with_bits = with_bits.withColumn("block", F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         groups_of = ["list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
         more = with_bits.groupBy(*groups_of).applyInArrow(_across(best, num, den), "a long, b long").distinct()
-        if with_twos:  # and the lists of two
+        if with_twos:  # and the lists of two groups of one member each
             twos = pairs.where("alone > 0").select("a", "b").join(first, ["a", "b"], "left_anti")
             for k in ("a", "b"):
                 twos = twos.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
