@@ -117,6 +117,43 @@ def test_lm_small_head(spark, rows, documents, monkeypatch):
     assert close([tuple(r)[:6] for r in lm_scoring.scored(documents, counts).collect()], lm_base(rows))
 
 
+@pytest.mark.parametrize("head", [None, 3])
+def test_lm_histories(documents, rows, head):
+    """Scores are those of counts of what follows each history, however many there are, over the fixed model."""
+    model = lm_scoring.train(documents)
+    if head:
+        model.counts.words, model.counts.counts = model.counts.words[:head], model.counts.counts[:head]
+    each = {i: [None, None, *lower(t), ""] for i, t in rows}
+    places = [(i, tuple(x[k - 2 : k]), x[k]) for i, x in each.items() for k in range(2, len(x))]
+    learned = [p for p in places if zlib.crc32(str(p[0]).encode()) % 10]
+    pairs, words, after = Counter(p[1:] for p in learned), Counter(p[2] for p in learned), Counter(p[1] for p in learned)
+    kinds = Counter(h for h, _ in pairs)
+    h, starts = lm_scoring.tokens_of([t.encode() for _, t in rows])
+    outcome, own = model.counts.outcomes(h)
+    count = np.array([words[w] for _, _, w in places])
+    prior = model.log10(lm_scoring.features(h, starts), outcome) + np.where(own, 0, np.log10(count + lm_scoring.ADD) - model.counts.shared[outcome])
+    want = Counter()
+    for (i, before, w), p in zip(places, 10**prior, strict=True):
+        n = after[before]
+        want[i] += math.log10((max(pairs[before, w] - 0.75, 0) + 0.75 * kinds[before] * p) / n if n else p)
+    got = {r.doc_id: r.score for r in lm_scoring.scored(documents, model).collect()}
+    assert got == pytest.approx(dict(want), rel=1e-5)
+
+
+def test_lm_tells_apart_words_of_one_outcome(spark):
+    """Words far from the commonest, equally common and of one shared outcome, go by the history."""
+    names = [f"w{k}" for k in range(4000)]
+    slots = lm_scoring.hashed_slot(lm_scoring.tokens_of([" ".join(names).encode()])[0][:-1])
+    a, b = (names[k] for k in np.flatnonzero(slots == slots[0])[:2])
+    common = " ".join(f"c{k}" for k in range(1000))
+    ids = [k for k in range(60) if lm_scoring.in_training([k])[0]]
+    rows = [(k, f"{common} left hand {a} stop right hand {b} stop") for k in ids[:2]] + [(k, common) for k in ids[2:6]]
+    held = [k for k in range(200) if not lm_scoring.in_training([k])[0]][:2]
+    rows += [(held[0], f"left hand {a}"), (held[1], f"left hand {b}")]
+    got = {r.doc_id: r.score for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_lm_edge(edge, empty):
     got = lm_scoring.scored(edge).collect()
     assert close([tuple(r)[:6] for r in got], lm_base(EDGE)) and all(math.isfinite(r.score) and r.score < 0 for r in got)

@@ -10,10 +10,18 @@ gone through by gradient updates (small batches, a step of 1 / sqrt(n) for a wei
 by task from the same start; the weight changes are summed over the tasks in
 proportion to their tokens. Texts are scored in numpy batches.
 
+This model is of fixed size, and is the prior of one that grows with the corpus:
+each history of two words has its own counts of the words that follow it,
+P(w | h) = (max(c(h, w) - D, 0) + D * kinds(h) * prior(w | h)) / c(h), and the
+prior alone after a history that training has not seen.
+
 Sizes: counts of words are summed by word hash in parts of the hash space. The
 HEAD commonest words go to every task, as does the model: both of fixed size.
 Occurrences of rarer words are sent to the part of their hash, which counts
-them and returns a sum for each text; nothing that grows is broadcast.
+them. So are all tokens with their prior to the part of their history's hash,
+which counts what follows each history and returns a sum for each text, and
+both factors for the rarer words, whose prior is not yet known. Nothing that
+grows is broadcast. A very common history is one part's.
 
 Cases: a null text is empty, a text of one end token; rows with a null doc_id
 are in training (their remainder is null) and get scores; repeated rows count
@@ -40,7 +48,7 @@ CLASSES, SLOTS, OWN = 32, 32, 24
 FEATURES, CLASS_ROWS, SLOT_ROWS = 3, 1 << 14, 1 << 16
 HEAD = 1 << 18
 BATCH, RATE = 4096, 0.4
-ADD = 0.1
+ADD, D = 0.1, 0.75
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _BATCH_BYTES = 8 << 20
 _LOG10 = np.log(10.0)
@@ -137,6 +145,7 @@ class Counts:
         self.slot_n, self.slot_v = slots
         order = np.argsort(words[most])
         self.words, self.counts = words[most][order], counts[most][order]
+        self.ranks = order.astype(np.uint32)
         smooth = (self.slot_n + 0.5).reshape(CLASSES, SLOTS)
         self.class_bias = np.log(smooth.sum(1) / smooth.sum()).astype(np.float32)
         self.slot_bias = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
@@ -160,16 +169,36 @@ class Counts:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, self.counts[at], 0)
 
+    def short(self, h: np.ndarray) -> np.ndarray:
+        """Words in 32 bits: the rank of one of the commonest, 31 bits of the hash of another."""
+        out = (h >> np.uint64(33)).astype(np.uint32) | np.uint32(1 << 31)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            out = np.where(self.words[at] == h, self.ranks[at], out)
+        return out
+
 
 # -- the model ----------------------------------------------------------------
 
 
-def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed features of each token's history: one row for each feature."""
+def before(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, and the one before that."""
     first = np.concatenate([[START], h[:-1]]) if len(h) else h
     first[starts[:-1]] = START
     second = np.concatenate([[START], first[:-1]]) if len(h) else h
     second[starts[:-1]] = START
+    return first, second
+
+
+def histories(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the two words before each token."""
+    first, second = before(h, starts)
+    return mix(first * np.uint64(0x27D4EB2F165667C5) + mix(second))
+
+
+def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashed features of each token's history: one row for each feature."""
+    first, second = before(h, starts)
     rows = np.stack([first * np.uint64(0x9E3779B97F4A7C15), second * np.uint64(0xC2B2AE3D27D4EB4F), mix(first * np.uint64(0x165667B19E3779F9) + second)])
     return (rows >> np.uint64(64 - CLASS_ROWS.bit_length() + 1)).astype(np.uint16)
 
@@ -293,8 +322,31 @@ def _flow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["part", "batch", "kind", "data"])
 
 
+# a batch's texts, its rare tokens, requests of counts of words and of histories, and the replies
+_TEXTS, _RARE, _ASK_WORDS, _ASK_HISTORIES, _WORDS, _SUMS, _FACTORS = range(7)
+_KINDS = {
+    _TEXTS: ("i8", "u1", "u1", "i8", "i8", "f8"),  # doc_id, null, held out, tokens, known, base
+    _RARE: ("f8", "u4", "u1", "u4"),  # prior without the word's count, text, has an outcome of its own, place in _WORDS
+    _ASK_WORDS: ("u8", "u1"),  # word, in training
+    _ASK_HISTORIES: ("u4", "u2", "u4", "u1", "u4", "f4"),  # 48 bits of the history less those of the row before, word, in training, text, prior
+    _WORDS: ("u4",),  # count
+    _SUMS: ("u4", "f4"),  # text, sum of scores
+    _FACTORS: ("f8", "f8"),  # what to add to the prior's share, the prior's share
+}
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 16 bits of precision, as float32: what travels of a prior's logarithm."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
+def _history_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts in the order of the hashes."""
+    return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+
+
 def _score_rows(model, parts: int):
-    """For each batch one row of what is known here (kind 0), and its rare tokens by part (kind 1)."""
+    """For each batch what is known here, and its tokens by part of the word (rare ones) and of the history (all)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
@@ -308,69 +360,128 @@ def _score_rows(model, parts: int):
             size = len(ids)
             logs = np.where(rare, 0.0, np.log10(np.maximum(n, 1) + ADD))
             # a word's own slot needs no count; a shared one divides the word's count by the slot's
-            score = own.log10(features(h, starts), outcome) + np.where(direct, 0.0, logs - counts.shared[outcome])
+            prior = own.log10(features(h, starts), outcome) + np.where(direct, 0.0, logs - counts.shared[outcome])
             base = np.bincount(text, logs, size)
             known = np.bincount(text[~rare], minlength=size)
             null = np.array([x is None for x in ids])
             doc_ids = np.array([x or 0 for x in ids], np.int64)
-            main = squeezed([doc_ids, null.astype(np.uint8), (~train).astype(np.uint8), np.diff(starts), known, base, np.bincount(text, score, size)])
-            out = [(batch % parts, batch, 0, main)]
-            h, text = h[rare], text[rare]
             sign = train[text].astype(np.uint8)
-            part = _part_of(h, parts)
+            out = [(batch % parts, batch, _TEXTS, squeezed([doc_ids, null.astype(np.uint8), (~train).astype(np.uint8), np.diff(starts), known, base]))]
+
+            found = np.flatnonzero(rare)
+            part = _part_of(h[found], parts)
             order = np.argsort(part, kind="stable")
+            place = np.zeros(len(h), np.uint32)
+            place[found[order]] = np.arange(len(found))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for k in range(parts):
-                pick = order[cuts[k] : cuts[k + 1]]
+                pick = found[order[cuts[k] : cuts[k + 1]]]
                 if len(pick):
-                    out.append((k, batch, 1, squeezed([h[pick], text[pick], sign[pick]])))
+                    out.append((k, batch, _ASK_WORDS, squeezed([h[pick], sign[pick]])))
+
+            key = histories(h, starts)
+            order = np.argsort(key)
+            key = key[order]
+            left = order[rare[order]]
+            if len(left):
+                out.append((batch % parts, batch, _RARE, squeezed([prior[left], text[left], direct[left].astype(np.uint8), place[left]])))
+            word, sent = counts.short(h)[order], np.where(rare, np.float32(np.nan), _rounded(prior))[order]
+            sign, text = sign[order], text[order]
+            cuts = np.searchsorted(_history_part(key, parts), np.arange(parts + 1))
+            for k in range(parts):
+                if cuts[k] < cuts[k + 1]:
+                    step = np.diff(key[cuts[k] : cuts[k + 1]] >> np.uint64(16), prepend=np.uint64(0))
+                    steps = [step.astype(np.uint32), (step >> np.uint64(32)).astype(np.uint16)]
+                    out.append((k, batch, _ASK_HISTORIES, squeezed([*steps, *(x[cuts[k] : cuts[k + 1]] for x in (word, sign, text, sent))])))
             yield _flow(out)
             batch += 1
 
     return rows
 
 
-def _rare_sums(parts: int):
-    """Counts the rare tokens of a part, and gives each batch the sums for its texts (kind 2)."""
+def factors(history: np.ndarray, word: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token what its history adds to the prior's share of its probability, and that share."""
+    order = np.lexsort((word, history))
+    history, word, train = history[order], word[order], train[order]
+    other = np.ones(len(order), bool)
+    other[1:] = history[1:] != history[:-1]
+    fresh = other.copy()
+    fresh[1:] |= word[1:] != word[:-1]
+    of_history, of_word = np.cumsum(other) - 1, np.cumsum(fresh) - 1
+    c = np.bincount(of_word, train)
+    n, kinds = np.bincount(of_history, train), np.bincount(of_history[fresh], c > 0)
+    plus, share = np.zeros(len(order)), np.zeros(len(order))
+    total = np.maximum(n, 1)
+    plus[order] = np.maximum(c[of_word] - D, 0) / total[of_history]
+    share[order] = np.where(n > 0, D * kinds / total, 1.0)[of_history]
+    return plus, share
+
+
+def _part_replies(parts: int):
+    """Counts a part's rare words and histories, and replies to each batch."""
+
+    def words(blobs: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        each = [opened(x, _KINDS[_ASK_WORDS]) for _, x in blobs]
+        _, back = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([x[1] for x in each]))[back].astype(np.uint32)
+        at = 0
+        for (batch, _), (h, _) in zip(blobs, each, strict=True):
+            yield batch, _WORDS, squeezed([n[at : at + len(h)]])
+            at += len(h)
+
+    def after(blobs: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        lengths, held = [], [[] for _ in range(3)]
+        for _, x in blobs:
+            low, high, word, sign, _, _ = opened(x, _KINDS[_ASK_HISTORIES])
+            lengths.append(len(low))
+            for to, y in zip(held, (np.cumsum(high.astype(np.uint64) << np.uint64(32) | low), word, sign), strict=True):
+                to.append(y)
+        plus, share = factors(*(np.concatenate(x) for x in held))
+        at = 0
+        for (batch, x), length in zip(blobs, lengths, strict=True):
+            text, prior = opened(x, _KINDS[_ASK_HISTORIES])[4:]
+            p, q = plus[at : at + length], share[at : at + length]
+            at += length
+            rare = np.isnan(prior)
+            if rare.any():
+                yield batch, _FACTORS, squeezed([p[rare], q[rare]])
+            which, place = np.unique(text[~rare], return_inverse=True)
+            if len(which):
+                yield batch, _SUMS, squeezed([which, np.bincount(place, np.log10(p[~rare] + q[~rare] * 10.0 ** prior[~rare].astype(float)), len(which)).astype(np.float32)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         for b in batches:
             for part, batch, kind, data in zip(*(b[c].to_pylist() for c in ("part", "batch", "kind", "data")), strict=True):
-                if kind == 0:
-                    yield _flow([(part, batch, 0, data)])
+                if kind in (_ASK_WORDS, _ASK_HISTORIES):
+                    held.setdefault((part, kind), []).append((batch, data))
                 else:
-                    held.setdefault(part, []).append((batch, data))
+                    yield _flow([(part, batch, kind, data)])
         while held:
-            part, blobs = held.popitem()
-            each = [opened(x, ("u8", "u4", "u1")) for _, x in blobs]
-            _, back = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([x[2] for x in each]))[back]
-            at = 0
-            for (batch, _), (h, text, _) in zip(blobs, each, strict=True):
-                c = n[at : at + len(h)]
-                at += len(h)
-                which, place = np.unique(text, return_inverse=True)
-                sums = np.bincount(place, np.log10(c + ADD), len(which))
-                known = np.bincount(place, c > 0, len(which)).astype(np.uint32)
-                yield _flow([(part, batch, 2, squeezed([which, sums, known]))])
+            (part, kind), blobs = held.popitem()
+            for reply in (words if kind == _ASK_WORDS else after)(blobs):
+                yield _flow([(part, *reply)])
 
     return rows
 
 
 def _combined(n: int, v: int):
     def combine(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.asarray(table["part"].combine_chunks()), np.asarray(table["kind"].combine_chunks())))
-        data = [x for k in order for x in [(table["kind"][int(k)].as_py(), table["data"][int(k)].as_py())]]
-        doc_id, null, held_out, tokens, known, base, score = opened(data[0][1], ("i8", "u1", "u1", "i8", "i8", "f8", "f8"))
-        known, base, score = known.copy(), base.copy(), score.copy()
-        for _, x in data[1:]:
-            which, sums, more = opened(x, ("u4", "f8", "u4"))
-            base[which] += sums
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("kind", "part", "data")), strict=True), key=lambda r: r[:2])
+        of = lambda kind: [opened(x, _KINDS[kind]) for k, _, x in rows if k == kind]
+        joined = lambda kind, i, t: np.concatenate([np.zeros(0, np.dtype(t)), *(x[i] for x in of(kind))])
+        doc_id, null, held_out, tokens, known, base = of(_TEXTS)[0]
+        size = len(doc_id)
+        prior, text, direct, place = (joined(_RARE, i, t) for i, t in enumerate(_KINDS[_RARE]))
+        c = joined(_WORDS, 0, np.uint32)[place]
+        logs = np.log10(c + ADD)
+        known = known + np.bincount(text[c > 0], minlength=size)
+        base = base + np.bincount(text, logs, size) - tokens * np.log10(n + ADD * (v + 1))
+        prior = prior + np.where(direct, 0.0, logs)
+        score = np.bincount(text, np.log10(joined(_FACTORS, 0, float) + joined(_FACTORS, 1, float) * 10.0**prior), size).astype(float)
+        for which, sums in of(_SUMS):
             score[which] += sums
-            known[which] += more
-        base -= tokens * np.log10(n + ADD * (v + 1))
-        return pa.table({"doc_id": pa.array(doc_id, mask=null.astype(bool)), "held_out": held_out.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(doc_id), n), "base_score": base, "score": score})
+        return pa.table({"doc_id": pa.array(doc_id, mask=null.astype(bool)), "held_out": held_out.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(size, n), "base_score": base, "score": score})
 
     return combine
 
@@ -382,6 +493,6 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     parts = shared.partitions(spark)
     model = model or train(docs)
     sent = spark.sparkContext.broadcast(model)
-    flow = docs.mapInArrow(_score_rows(sent, parts), _FLOW).repartition(parts, "part").mapInArrow(_rare_sums(parts), _FLOW)
+    flow = docs.mapInArrow(_score_rows(sent, parts), _FLOW).repartition(parts, "part").mapInArrow(_part_replies(parts), _FLOW)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return flow.groupBy("batch").applyInArrow(_combined(model.counts.n, model.counts.v), out)
