@@ -30,6 +30,18 @@ def test_rollup_query(spark, sf, documents):
     assert all(r.insert_tokens + r.revise_tokens + r.delete_tokens == r.n_tokens for r in QUERIES["op2_token_rollups"](spark, sf).collect())
 
 
+def test_rollup_loaded(spark, sf, documents):
+    """The totals of all whole texts are returned beside those after the later batches."""
+    own = Tokenizer.from_file(tokens.default_path())
+    want = defaultdict(lambda: (0, 0))
+    for r in documents.collect():
+        d, t = want[r.source, r.lang]
+        want[r.source, r.lang] = (d + 1, t + len(own.encode(r.text, add_special_tokens=False).ids))
+    assert {(r.source, r.lang): (r.loaded_docs, r.loaded_tokens) for r in QUERIES["op2_token_rollups"](spark, sf).collect()} == dict(want)
+    nulls = spark.createDataFrame([(1, None, None, "a"), (2, None, None, "b c")], "doc_id long, source string, lang string, text string")
+    assert [(r.n_docs, r.loaded_docs) for r in token_rollups.document_totals(nulls).collect()] == [(0, 2)]
+
+
 def test_rollup_batches(spark):
     """Random batches, some sent again, against a dictionary."""
     rng, state = random.Random(1), {}

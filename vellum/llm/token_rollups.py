@@ -110,10 +110,10 @@ class TokenRollup:
         for x in old:
             shared.drop(self.spark, self._at("ledger", x))
 
-    def totals(self) -> DataFrame:
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, and the tokens that inserts, revisions and deletes brought."""
         of = lambda op: F.sum(F.when(F.col("op") == op, F.col("d_tokens")).otherwise(0)).alias(f"{op}_tokens")
-        deltas = self._read("delta", DELTA, self.committed())
+        deltas = self._read("delta", DELTA, self.committed() if batches is None else batches)
         return deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"), of("insert"), of("revise"), of("delete"))
 
 
@@ -145,6 +145,8 @@ def document_totals(docs: DataFrame, tokenizer: str = "byte_bpe_50k/1", path: st
 
     All documents are inserted; those with repeated lines are revised to what
     they count without the repeats; those of fewer than ten words are deleted.
+    loaded_docs and loaded_tokens are the totals after the first batch: those
+    of all whole texts.
     """
     spark = docs.sparkSession
     rollup = TokenRollup(spark, shared.fresh_path(spark, "rollup"))
@@ -156,4 +158,5 @@ def document_totals(docs: DataFrame, tokenizer: str = "byte_bpe_50k/1", path: st
     rollup.commit("2-lines", changes(token_counts(revised, path), "revise", tokenizer))
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), ""))
     rollup.commit("3-short", changes(docs.where(words < 10), "delete", tokenizer))
-    return rollup.totals()
+    loaded = rollup.totals(["1-load"]).select(F.struct("source", "lang", "tokenizer").alias("_of"), F.col("n_docs").alias("loaded_docs"), F.col("n_tokens").alias("loaded_tokens"))
+    return rollup.totals().join(loaded, F.struct("source", "lang", "tokenizer").eqNullSafe(F.col("_of")), "left").drop("_of")
