@@ -77,6 +77,32 @@ def test_rollup_lost_commit(spark):
     assert rollup.commit("b0", one) and totals(rollup) == {("a", "en", "t"): (1, 5)}
 
 
+def test_rollup_compaction(spark, monkeypatch):
+    """A compacted batch sent again is not applied, and a driver lost while old batches are dropped loses nothing."""
+    rollup = token_rollups.TokenRollup(spark, shared.fresh_path(spark, "rollup"))
+    one = spark.createDataFrame([(0, "insert", 1, "t", "a", "en", 5), (1, "insert", 2, "t", "a", "en", 7)], token_rollups.CHANGES)
+    rollup.commit("b0", one)
+    rollup.commit("b1", spark.createDataFrame([(0, "delete", 1, "t", "a", "en", 0)], token_rollups.CHANGES))
+    want, drop, calls = {("a", "en", "t"): (1, 7)}, shared.drop, []
+
+    def lost(*args):
+        drop(*args)
+        calls.append(args)
+        if len(calls) == 3:
+            raise OSError("lost")
+
+    monkeypatch.setattr(shared, "drop", lost)
+    try:
+        rollup.compact("c0")
+    except OSError:
+        pass
+    monkeypatch.setattr(shared, "drop", drop)
+    assert totals(rollup) == want
+    assert not rollup.commit("b0", one) and totals(rollup) == want and rollup.state().count() == 1
+    rollup.compact("c1")
+    assert rollup.committed() == ["c1"] and not rollup.commit("b1", one) and not rollup.commit("c0", one) and totals(rollup) == want
+
+
 def test_rollup_edge(edge, empty):
     got = token_rollups.document_totals(edge).collect()
     assert sum(r.n_docs for r in got) == len({i for i, t in EDGE if i is not None and len((t or "").encode().split()) >= 10})

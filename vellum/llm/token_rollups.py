@@ -11,7 +11,8 @@ Commits: ledger and delta are tables of their own for each batch id, written by
 Spark's commit protocol; the delta's success mark is the commit. A batch id that
 has it is not applied again; one without it (a driver lost in between) is
 written anew, over what the first try left. State reads committed batches only.
-``compact`` sums committed deltas and ledgers into one batch.
+``compact`` sums committed deltas and ledgers into one batch, which names the
+ids it replaces: from its commit on they no longer count, and stay applied.
 
 Cases: of several changes of one document and tokenizer in a batch, the last by
 (seq, n_tokens, source, lang) counts; an insert of a known document revises it;
@@ -52,18 +53,27 @@ class TokenRollup:
     def _at(self, kind: str, batch: str) -> str:
         return f"{self.path}/{kind}/batch={batch}"
 
-    def committed(self) -> list[str]:
-        """Ids of committed batches, in order; their number is that of commits since the last compaction."""
+    def _ids(self) -> tuple[list[str], set[str]]:
+        """Ids of batches whose delta was finished, and those that finished compactions replace."""
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/delta")
         fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(where):
-            return []
+            return [], set()
         names = [x.getPath().getName().removeprefix("batch=") for x in fs.listStatus(where)]
-        return sorted(x for x in names if self._exists(self._at("delta", x) + "/_SUCCESS"))
+        done = sorted(x for x in names if self._exists(self._at("delta", x) + "/_SUCCESS"))
+        compacted = [x for x in done if self._exists(self._at("replaced", x))]
+        return done, {r.id for r in self._read("replaced", "id string", compacted).collect()} if compacted else set()
+
+    def committed(self) -> list[str]:
+        """Ids of committed batches, in order; their number is that of commits since the last compaction."""
+        done, replaced = self._ids()
+        return [x for x in done if x not in replaced]
 
     def is_committed(self, batch: str) -> bool:
-        return self._exists(self._at("delta", batch) + "/_SUCCESS")
+        """Whether a batch was applied, be it that a compaction has replaced it."""
+        done, replaced = self._ids()
+        return batch in done or batch in replaced
 
     def _read(self, kind: str, schema: str, batches: list[str]) -> DataFrame:
         if not batches:
@@ -97,18 +107,20 @@ class TokenRollup:
         return rows.groupBy("op", "tokenizer", "source", "lang").agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
 
     def compact(self, batch: str) -> None:
-        """Replaces all committed batches by one of this (new) id; their ids may then come again."""
-        old = self.committed()
-        if not old or batch in old:
+        """Replaces all committed batches by one of this (new) id; a batch of their ids is not applied again."""
+        done, replaced = self._ids()
+        old = [x for x in done if x not in replaced]
+        if not old or batch in done or batch in replaced:
             return
         state = self.state(old).select(F.lit("insert").alias("op"), "doc_id", "tokenizer", "source", "lang", F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
         state.write.mode("overwrite").parquet(self._at("ledger", batch))
-        merged = shared.written(self._sum(self._read("delta", DELTA, old)), "deltas")
-        for x in old:
-            shared.drop(self.spark, self._at("delta", x))
-        merged.write.mode("overwrite").parquet(self._at("delta", batch))
-        for x in old:
-            shared.drop(self.spark, self._at("ledger", x))
+        ids = sorted({*old, *replaced})
+        self.spark.createDataFrame([(x,) for x in ids], "id string").coalesce(1).write.mode("overwrite").parquet(self._at("replaced", batch))
+        self._sum(self._read("delta", DELTA, old)).write.mode("overwrite").parquet(self._at("delta", batch))
+        # the new batch counts instead of them; what a lost driver leaves here goes with the next compaction
+        for x in ids:
+            for kind in ("replaced", "ledger", "delta"):
+                shared.drop(self.spark, self._at(kind, x))
 
     def totals(self, batches: list[str] | None = None) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, and the tokens that inserts, revisions and deletes brought."""
