@@ -3,9 +3,9 @@
 Method: each window of 50 words names one suffix, the one that begins at the
 window's minimiser (the smallest hash of an 8-word run in it, leftmost in a
 tie), so equal windows name suffixes at the same place in both. Only these
-suffixes, about one word in 22, are kept. They are sorted by their first eight
-words and compared with their neighbours; those equal to a neighbour are
-extended left and right by comparing the windows around them, place by place.
+suffixes, about one word in 22, are kept. They are sorted by a hash of their
+first eight words, so neighbours are classes of equal ones, not a suffix order;
+within a class, windows are grouped by their hash. No match is extended.
 Windows found twice or more are repeats; of equal ones the first by (doc_id,
 place) is the source, the others are copies. Touching windows merge into
 spans, so a match reaches as far as it holds. A pair of texts with 50 or more
