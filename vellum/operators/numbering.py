@@ -14,12 +14,14 @@ def list_indexes(items: DataFrame, scope: list[str], order: list[str], levels: i
     A counter of a level starts anew when an item of a smaller level of the
     same number comes between. So with s_k the count of items above level k so
     far, items of level k with one s_k count on together. Bullets and none have
-    no index. Levels are those of the format, 0 to 8; more can be asked for.
+    no index. Levels are those of the format, 0 to 8; items beyond are few, and are
+    collected to be counted.
     """
     upto = Window.partitionBy(*scope, "num_id").orderBy(*order)
-    level = F.least(F.col("ilvl"), F.lit(levels - 1))
-    runs = F.array(*(F.sum((F.col("ilvl") < k).cast("int")).over(upto) for k in range(levels)))
-    out = items.withColumn("_run", F.get(runs, level))
+    runs = F.array(*(F.sum((F.col("ilvl") < k).cast("int")).over(upto) for k in range(levels + 1)))
+    out = items.withColumn("_deep", F.collect_list(F.when(F.col("ilvl") >= levels, F.col("ilvl"))).over(upto))
+    deeper = F.size(F.filter("_deep", lambda x: x < F.col("ilvl")))
+    out = out.withColumn("_run", F.get(runs, F.least(F.col("ilvl"), F.lit(levels))) + deeper).drop("_deep")
     within = Window.partitionBy(*scope, "num_id", "ilvl", "_run").orderBy(*order)
     index = F.col("start") + F.row_number().over(within) - 1
     return out.withColumn("display_index", F.when(~F.col("list_type").isin("bullet", "none"), index).cast("long")).drop("_run")
