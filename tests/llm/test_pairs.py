@@ -9,6 +9,7 @@ from llm_models import EDGE, lower, shingles
 from vellum.llm import fingerprints, jaccard_join, suffix_dedup
 from vellum.llm.components import connected_components
 from vellum.llm.queries import QUERIES
+from vellum.llm.words import hashed
 
 
 def components(rows):
@@ -68,12 +69,47 @@ def test_jaccard_two_groups(spark):
     assert got[1] == (8, 1) and got[2] == (8, 2) and got[3] == (8, 2) and got == components(rows)
 
 
+def test_jaccard_members_of_two_groups(spark):
+    """Two groups of two, whose second members alone link."""
+    tail = lambda k: " ".join(f"{k}{j}" for j in range(29))
+    head = lambda k: " ".join([k, *(f"h{j}" for j in range(10))])
+    rows = [(1, "p", "a"), (2, "p", "b"), (3, "q", "c"), (4, "q", "b")]
+    rows = [(i, f"{head(h)} sep {tail(t)}") for i, h, t in rows]
+    rows += [(10 + k, " sep ".join([" ".join(f"f{k}-{j}" for j in range(300)), tail("a"), tail("b"), tail("c")])) for k in range(10)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[2] == got[4] == 2 and got == {i: c for i, (_, c) in components(rows).items()}
+
+
+def test_jaccard_random_families(spark):
+    """Texts of equal beginnings and differing ends, in every mixture."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(12):
+        base, ends = [f"f{family}-{j}" for j in range(30)], [[f"e{family}-{k}-{j}" for j in range(9)] for k in range(3)]
+        for _ in range(10):
+            w = list(base)
+            w[rng.integers(0, 30)] = f"r{rng.integers(3)}"
+            rows.append((len(rows), " ".join([*w, *ends[rng.integers(3)][: rng.integers(2, 10)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == components(rows)
+
+
 def test_jaccard_hot_and_long_lists(documents, rows):
-    """All keys by the way of very common ones, all lists in blocks."""
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents, hot_entries=2, block=3).collect()}
+    """All keys by the way of very common ones, all lists in blocks, leaders with few followers a group."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents, hot_entries=2, block=3, followers=2).collect()}
     assert got == components(rows)
 
 
+def test_word_hashes():
+    """Two words that a polynomial over bytes modulo 2^64 cannot tell apart."""
+    word = b"a"
+    for _ in range(11):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    h, starts = hashed([word, word.translate(bytes.maketrans(b"ab", b"ba")), word.upper()])
+    assert h[0] != h[1] and h[0] == h[2] and starts.tolist() == [0, 1, 2, 3]
+
+
 def test_jaccard_edge(edge, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(edge).collect()), key=str)
     want = components(EDGE)

@@ -11,7 +11,7 @@ No group emits all its pairs. Within the sorted list of an index key each
 entry has a leader, the first one whose size allows a link; an entry is first
 verified against the leader it shares most keys with, which gives components
 of copies at one comparison a text. Every list that then still holds different
-components is taken up again: twice with the likeliest pair of each component,
+components is taken up again: once with the likeliest pair of each component,
 and last with all pairs of entries whose components differ, so that no link
 between components is lost and none within a component is tried. Before texts
 are compared, bit parities of the sets (four to eight bits for each member)
@@ -19,13 +19,16 @@ bound the overlap from above and drop pairs that cannot link.
 
 Sizes: the order comes from a sketch of fixed size (2^20 counters) over all
 texts; index entries travel as packed arrays, one blob for each index part and
-batch; texts travel only for the candidates that a fixed-size Bloom filter of
-candidate ids lets through (it saturates at scale and then merely stops
-saving). All tables between steps are in spark.checkpoint.dir. The order by
+batch, and the parts grow in number with the input; texts travel, packed, only
+for the candidates that a fixed-size Bloom filter of candidate ids lets through
+(it saturates at scale and then merely stops saving). All tables between steps
+are in spark.checkpoint.dir; those that the result does not read are dropped. The order by
 frequency keeps very common keys out of all but short texts' prefixes; those
 that are left are dealt, by the sketch's count, into several lists with leaders
 of their own, which the second round takes up as one. There a long list is
-dealt into blocks, and each two blocks are compared by a task of their own.
+dealt into blocks, and each two blocks are compared in a group of their own: no
+group is large, but the work grows with the square of the blocks. So are the
+texts that one leader is verified against dealt into groups.
 
 Cases: a null or blank text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; rows that share a doc_id are one node; a
@@ -41,7 +44,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -53,7 +57,8 @@ SKETCH_BITS = 20
 SKETCH_ROW = 4096
 BLOOM_BITS = 23
 HOT_ENTRIES = 2_000_000
-BLOCK = 4096
+BLOCK = 2048
+FOLLOWERS = 1000
 
 
 def _signed(x: int) -> int:
@@ -78,25 +83,15 @@ def _sketch_rows(width: int):
                 for s in shingle_sets(utf8(piece["text"]), width):
                     np.add.at(counts, (s & low).astype(np.int64), 1)
         if counts.any():
-            parts = counts.reshape(-1, SKETCH_ROW)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+            yield shared.as_rows(counts, SKETCH_ROW)
 
     return rows
 
 
-def _sketch_sum(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"row": table["row"][:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-
 def shingle_sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How many (text, shingle) pairs fall on each of 2^20 buckets, over all texts. 8 MB, whatever the input."""
-    rows = docs.select("text").mapInArrow(_sketch_rows(width), "row int, counts binary")
-    rows = rows.groupBy("row").applyInArrow(_sketch_sum, "row int, counts binary").collect()
-    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.uint32).reshape(-1, SKETCH_ROW)
-    for row, counts in rows:
-        out[row] = np.frombuffer(counts, np.uint32)
-    return out.reshape(-1)
+    """How many (text, shingle) pairs fall on each of 2^20 buckets, over all texts. 4 MB, whatever the input."""
+    rows = docs.select("text").mapInArrow(_sketch_rows(width), shared.ARRAY)
+    return np.minimum(shared.total_of(rows, 1 << SKETCH_BITS, SKETCH_ROW, "u4", "i8"), (1 << 32) - 1).astype(np.uint32)
 
 
 def parities(members: np.ndarray) -> bytes:
@@ -247,15 +242,7 @@ def _first_round(sketch, limit: int, num: int, den: int):
             size, place = (np.concatenate([x[i] for x in seen.values()]).astype(np.int64) for i in (0, 1))
             yield _out(list=pa.array(k), gid=pa.array(g), n=pa.array(size), at=pa.array(place))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["entries"].to_pylist(), strict=True):
-                held.setdefault(part, []).append(blob)
-        while held:
-            yield from lists_of(held.popitem()[1])
-
-    return rows
+    return shared.by_part(lambda part, rows: lists_of([x for (x,) in rows]), ("entries",))
 
 
 _ROUND = ("a", "b", "keys", "alone", "list", "gid", "n", "at")
@@ -335,90 +322,96 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << BLOOM_BITS, bool)
     for batch in batches:
         seen[_bit(np.asarray(batch["id"]))] = True
-    packed = np.packbits(seen).reshape(-1, SKETCH_ROW)
-    keep = np.flatnonzero(packed.any(axis=1))
-    if len(keep):
-        yield pa.RecordBatch.from_pydict({"row": pa.array(keep, pa.int32()), "bits": pa.array([packed[k].tobytes() for k in keep], pa.binary())})
-
-
-def _bits_or(table: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-    return pa.table({"row": table["row"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
+    yield shared.as_rows(np.packbits(seen), SKETCH_ROW)
 
 
 def _passing(bloom):
+    """Texts whose ids the filter lets through, packed."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.value
+        seen, packer = bloom.value, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keep = seen[_bit(np.asarray(batch["doc_id"].cast(pa.int64())))]
-            if keep.any():
-                yield batch.filter(pa.array(keep)).cast(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+            ids = batch["doc_id"].cast(pa.int64())
+            keep = pa.array(seen[_bit(np.asarray(ids))])
+            texts = [packer.compress(x) for x in utf8(batch["text"].filter(keep))]
+            yield pa.RecordBatch.from_arrays([ids.filter(keep), pa.array(texts, pa.binary())], ["doc_id", "packed"])
 
     return rows
 
 
 def _verify(width: int, num: int, den: int):
-    """Rows come sorted by leader, the leader's own text (b null) first."""
+    """Rows come sorted by leader and salt, the leader's own text (b null) first."""
+
+    def similar(x: np.ndarray, s: np.ndarray) -> bool:
+        if not len(x) or len(x) * num > den * len(s) or len(s) * num > den * len(x):
+            return False
+        place = np.searchsorted(x, s)
+        place[place == len(x)] = 0
+        both = int((x[place] == s).sum())
+        return den * both >= num * (len(x) + len(s) - both)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders: list[np.ndarray] = []
-        now = None
+        now, opener = None, zstandard.ZstdDecompressor()
         for batch in batches:
-            for piece in small_batches(batch, "text"):
+            for piece in small_batches(batch, "packed", 4 << 20):
                 out_a, out_b = [], []
-                sets = shingle_sets(utf8(piece["text"]), width)
-                for a, b, s in zip(piece["a"].to_pylist(), piece["b"].to_pylist(), sets, strict=True):
-                    if a != now:
-                        now, leaders = a, []
+                sets = shingle_sets([opener.decompress(x) for x in piece["packed"].to_pylist()], width)
+                for a, b, salt, s in zip(*(piece[c].to_pylist() for c in ("a", "b", "salt")), sets, strict=True):
+                    if (a, salt) != now:
+                        now, leaders = (a, salt), []
                     if b is None:
                         leaders.append(s)
-                        continue
-                    for x in leaders:
-                        if len(x) * num > den * len(s) or len(s) * num > den * len(x):
-                            continue
-                        place = np.searchsorted(x, s)
-                        place[place == len(x)] = 0
-                        both = int((x[place] == s).sum()) if len(x) else 0
-                        if both and den * both >= num * (len(x) + len(s) - both):
-                            out_a.append(a), out_b.append(b)
-                            break
+                    elif any(similar(x, s) for x in leaders):
+                        out_a.append(a)
+                        out_b.append(b)
                 if out_a:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return rows
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose whole shingle sets are similar enough."""
+def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, followers: int = FOLLOWERS) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose whole shingle sets are similar enough.
+
+    The texts paired with one a meet it in a group; if there are more than
+    followers of them, in several groups, each with a's text. pairs is read
+    several times: a written table.
+    """
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = ids.mapInArrow(_bits, "row int, bits binary").groupBy("row").applyInArrow(_bits_or, "row int, bits binary").collect()
-    seen = np.zeros((1 << BLOOM_BITS) // 8, np.uint8).reshape(-1, SKETCH_ROW)
-    for row, x in bits:
-        seen[row] = np.frombuffer(x, np.uint8)
-    bloom = spark.sparkContext.broadcast(np.unpackbits(seen.reshape(-1)).astype(bool))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_passing(bloom), "doc_id long, text string")
-    wanted = pairs.select("a", F.col("b").alias("doc_id")).union(pairs.select("a", F.col("a")).distinct())
-    rows = wanted.join(texts, "doc_id").select("a", F.when(F.col("doc_id") != F.col("a"), F.col("doc_id")).alias("b"), "text")
-    rows = rows.repartition(shared.partitions(spark), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    seen = shared.total_of(ids.mapInArrow(_bits, shared.ARRAY), (1 << BLOOM_BITS) // 8, SKETCH_ROW, "u1", "u1", shared.either)
+    bloom = spark.sparkContext.broadcast(np.unpackbits(seen).astype(bool))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_passing(bloom), "doc_id long, packed binary")
+    # a table of so few rows that Spark, which knows its size, need not shuffle pairs for it
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / followers).cast("int").alias("salts")).where("salts > 1")
+    heavy = shared.written(heavy, "heavy")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    wanted = pairs.join(heavy, "a", "left").select("a", salt.alias("salt"), F.col("b").alias("doc_id"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    leaders = pairs.select("a").distinct().join(heavy, "a", "left").select("a", every.alias("salt"), F.col("a").alias("doc_id"))
+    rows = wanted.union(leaders).join(texts, "doc_id").select("a", "salt", F.when(F.col("doc_id") != F.col("a"), F.col("doc_id")).alias("b"), "packed")
+    rows = rows.repartition(shared.parts_for(docs), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify(width, num, den), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, hot_entries: int = HOT_ENTRIES, block: int = BLOCK) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, hot_entries: int = HOT_ENTRIES, block: int = BLOCK, followers: int = FOLLOWERS
+) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, set_id (smallest doc_id with an equal set)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = shared.partitions(spark)
+    parts, own = shared.parts_for(docs), shared.Tables(spark)
     sketch = spark.sparkContext.broadcast(shingle_sketch(docs, width))
     made = docs.mapInArrow(_prefix_rows(sketch, width, num, den), "doc_id long, n_shingles long, s1 long, s2 long, g long, prefix binary, bits binary")
     kept = shared.written(made, "prefixes")
     full = kept.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("g").alias("g"))
-    sets = shared.written(sets, "sets")
+    sets = shared.written(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("g").alias("g")), "sets")
     groups = sets.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(groups.groupBy("gid").agg((F.max("size") > 1).alias("many")), "gid")
-    blobs = indexed.mapInArrow(_index_rows(parts, sketch, hot_entries), "part int, entries binary").repartition(parts, "part")
-    found = shared.written(blobs.mapInArrow(_first_round(sketch, hot_entries, num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
+    many = groups.groupBy("gid").agg((F.max("size") > 1).alias("many"))
+    indexed = full.select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "prefix").join(many, "gid")
+    blobs = shared.dealt(indexed.mapInArrow(_index_rows(parts, sketch, hot_entries), "part int, entries binary"), parts)
+    found = own.written(blobs.mapInArrow(_first_round(sketch, hot_entries, num, den), ", ".join(f"{c} long" for c in _ROUND)), "lists")
     members = sets.select("rep", "g", "n").join(groups.where("size > 1"), ["g", "n"])
     bits = full.select("doc_id", "n_shingles", "bits")
 
@@ -427,48 +420,68 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
         return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(num, den), "a long, b long").distinct()
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = shared.written(pairs, "pairs")
-        return pairs if pairs.isEmpty() else shared.written(verified(docs, pairs, width, num, den), "links")
+        pairs = own.written(pairs, "pairs")
+        links = pairs if pairs.isEmpty() else shared.written(verified(docs, pairs, width, num, den, followers), "links")
+        if links is not pairs:
+            own.drop(pairs)
+        return links
 
     # each entry with the leader it shares most keys with, each member of a group with its first
-    pairs = shared.written(found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.sum("alone").alias("alone")), "leaders")
+    pairs = own.written(found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.sum("alone").alias("alone")), "leaders")
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
-    links = links_of(possible(first.union(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))))
+    of_groups = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    links = links_of(possible(first.union(of_groups)))
     nodes = shared.written(connected_components(links), "nodes")
 
+    entries = own.written(_entries(found, members, block), "entries")
+    own.drop(found)
     # what lists and groups still hold of different components
-    lists = found.where("list IS NOT NULL").groupBy("list", "gid").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    lists = lists.join(members.select("gid", "rep"), "gid", "left").select("list", F.coalesce("rep", "gid").alias("rep"), "n", "at")
-    grouped = members.where("size > 2").select(F.xxhash64("g", "n", F.lit("group")).alias("list"), "rep", "n", F.lit(0).cast("long").alias("at"))
-    entries = lists.union(grouped)
-    for best, with_twos in ((True, True), (True, False), (False, False)):
+    for best in (True, False):
         label = nodes.withColumnRenamed("node", "rep")
         named = entries.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2").select("list", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-        entries = shared.written(named.join(mixed, "list").select("list", "rep", "n", "at", "component", "blocks"), "entries")
-        with_bits = entries.join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep")
-        # long lists are dealt into blocks, and each two blocks meet in a group of their own
-        with_bits = with_bits.withColumn("block", F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        groups_of = ["list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-        more = with_bits.groupBy(*groups_of).applyInArrow(_across(best, num, den), "a long, b long").distinct()
-        if with_twos:  # and the lists of two groups of one member each
+        one_list = Window.partitionBy("list", "x", "y")
+        named = named.withColumn("c1", F.min("component").over(one_list)).withColumn("c2", F.max("component").over(one_list))
+        mixed = own.written(named.where("c1 <> c2").drop("c1", "c2"), "mixed")
+        with_bits = mixed.join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep")
+        more = with_bits.groupBy("list", "x", "y").applyInArrow(_across(best, num, den), "a long, b long").distinct()
+        if best:  # and the lists of two groups of one member each
             twos = pairs.where("alone > 0").select("a", "b").join(first, ["a", "b"], "left_anti")
             for k in ("a", "b"):
                 twos = twos.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
             more = more.union(possible(twos.where("coalesce(ca, a) <> coalesce(cb, b)"))).distinct()
-        entries = entries.drop("component", "blocks")
         new = links_of(more)
+        own.drop(entries)
+        entries = mixed.drop("component")
         if not new.isEmpty():
             links = links.union(new)
             nodes = shared.written(connected_components(links), "nodes")
 
-    classes = sets.select("s1", "s2", "rep").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
+    classes = sets.select("s1", "s2", "rep").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = kept.select("doc_id", "n_shingles", "s1", "s2")
-    joined = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("rep").alias("set_id"))
+    joined = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["s1", "s2"])
+    joined = joined.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("rep").alias("set_id"))
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
     return joined.union(alone)
 
 
+def _entries(found: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """list, x, y, rep, n, at, block: entries of index lists and of groups, with all members of their groups.
+
+    A list of more than block entries is dealt into blocks, and each two
+    blocks x and y are a list of their own.
+    """
+    lists = found.where("list IS NOT NULL").groupBy("list", "gid").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    lists = lists.join(members.select("gid", "rep"), "gid", "left").select("list", F.coalesce("rep", "gid").alias("rep"), "n", "at")
+    grouped = members.where("size > 2").select(F.xxhash64("g", "n", F.lit("group")).alias("list"), "rep", "n", F.lit(0).cast("long").alias("at"))
+    rows = shared.written(lists.union(grouped), "list-entries")
+    # a table of so few rows that Spark, which knows its size, need not shuffle entries for it
+    long_ = shared.written(rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "long-lists")
+    rows = rows.join(long_, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "n", "at", "block")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of docs for each component, the smallest doc_id's, with all columns; rows without doc_id all stay."""
     keep = jaccard_components(docs, **options).where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()

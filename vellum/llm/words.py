@@ -4,7 +4,8 @@ A word is a run of bytes other than space, tab, line feed, vertical tab, form
 feed and carriage return; A-Z count as a-z. Texts are handled as UTF-8 bytes.
 A word's hash is a polynomial in a fixed odd number over 64-bit values of its
 bytes, modulo 2^64, then mixed: differences of one running sum over all bytes
-give all words at once. Two words collide with a chance of about 2^-56.
+give all words at once. Words of more than LONG bytes, for which such a
+polynomial has collisions by construction, are hashed one by one by XXH3.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _33 = np.uint64(33)
 SEGMENT = 1 << 19
+LONG = 64
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -69,7 +72,10 @@ def _segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _Powers.reach(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES.take(data) * _Powers.up[: len(data)], out=sums[1:])
-    return first, mix((sums.take(last) - sums.take(first)) * _Powers.down.take(first) + (last - first).astype(np.uint64) * _ODD)
+    out = mix((sums.take(last) - sums.take(first)) * _Powers.down.take(first) + (last - first).astype(np.uint64) * _ODD)
+    for k in np.flatnonzero(last - first > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[first[k] : last[k]].tobytes().lower())
+    return first, out
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
