@@ -101,6 +101,39 @@ def test_damage_inside_a_member():
     assert ids(found) == [0, 2, 1] and len(gaps(found)) == 1
 
 
+def test_mixed_archive():
+    """Members and plain records in one file, with a damaged member between."""
+    parts = archive(5)
+    packed = [warc.member(x) for x in parts]
+    found = list(warc.salvage(packed[0] + packed[1][:-30] + parts[2] + parts[3] + packed[4]))
+    assert ids(found) == [0, 2, 3, 4] and gaps(found) == [(len(packed[0]), len(packed[1]) - 30)]
+    found = list(warc.salvage(parts[0] + b"noise" + packed[1] + parts[2][:40] + packed[3]))
+    assert ids(found) == [0, 1, 3] and len(gaps(found)) == 2
+
+
+def test_wrong_checksum():
+    """Records whose own digest holds outlive their member's checksum; others do not."""
+    a, b, _ = archive(3)
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 7\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    packed = bytearray(warc.member(a + bare + b))
+    packed[-6] ^= 1
+    found = list(warc.salvage(bytes(packed) + warc.member(bare)))
+    assert ids(found) == [0, 1, 7] and gaps(found) == [(0, len(packed))]
+
+
+def test_foreign_fields(spark, tmp_path):
+    """Digests and numbers of other makers are read where they can be, and never stop the job."""
+    block, out = b"HTTP/1.1 200 OK\r\n\r\nxyz", []
+    for k, (named, kind, number) in enumerate([("sha1:" + hashlib.sha1(block).hexdigest(), "response", "z"), ("md5:" + hashlib.md5(block).hexdigest(), "revisit", "12"), ("blake3:abc", "revisit", ""), ("sha256:!!", "resource", "9" * 40), ("sha1:" + "0" * 40, "response", "5")]):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nX-Page-ID: {number}\r\nWARC-Block-Digest: {named}\r\nWARC-Payload-Digest: {named}\r\nX-Refers-To-Page-ID: q\r\nContent-Length: {len(block)}\r\n\r\n"
+        record = head.encode() + block + b"\r\n\r\n"
+        out.append(warc.member(record) if k % 2 else record)
+    (tmp_path / "a.warc").write_bytes(b"".join(out))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").orderBy("place").collect()
+    assert [(r.kind, r.page_id, r.refers_to) for r in rows] == [("response", None, None), ("revisit", 12, None), ("revisit", None, None), ("resource", None, None), ("gap", None, None)]
+    assert rows[1].payload_digest is None and rows[0].payload_digest == hashlib.sha1(b"xyz").hexdigest() and rows[4].reason == "wrong block digest"
+
+
 def test_extraction_query(spark, sf):
     got = {r.page_id: r for r in QUERIES["op5_html_extract"](spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
@@ -128,6 +161,51 @@ def test_extraction_of_plain_pages():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
 
 
+PARAGRAPH = "A paragraph of text without any markup that tells its kind, number {}. It has sentences, and it has a good number of words in each of them."
+
+
+def test_extraction_is_not_dropped_by_words():
+    paragraphs = [PARAGRAPH.format(k) for k in range(6)]
+    inner = "".join(f"<p>{x}</p>" for x in paragraphs)
+    menu = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    for words in ("popup-book print tags", "sidebar", "menu reply", "toc"):
+        assert html_extract.main_text(f'{menu}<div class="{words}">{inner}</div>') == "\n".join(paragraphs)
+    article = f'<article><p>{paragraphs[0]}</p><div class="toc">{inner}</div><div class="toc"><a href=a>Part one</a></div></article>'
+    assert html_extract.main_text(menu + article) == "\n".join([paragraphs[0], *paragraphs])
+    assert html_extract.main_text(f'<div class="ad">Buy this now. It is good.</div><div>{inner}</div>') == "\n".join(paragraphs)
+
+
+def unmarked(rng):
+    """Blocks (text, tag, whether content) of a page whose elements tell nothing: menu, column of text, end lines."""
+    word = lambda n: " ".join(rng.choice(["tor", "elan", "mira", "sol", "udo", "brin", "kesta"]) + str(rng.randint(0, 999)) for _ in range(n))
+    menu = [(word(rng.randint(1, 3)), "li", False) for _ in range(rng.randint(3, 8))]
+    body = [(word(5), "h1", True)]
+    for _ in range(rng.randint(5, 12)):
+        # captions and headings of a few words without a full stop stand between paragraphs
+        body.append((word(rng.randint(1, 4)), "div", True) if rng.random() < 0.3 else (word(rng.randint(20, 60)) + ".", "p", True))
+    body.append((word(30) + ".", "p", True))
+    ends = [(word(rng.randint(1, 4)), "div", False) for _ in range(rng.randint(3, 5))]
+    ends.insert(2, (word(8) + ".", "div", False))
+    return [menu, body, ends]
+
+
+def test_the_cut_decides():
+    """On pages that tell nothing the cut changes labels, and for the better."""
+    rng, alone, cut, changed, n = random.Random(10), 0, 0, 0, 0
+    for _ in range(200):
+        parts = unmarked(rng)
+        page = "".join(f"<div>{''.join(f'<{t}>{x}</{t}>' for x, t, _ in part)}</div>" for part in parts)
+        found = html_extract.blocks(page)
+        truth = [good for part in parts for _, _, good in part]
+        assert [b.text for b in found] == [x for part in parts for x, _, _ in part]
+        sign, made = [z > 0 for z in html_extract.log_odds(found)], html_extract.labels(found)
+        n += len(truth)
+        alone += sum(map(bool.__eq__, sign, truth))
+        cut += sum(map(bool.__eq__, made, truth))
+        changed += sum(map(bool.__ne__, sign, made))
+    assert changed > 0.08 * n and cut > 0.98 * n > 0.9 * n > alone
+
+
 def test_extraction_edge(odd_pages):
     df, rows = odd_pages
     got = html_extract.extracted(df).collect()

@@ -2,12 +2,17 @@
 
 Method: a page is cut into blocks of text at block-level tags, each with its
 open elements. A classifier with fixed weights gives each block the log odds
-of being content, from what its elements say of themselves (tag, class, id,
-role), the share of linked characters, length and punctuation. Log odds become
-capacities from the source (content) or to the sink (boilerplate). Neighbours
-in the page are joined by an edge that is stronger the more open elements they
-share, and so is each block with the next one under the same parent. A maximum
-flow is a minimum cut: the blocks still reached from the source are content.
+of being content, from its length, sentences, share of linked characters,
+whether a short text comes again, the article it stands in, and what one element
+around it says of itself (tag, class, id, role): that is one bounded feature,
+which counts for less the more of the page's text that element holds, so that
+no single word drops an article. Log odds become capacities from the source
+(content) or to the sink (boilerplate). Neighbours in the page are joined by an
+edge that is stronger the nearer they are in the element tree and weaker across
+the border of an article or of an element that names boilerplate; so is each
+block with the next one under the same parent. A maximum flow is a minimum cut:
+the blocks still reached from the source are content, so that a short line in
+an article follows its neighbours, and a sentence in a footer follows its.
 
 The cut runs page by page, so pages spread over tasks as they are read, and
 nothing is shuffled. A page of n blocks has at most 4n edges.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,15 +43,23 @@ HIDDEN_TAGS = frozenset("applet audio canvas datalist head iframe math noframes
 RAW_TAGS = frozenset("iframe noframes noscript script style textarea title xmp".split())
 CHROME_TAGS = frozenset("aside button dialog fieldset footer form label legend menu nav option select".split())
 MAIN_TAGS = frozenset("article main".split())
-CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo complementary cookie cookies copyright dialog disclaimer discussion disqus donate footer footnav gdpr header hero login masthead menu menubar metadata modal nav navbar navigation newsletter notice notices notification pager paginate pagination paywall popup print privacy promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription tabs tags teaser toc toolbar topbar trending warning widget".split())
+CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies copyright discussion disqus footer footnav gdpr header login masthead menu menubar nav navbar navigation newsletter notice notices pager paginate pagination promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar sidenav signin signup social sponsor sponsored subscribe subscription toolbar topbar trending".split())
+HINT_WORDS = frozenset("byline dialog disclaimer donate hero metadata modal notification paywall popup print privacy search skip tabs tags teaser toc warning widget".split())
 MAIN_WORDS = frozenset("article articlebody body blog content entry main page post story text".split())
+ALWAYS_WORDS = frozenset("ad ads comment comments cookie footer menu nav sidebar".split())
 CLOSED_BY_BLOCKS = frozenset(["p"])
 CLOSES_SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}
 
 # Weights of the classifier, in log odds.
-BIAS, CHROME, MAIN, WORDED = 0.2, -9.0, 3.0, 0.6
-LINKED, LONG, SENTENCE, HEADING = -3.0, 0.9, 0.6, 0.3
-NEAR, SIBLING = 0.9, 0.9
+BIAS, LENGTH, FULL_LENGTH = -0.8, 2.2, 25
+SENTENCE, HEADING, MAIN, WORDED = 0.8, 0.4, 2.5, 0.6
+LINKED, REPEATED, SHORT = -3.0, -1.0, 10
+CHROME, HINT = -5.5, -2.0
+# An element of this many words that holds most of a page's text names boilerplate in vain.
+LARGE = 100
+# Weights of edges: to the neighbour in the page, halved for each further step in the tree, to the next block
+# under one parent; and factors: across a border, between elements of two tags.
+NEAR, SIBLING, ACROSS, OTHER_TAG = 1.6, 0.6, 0.2, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -56,19 +70,21 @@ _SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
 
 
 class Block:
-    __slots__ = ("chrome", "linked", "main", "parent", "parts", "path", "tag", "text", "worded")
+    """A block of text: path numbers its open block elements, says names those that call it boilerplate."""
 
-    def __init__(self, path: tuple, chrome: bool, main: bool, worded: bool, tag: str):
-        self.path, self.parent, self.chrome, self.main, self.worded, self.tag = path, path[-1:], chrome, main, worded, tag
+    __slots__ = ("linked", "main", "parts", "path", "says", "tag", "text", "words", "worded")
+
+    def __init__(self, path: tuple, says: tuple, main: int, worded: bool, tag: str):
+        self.path, self.says, self.main, self.worded, self.tag = path, says, main, worded, tag
         self.parts: list[str] = []
-        self.linked = 0
+        self.linked = self.words = 0
         self.text = ""
 
 
-def _says(attributes: str, tag: str) -> tuple[bool, bool, bool]:
-    """Whether an element's attributes name boilerplate, name content, or hide it."""
+def _says(attributes: str, tag: str) -> tuple[float, bool, bool]:
+    """What an element's attributes add for boilerplate, whether they name content, and whether they hide it."""
     if "=" not in attributes:
-        return False, False, tag not in VOID_TAGS and " hidden" in attributes
+        return 0.0, False, tag not in VOID_TAGS and " hidden" in attributes
     words: set[str] = set()
     hidden = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -78,14 +94,17 @@ def _says(attributes: str, tag: str) -> tuple[bool, bool, bool]:
         elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "aria-hidden" and value == "true"):
             hidden = True
     chrome, main = not words.isdisjoint(CHROME_WORDS), not words.isdisjoint(MAIN_WORDS)
-    return chrome and not main or bool(words & {"comment", "comments", "sidebar", "ad", "ads", "cookie", "nav", "menu", "footer"}) and tag not in ("main", "article"), main and not chrome, hidden
+    always = not words.isdisjoint(ALWAYS_WORDS) and tag not in MAIN_TAGS
+    if always or chrome and not main:
+        return CHROME, False, hidden
+    return (HINT if not main and not words.isdisjoint(HINT_WORDS) else 0.0), main and not chrome, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    # open elements: tag, number, hidden, chrome, main, worded
-    stack: list[tuple] = [("", 0, False, False, False, False)]
+    # open elements: tag, number, hidden, what they and those around say (number, weight), article, worded
+    stack: list[tuple] = [("", 0, False, (), 0, False)]
     numbers, at, links = 0, 0, 0
     block: Block | None = None
     tail = _OPEN_TAG.search(page, page.rfind("<") if "<" in page else len(page))
@@ -157,30 +176,45 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, position)
             at = position = close.end() if close else len(page)
             continue
-        chrome, main, hidden = _says(attributes, tag) if tag not in ("html", "body") and attributes else (False, False, False)
+        weight, worded, hidden = _says(attributes, tag) if tag not in ("html", "body") and attributes else (0.0, False, False)
         above = stack[-1]
         numbers += 1
-        plain_header = tag == "header" and not above[4]
-        stack.append((tag, numbers, above[2] or hidden or tag in HIDDEN_TAGS, above[3] or chrome or tag in CHROME_TAGS or plain_header, above[4] or tag in MAIN_TAGS, above[5] or main))
+        if tag in CHROME_TAGS or tag == "header" and not above[4]:
+            weight = CHROME
+        says = (*above[3], (numbers, weight)) if weight else above[3]
+        # an article within boilerplate, such as a reader's comment, is none
+        inside = tag in MAIN_TAGS and all(w > CHROME for _, w in says)
+        stack.append((tag, numbers, above[2] or hidden or tag in HIDDEN_TAGS, says, numbers if inside else above[4], above[5] or worded))
         links += tag == "a"
     text(page[at:end] if at < end else "")
     flush()
     return out
 
 
-def log_odds(b: Block) -> float:
-    n = len(b.text)
-    z = BIAS + LINKED * min(1.0, b.linked / max(1, n))
-    z += CHROME if b.chrome else MAIN if b.main else WORDED if b.worded else 0.0
-    if n >= 80:
-        z += LONG
-    if _SENTENCE.search(b.text):
-        z += SENTENCE
-    elif n < 40 and not b.main:
-        z -= 0.8
-    if b.tag in ("h1", "h2", "h3"):
-        z += HEADING
-    return z
+def log_odds(found: list[Block]) -> list[float]:
+    """What speaks for each block being content, by itself."""
+    total, inside, times = 0, Counter(), Counter(b.text for b in found)
+    for b in found:
+        b.words = b.text.count(" ") + 1
+        if 2 * b.linked < len(b.text):
+            total += b.words
+            for number, _ in b.says:
+                inside[number] += b.words
+
+    def held(number: int) -> float:
+        share = inside[number] / max(1, total)
+        return 1 - share if inside[number] >= LARGE and share > 0.5 else 1.0
+
+    out = []
+    for b in found:
+        z = BIAS + LENGTH * min(1.0, b.words / FULL_LENGTH) + LINKED * min(1.0, b.linked / len(b.text))
+        z += SENTENCE if _SENTENCE.search(b.text) else 0.0
+        z += HEADING if b.tag in ("h1", "h2", "h3") else 0.0
+        z += MAIN if b.main else WORDED if b.worded else 0.0
+        z += REPEATED if times[b.text] > 1 and b.words < SHORT and not b.main else 0.0
+        z += min((w * held(number) for number, w in b.says), default=0.0)
+        out.append(z)
+    return out
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -189,16 +223,18 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[tuple, int] = {}
     for k, b in enumerate(found):
         if k:
-            before = found[k - 1].path
+            a = found[k - 1]
             common = 0
-            for x, y in zip(before, b.path, strict=False):
+            for x, y in zip(a.path, b.path, strict=False):
                 if x != y:
                     break
                 common += 1
-            out.append((k - 1, k, NEAR / (1 + len(before) + len(b.path) - 2 * common)))
+            border = a.main != b.main or a.says != b.says
+            steps = max(2, len(a.path) + len(b.path) - 2 * common)
+            out.append((k - 1, k, NEAR / 2 ** min(steps - 2, 30) * (ACROSS if border else 1.0) * (1.0 if a.tag == b.tag else OTHER_TAG)))
         holder = b.path[:-1]
-        if holder in last:
-            out.append((last[holder], k, SIBLING / 2))
+        if holder in last and found[last[holder]].says == b.says:
+            out.append((last[holder], k, SIBLING))
         last[holder] = k
     return out
 
@@ -273,15 +309,17 @@ def minimum_cut(source: list[float], sink: list[float], links: list[tuple[int, i
             a = to[e]
 
 
+def labels(found: list[Block]) -> list[bool]:
+    """For each block whether it is content."""
+    odds = log_odds(found)
+    if not odds or min(odds) > 0 or max(odds) <= 0:
+        return [z > 0 for z in odds]
+    return minimum_cut([max(z, 0.0) for z in odds], [max(-z, 0.0) for z in odds], edges(found))
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    if not found:
-        return ""
-    odds = [log_odds(b) for b in found]
-    if min(odds) > 0:
-        return "\n".join(b.text for b in found)
-    keep = minimum_cut([max(z, 0.0) for z in odds], [max(-z, 0.0) for z in odds], edges(found))
-    return "\n".join(b.text for b, good in zip(found, keep, strict=True) if good)
+    return "\n".join(b.text for b, good in zip(found, labels(found), strict=True) if good)
 
 
 _OUT = "page_id long, url string, text string, n_chars long"
