@@ -10,14 +10,19 @@ archives on any file system that Spark can write, under its commit protocol.
 Reading: files come whole from Spark's binary source (the writer bounds their
 size). A record must pass the checks: its member inflates and its checksum
 holds, its version line and header are complete, its length is there, and its
-block digest is right. After a failed check the reader searches for the next
-gzip member, or in plain archives the next version line, whose record passes;
-the bytes between are logged as one quarantined gap and what follows is read.
+block digest is right (SHA-1, SHA-256 and MD5, in base 32 or hex; others are not
+checked). Members and plain records may follow one another in one file. After a
+failed check the reader searches for the next place, be it a gzip member or a
+version line, from which a record passes; the bytes between are logged as one
+quarantined gap and what follows is read. Of a member that inflates but whose
+checksum is wrong, records with a right block digest are kept, and it is logged.
 
 Cases: a null html is an empty payload; a null url is an empty target; pages
 with a null page_id are written and read as such and are never referred to
 before others; repeated rows are separate records (of equal ones with the same
-largest page_id, all are responses); an empty table gives an empty result.
+largest page_id, all are responses); an empty table gives an empty result;
+fields and digests of other makers that are no numbers or cannot be read are
+null; a gap in archives that were just written stops the job.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from base64 import b32encode
+from base64 import b32decode, b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,8 +92,28 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header fields (names in lower case), block and end of the record at a place in plain bytes."""
+_DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def digest_bytes(named: str) -> tuple[str, bytes] | None:
+    """The algorithm and value of a digest field; None where they cannot be told."""
+    kind, colon, value = named.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if not colon or kind not in _DIGESTS:
+        return None
+    value, size = value.strip(), _DIGESTS[kind]().digest_size
+    try:
+        found = bytes.fromhex(value) if len(value) == 2 * size else b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (kind, found) if len(found) == size else None
+
+
+def parse(data: bytes, at: int = 0, proven: bool = False) -> tuple[dict[str, str], bytes, int]:
+    """Header fields (names in lower case), block and end of the record at a place in plain bytes.
+
+    With proven, a record must have a block digest that can be checked.
+    """
     if not _LINE.match(data, at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
@@ -101,83 +126,107 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
             raise Damaged("header line without a colon")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
         raise Damaged("no length")
     start, stop = end + 4, end + 4 + int(length)
     if stop + 4 > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record cut short")
     block = data[start:stop]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != digest(block):
+    named = digest_bytes(fields.get("warc-block-digest", ""))
+    if named and _DIGESTS[named[0]](block).digest() != named[1]:
         raise Damaged("wrong block digest")
+    if proven and not named:
+        raise Damaged("nothing proves the block")
     return fields, block, stop + 4
 
 
-def _inflate(data: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The member at a place, and where it ends."""
-    unpacker = zlib.decompressobj(31)
+def _body(data: bytes, at: int) -> int:
+    """Where the deflated bytes of the member at a place begin."""
+    flags, place = data[at + 3] if at + 10 <= len(data) else 0xE0, at + 10
+    if flags & 0xE0:
+        raise Damaged("no member")
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):  # a name and a comment, each ended by a zero
+        if flags & flag:
+            place = data.find(b"\0", place) + 1
+            if not place:
+                raise Damaged("member cut short")
+    return place + (2 if flags & 2 else 0)
+
+
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, bool]:
+    """The member at a place, where it ends, and whether its checksum and length hold."""
+    view, place = memoryview(data), _body(data, at)
+    unpacker = zlib.decompressobj(-15)
     out: list[bytes] = []
     try:
-        while not unpacker.eof and at < len(data):
-            out.append(unpacker.decompress(data[at : at + step]))
-            at = min(at + step, len(data))
+        while not unpacker.eof and place < len(data):
+            out.append(unpacker.decompress(view[place : place + step]))
+            place = min(place + step, len(data))
     except zlib.error as e:
         raise Damaged(str(e)) from None
+    place -= len(unpacker.unused_data)
     if not unpacker.eof:
         raise Damaged("member cut short")
-    return b"".join(out), at - len(unpacker.unused_data)
+    found = b"".join(out)
+    check = zlib.crc32(found).to_bytes(4, "little") + (len(found) & 0xFFFFFFFF).to_bytes(4, "little")
+    if data[place : place + 8] == check:
+        return found, place + 8, True
+    return found, _next(data, at + 1), False  # nothing tells where it ends
 
 
-def _plain(data: bytes) -> Iterator[tuple]:
-    """Salvages records that lie one after another in plain bytes."""
-    at, bad, reason = 0, None, ""
-    while at < len(data):
+def _inside(found: bytes, proven: bool) -> tuple[list[tuple[dict, bytes]], str]:
+    """The good records of an inflated member, and what was wrong with the first bad one."""
+    good, at, reason = [], 0, ""
+    while at < len(found):
         try:
-            fields, block, end = parse(data, at)
+            fields, block, at = parse(found, at, proven)
+            good.append((fields, block))
         except Damaged as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            m = _LINE.search(data, at + 1)
-            at = m.start() if m else len(data)
-            continue
-        if bad is not None:
-            yield "gap", bad, at - bad, reason
-            bad = None
-        yield "record", at, fields, block
-        at = end
-    if bad is not None:
-        yield "gap", bad, len(data) - bad, reason
+            reason = reason or str(e)
+            m = _LINE.search(found, at + 1)
+            at = m.start() if m else len(found)
+    return good, reason
+
+
+def _next(data: bytes, at: int) -> int:
+    """The next place at which a member or a plain record may begin."""
+    m = _LINE.search(data, at)
+    return min((x for x in (data.find(_MEMBER, at), m.start() if m else -1) if x >= 0), default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", place, fields, block) and ("gap", place, length, reason), in order, of one archive's bytes.
 
-    In a packed archive places are those of members; of a member that inflates
-    but holds damaged records, the good ones are read, and it is logged whole.
+    Places are those of members and of plain records; a member that holds
+    damaged records is logged whole, behind its good ones.
     """
-    if not (data.startswith(b"\x1f\x8b") or (_MEMBER in data and not _LINE.search(data))):
-        yield from _plain(data)
-        return
-    view = memoryview(data)
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            if data[at : at + 3] != _MEMBER:
-                raise Damaged("no member")
-            found, end = _inflate(view, at)
+            if data.startswith(_MEMBER, at):
+                found, end, sound = _inflate(data, at)
+                good, wrong = _inside(found, not sound)
+                if not good and (wrong or not sound):
+                    raise Damaged(wrong or "wrong checksum")
+                lost = "" if sound else "wrong checksum"
+                lost = lost or (f"inside: {wrong}" if wrong else "")
+            else:
+                fields, block, end = parse(data, at)
+                good, lost = [(fields, block)], ""
         except Damaged as e:
             if bad is None:
                 bad, reason = at, str(e)
-            following = data.find(_MEMBER, at + 1)
-            at = following if following >= 0 else len(data)
+            at = _next(data, at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at - bad, reason
             bad = None
-        inside = list(_plain(found))
-        lost = [x[3] for x in inside if x[0] == "gap"]
-        yield from (("record", at, x[2], x[3]) for x in inside if x[0] == "record")
+        for fields, block in good:
+            yield "record", at, fields, block
         if lost:
-            yield "gap", at, end - at, f"inside: {lost[0]}"
+            yield "gap", at, end - at, lost
         at = end
     if bad is not None:
         yield "gap", bad, len(data) - bad, reason
@@ -215,7 +264,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     whole = pages.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, size long, sha1 binary")
     small = pages.select("page_id", F.lit("").alias("url"), "html").mapInArrow(_digests, "page_id long, url string, html string, size long, sha1 binary").select("page_id", "size", "sha1")
     equal = small.where(F.col("size") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha1", "keeper")
-    rows = whole.join(equal.hint("shuffle_hash"), "sha1", "left")
+    # payloads too short to be referred to keep clear of each other
+    spread = F.when(F.col("size") >= min_revisit, F.col("sha1")).otherwise(F.concat(F.col("sha1"), F.xxhash64("page_id", "url").cast("string").cast("binary")))
+    rows = whole.withColumn("sha1", spread).join(equal.hint("shuffle_hash"), "sha1", "left")
     rows = rows.withColumn("refers_to", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))).select("page_id", "url", "html", "refers_to")
     members = rows.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path)
@@ -229,7 +280,7 @@ def _salvaged(keep_payload: bool):
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
 
     def number(x: str | None) -> int | None:
-        return int(x) if x else None
+        return int(x) if x and re.fullmatch(r"-?[0-9]{1,18}", x) else None
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -256,13 +307,12 @@ def _salvaged(keep_payload: bool):
     return rows
 
 
-def _hex(named: str | None, payload: bytes, kind: str) -> str:
-    """The payload digest in hex: of what was read, or for revisits as the header names it."""
-    if kind != "revisit" or not named:
+def _hex(named: str | None, payload: bytes, kind: str) -> str | None:
+    """The payload's SHA-1 in hex: of what was read, or for revisits as the header names it, if it does."""
+    if kind != "revisit":
         return hashlib.sha1(payload).hexdigest()
-    from base64 import b32decode
-
-    return b32decode(named.removeprefix("sha1:")).hex()
+    found = digest_bytes(named or "")
+    return found[1].hex() if found and found[0] == "sha1" else None
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
@@ -276,8 +326,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared.fresh_path(spark, "warc")
     write_archives(pages, path)
-    read = read_archives(spark, path, keep_payload=False).where("kind IN ('response', 'revisit')").select("page_id", "length", "kind", "payload_digest", "refers_to")
-    read = shared.written(read, "records")
+    read = shared.written(read_archives(spark, path, keep_payload=False).select("kind", "reason", "page_id", "length", "payload_digest", "refers_to"), "records")
+    gaps = read.where("kind = 'gap'").agg(F.count("*").alias("n"), F.first("reason").alias("reason")).first()
+    if gaps.n:
+        raise RuntimeError(f"{gaps.n} gaps in archives that were just written: {gaps.reason}")
     # a revisit has the length of the payload that it refers to
     sizes = read.where("kind = 'response'").groupBy("payload_digest").agg(F.max("length").alias("full"))
     revisits = read.where("kind = 'revisit'").join(sizes.hint("shuffle_hash"), "payload_digest", "left")
