@@ -247,6 +247,17 @@ def test_bpe_words():
     assert own.merge(words_) == [own._merge_long(w) if len(w) > 1 else [int(own.last[w[0]])] for w in words_]
 
 
+def test_bpe_of_all_characters():
+    """Every code point, beside letters, digits and marks, and before a combining accent."""
+    from tokenizers import Tokenizer
+
+    own, theirs = bpe.vocabulary(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or c >= 0xE0000 and c % 16 == 0)]
+    texts = [" ".join(f"b{c}1 {c}x !{c}{c}\u0301" for c in every[k : k + 64]) for k in range(0, len(every), 64)]
+    got, want = [own.encode(t) for t in texts], [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_encoder_is_the_library():
     from tokenizers import Tokenizer
 

@@ -12,7 +12,11 @@ pieces of a batch are encoded once and kept up to a bound.
 The text is prepared as the vocabulary file says: NFC, white space to one
 space, lower case; letters, single digits, other runs and English contractions
 apart; bytes as printable characters; the last symbol of a word marked. Special
-tokens are cut out of the raw text first.
+tokens are cut out of the raw text first. Code points that the tokenizers
+library normalises or classes otherwise than Python (they come from two versions
+of Unicode) are found by asking it for all of them once a process; texts and
+pieces that hold one are normalised and split by the library. Merging is always
+done here.
 
 Cases: a null text is empty and has no ids (n_tokens 0, digests of the empty
 string); repeated rows are returned as often as they come; a null doc_id is
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .words import small_batches
 
@@ -61,6 +66,11 @@ def byte_letters() -> list[str]:
     return out
 
 
+def prepared(text: str) -> str:
+    text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class Vocabulary:
     """A vocabulary file with word ends, its merges as arrays, and a bounded store of encoded pieces."""
 
@@ -86,6 +96,41 @@ class Vocabulary:
         self._rank_of = {int(k): r for r, k in enumerate(keys.tolist())}
         self._ids: dict[str, str] = {}
         self._decoded: dict[str, str] = {}
+        library = Tokenizer.from_file(path)
+        self._normalised, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self._odd = self._unlike()
+
+    def _unlike(self):
+        """A pattern of the code points that the library takes otherwise than the functions here."""
+        stable = ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x20000, 0x2A6D6), (0x33000, 0xDFFFF))  # ideographs, Hangul, nothing
+        points = (c for c in range(0x80, 0xF0000) if not any(a <= c <= b for a, b in stable))
+        every = [c for c in map(chr, points) if unicodedata.category(c) not in ("Cs", "Co")]
+        both = lambda x: zip(*(f("1".join(x)).split("1") for f in (self._normalised, prepared)), strict=True)
+        theirs, own = zip(*both(every), strict=True)
+        odd = {c for c, a, b in zip(every, theirs, own, strict=True) if a != b}
+        marks = [c for c in every if unicodedata.category(c)[0] == "M" or unicodedata.category(c) == "Cn" and c < "\U00020000"]
+        for around in ("{}\u0301", "{}\u0323", "\u0301{}", "\u0323{}"):  # order among marks above and below
+            odd.update(c for c, (a, b) in zip(marks, both([around.format(c) for c in marks]), strict=True) if a != b)
+        plain = [(c, x) for c, x in zip(every, theirs, strict=True) if x and not any(y.isspace() for y in x)]
+        words = [f"b{x}!" for _, x in plain]
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        whole = " ".join(words)
+        starts = [np.array([m.start() for m in self._words.finditer(whole)]), np.array([a for _, (a, _) in self._split(whole)])]
+        for k in np.searchsorted(begins, np.setxor1d(*starts), side="right") - 1:
+            odd.add(plain[k][0])
+            odd.update(plain[k][1])
+        return regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else regex.compile(r"(?!)")
+
+    def prepare(self, text: str) -> str:
+        if not text.isascii() and self._odd.search(text):
+            return self._normalised(text)
+        return prepared(text)
+
+    def words(self, piece: str) -> list[str]:
+        """The words of what stands between two spaces."""
+        if not piece.isascii() and self._odd.search(piece):
+            return [piece[a:b] for _, (a, b) in self._split(piece)]
+        return self._words.findall(piece)
 
     # -- merging ---------------------------------------------------------
 
@@ -207,11 +252,6 @@ class Vocabulary:
 
     # -- texts -----------------------------------------------------------
 
-    @staticmethod
-    def prepare(text: str) -> str:
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
     def _pieces(self, text: str) -> list[str]:
         """What stands between spaces, and special tokens as themselves behind a line feed."""
         if self._cut is None or not any(x in text for x in self.special):
@@ -228,7 +268,7 @@ class Vocabulary:
             self._ids.clear()
             self._decoded.clear()
             new = set(pieces)
-        parts = {p: self._words.findall(p) for p in new if p[0] != "\n"}
+        parts = {p: self.words(p) for p in new if p[0] != "\n"}
         words = list({w for x in parts.values() for w in x})
         ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
         for p in new:
