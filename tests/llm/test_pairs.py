@@ -4,7 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
-from llm_models import EDGE, lower, shingles
+from llm_models import COPY, EDGE, lower, shingles
 
 from vellum.llm import fingerprints, jaccard_join, suffix_dedup
 from vellum.llm.components import connected_components
@@ -157,6 +157,28 @@ def test_passages_hot_way(documents, rows):
     assert covered(suffix_dedup.repeated_spans(documents, hot_load=0).collect()) == passages(rows)
 
 
+def test_passages_of_mixed_neighbours(spark):
+    """Windows that share a core with many others, of which some go on alike to the left and others to the right."""
+    rng = np.random.default_rng(3)
+    core, left, right = ([f"{c}{k}" for k in range(n)] for c, n in (("c", 34), ("l", 40), ("r", 40)))
+    rows = []
+    for i in range(60):
+        a, b = rng.integers(0, 30, 2)
+        w = [f"x{i}-{k}" for k in range(rng.integers(0, 20))] + left[len(left) - a :] + core + right[:b] + [f"y{i}-{k}" for k in range(rng.integers(0, 20))]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert covered(suffix_dedup.repeated_spans(df).collect()) == passages(rows) == covered(suffix_dedup.repeated_spans(df, hot_load=0).collect())
+
+
+def test_passages_of_one_id(spark):
+    """Rows that share a doc_id: equal ones are one occurrence, differing ones are left as they are."""
+    two = " ".join(["new words here", COPY])
+    rows = [(7, COPY), (7, COPY), (3, COPY), (3, two), (9, "z " + COPY)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.repeated_spans(df.where("doc_id = 7")).count() == 0
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.without_copies(df).collect()) == [(3, COPY), (3, two), (7, ""), (7, ""), (9, "z ")]
+
+
 def test_passages_edge(edge, empty):
     source, copy = covered(suffix_dedup.repeated_spans(edge).collect())
     assert source[6] == set(range(70)) and copy[7] == set(range(70)) and copy[8] == set(range(1, 71))

@@ -1,27 +1,31 @@
 """Repeated passages by a sparse suffix array.
 
-Method: each window of 50 words names one suffix, the one that begins at the
-window's minimiser (the smallest hash of an 8-word run in it, leftmost in a
-tie), so equal windows name suffixes at the same place in both. Only these
-suffixes, about one word in 22, are kept. They are sorted by a hash of their
-first eight words, so neighbours are classes of equal ones, not a suffix order;
-within a class, windows are grouped by their hash. No match is extended.
-Windows found twice or more are repeats; of equal ones the first by (doc_id,
-place) is the source, the others are copies. Touching windows merge into
-spans, so a match reaches as far as it holds. A pair of texts with 50 or more
-words in common always shares a kept suffix: nothing is missed by sampling.
+Method: of each 25 words in a row one word is retained, that at which the
+smallest hash of eight words in them begins (leftmost in a tie): about one word
+in 9. Every window of 50 words so has a suffix that begins 0 to 17 words behind
+its own begin, at the same place in every copy of the window. Suffixes are
+sorted by their first 33 words, the core that all their windows share, and by
+the words that follow; those of equal cores are also sorted by the words before
+them, read backwards. Neighbours are compared in both orders: the words that
+they share to the right and to the left tell how far a match extends. A window
+that begins k words before its suffix is found again in the suffixes that agree
+with it on 17 - k words behind the core and on k words before it, which stand
+together in the two orders. So no repeated window is missed, and none is
+compared with all others. Of equal windows the first by (doc_id, place) is the
+source, the others are copies; touching windows merge into spans, so that a
+match reaches as far as it holds.
 
 Suffixes travel as packed arrays, one blob for each part of the suffix order
-and batch, with 48-bit hashes of their windows beside the 64-bit one of the
-suffix. A suffix that very many documents share would fill one part: buckets
-of suffixes that a fixed-size count of all suffixes shows to be more than
-HOT_LOAD over twice the mean go another way, as rows that are summed by window
-hash before the shuffle.
-
-Cases: null and blank texts, and texts under 50 words, have no spans; repeated
-rows are copies of the first (rows that share a doc_id are taken as parts of
-one document, each from word 0); a null doc_id is ignored; an empty table gives
-an empty result.
+and batch: a 64-bit hash of the core, and 32-bit ones of the words around it
+that its windows reach. A suffix that very many documents share would fill one
+part: buckets of suffixes that a fixed-size count of all suffixes shows to be
+more than HOT_LOAD over twice the mean go another way, as rows of window hashes
+that are summed before the shuffle.
+
+Cases: null and blank texts, and texts under 50 words, have no spans; rows that
+share a doc_id are one document: equal windows at one place in them are one
+occurrence, and without_copies leaves documents whose rows have differing texts
+as they are; a null doc_id is ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,155 +40,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .words import hashed, rolling, small_batches, utf8
+from .words import hashed, opened, rolling, small_batches, squeezed, utf8
 
-WINDOW, RUN = 50, 8
+WINDOW, SELECT, RUN = 50, 25, 8
+REACH = SELECT - RUN
+CORE = WINDOW - REACH
 HOT_BITS, HOT_ROW = 18, 4096
-HOT_LOAD = 4_000_000
+HOT_LOAD = 2_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPANS = "doc_id long, start_word long, n_words long, is_source boolean, source_doc_id long, source_start long"
 _HOT = "doc_id long, place long, h long"
-
-
-def _suffixes(texts: list[bytes], doc_ids: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
-    """Kept suffixes: hash of the first words, doc_id, first window, count of windows; and all windows' hashes in order."""
-    h, starts = hashed(texts)
-    keys, windows = rolling(h, run), rolling(h, window)
-    width = window - run + 1
-    low = (keys >> np.uint64(32) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64)
-    step = 1
-    while step * 2 <= width:
-        low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
-        step *= 2
-    rest = width - step
-    if rest:
-        low = np.minimum(low[:-rest], low[rest:]) if len(low) > rest else low[:0]
-    counts = np.maximum(np.diff(starts) - window + 1, 0)
-    first = np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts)
-    at = np.arange(len(first)) + first  # where each window of one text begins
-    of = np.repeat(np.arange(len(counts)), counts)
-    place = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
-    heads = np.flatnonzero(fresh)
-    n = np.diff(np.append(heads, len(at)))
-    return keys[place[heads]], doc_ids[of[heads]], at[heads] - starts[:-1][of[heads]], n, windows[at]
-
-
-def _each(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[tuple[np.ndarray, ...]]:
+_SUFFIX = ("u8", "i8", "u4", "u1", "u1")  # core, doc_id, place, words before it in its first window, windows
+
+
+class Suffixes:
+    """The retained suffixes of some texts."""
+
+    def __init__(self, texts: list[bytes], doc_ids: np.ndarray):
+        self.h, starts = hashed(texts)
+        runs, cores = rolling(self.h, RUN), rolling(self.h, CORE)
+        low = (runs >> np.uint64(32) << np.uint64(32)) | np.arange(len(runs), dtype=np.uint64)
+        step, width = 1, REACH + 1  # the smallest of width runs, by doubling
+        while step * 2 <= width:
+            low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
+            step *= 2
+        if rest := width - step:
+            low = np.minimum(low[:-rest], low[rest:]) if len(low) > rest else low[:0]
+        counts = np.maximum(np.diff(starts) - WINDOW + 1, 0)
+        first = np.repeat(starts[:-1] - (np.cumsum(counts) - counts), counts)
+        at = np.arange(len(first)) + first  # where each window of one text begins
+        of = np.repeat(np.arange(len(counts)), counts)
+        place = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
+        heads = np.flatnonzero(fresh)
+        self.windows = np.diff(np.append(heads, len(at)))
+        self.at, self.start = place[heads], at[heads]
+        self.core, self.doc = cores[self.at], doc_ids[of[heads]]
+        self.place = self.at - starts[:-1][of[heads]]
+        self.before = self.at - self.start
+
+    def bucket(self) -> np.ndarray:
+        return (self.core >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+
+    def around(self, pick: np.ndarray) -> np.ndarray:
+        """The words that the windows of some suffixes reach, before their cores and then behind them."""
+        words = (self.h >> np.uint64(32)).astype(np.uint32)
+        behind = REACH - (self.before - self.windows + 1)
+        return np.concatenate([words[_ranges(self.start[pick], self.before[pick])], words[_ranges(self.at[pick] + CORE, behind[pick])]])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
     for batch in batches:
         for piece in small_batches(batch, "text"):
             ids = piece["doc_id"].cast(pa.int64())
             piece = piece.filter(ids.is_valid())
             if piece.num_rows:
-                yield _suffixes(utf8(piece["text"]), np.asarray(piece["doc_id"].cast(pa.int64())), window, run)
-
-
-def _loads(window: int, run: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << HOT_BITS, np.int64)
-        for key, *_ in _each(batches, window, run):
-            total += np.bincount((key >> np.uint64(64 - HOT_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            parts = total.reshape(-1, HOT_ROW)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([x.tobytes() for x in parts])})
-
-    return rows
+                yield Suffixes(utf8(piece["text"]), np.asarray(piece["doc_id"].cast(pa.int64())))
 
 
-def _loads_sum(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
-    return pa.table({"row": table["row"][:1], "counts": pa.array([total.tobytes()])})
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << HOT_BITS, np.uint32)
+    for x in _each(batches):
+        total += np.bincount(x.bucket(), minlength=len(total)).astype(np.uint32)
+    yield shared.as_rows(total, HOT_ROW)
 
 
-def _hot_buckets(docs: DataFrame, window: int, run: int, load: int) -> np.ndarray:
-    rows = docs.mapInArrow(_loads(window, run), "row int, counts binary").groupBy("row").applyInArrow(_loads_sum, "row int, counts binary").collect()
-    total = np.zeros((1 << HOT_BITS) // HOT_ROW * HOT_ROW, np.int64).reshape(-1, HOT_ROW)
-    for row, counts in rows:
-        total[row] = np.frombuffer(counts, np.int64)
-    return total.reshape(-1) > load + 2 * total.mean() if load else total.reshape(-1) > 0
+def _hot_buckets(docs: DataFrame, load: int) -> np.ndarray:
+    total = shared.total_of(docs.mapInArrow(_loads, shared.ARRAY), 1 << HOT_BITS, HOT_ROW, "u4", "i8")
+    return total > load + 2 * total.mean() if load else total > 0
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def _packed(hot, parts: int, window: int, run: int):
+def _packed(hot, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, place, n, windows in _each(batches, window, run):
-            heads = np.cumsum(n) - n
-            part = ((key >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-            part[hot.value[(key >> np.uint64(64 - HOT_BITS)).astype(np.int64)]] = parts
+        for x in _each(batches):
+            part = ((x.core >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+            part[hot.value[x.bucket()]] = parts
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            short = windows.view(np.uint8).reshape(-1, 8)[:, :6]
-            keys, blobs = [], []
-            for k in range(parts):
-                pick = order[cuts[k] : cuts[k + 1]]
-                if len(pick):
-                    each = short[_ranges(heads[pick], n[pick])]
-                    keys.append(k)
-                    blobs.append(b"".join((len(pick).to_bytes(8, "little"), key[pick].tobytes(), doc[pick].tobytes(), place[pick].tobytes(), n[pick].astype(np.uint16).tobytes(), each.tobytes())))
+            keys = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+            picks = [order[cuts[k] : cuts[k + 1]] for k in keys]
+            columns = [x.core, x.doc, x.place.astype(np.uint32), x.before.astype(np.uint8), x.windows.astype(np.uint8)]
+            blobs = [squeezed([c[pick] for c in columns]) for pick in picks]
             if keys:
-                yield pa.RecordBatch.from_pydict({"part": pa.array(keys, pa.int32()), "suffixes": pa.array(blobs, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array(keys, pa.int32()), "suffixes": pa.array(blobs, pa.binary()), "words": pa.array([x.around(pick).tobytes() for pick in picks], pa.binary())})
 
     return rows
 
 
-def _hot_rows(hot, window: int, run: int):
+def _hot_rows(hot):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, place, n, windows in _each(batches, window, run):
-            pick = np.flatnonzero(hot.value[(key >> np.uint64(64 - HOT_BITS)).astype(np.int64)])
+        for x in _each(batches):
+            pick = np.flatnonzero(hot.value[x.bucket()])
             if len(pick):
-                heads = np.cumsum(n) - n
-                inner = _ranges(np.zeros(len(pick), np.int64), n[pick])
-                yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(doc[pick], n[pick]), "place": np.repeat(place[pick], n[pick]) + inner, "h": windows[_ranges(heads[pick], n[pick])].view(np.int64)})
+                windows, n = rolling(x.h, WINDOW), x.windows[pick]
+                first = (x.place - x.before)[pick]
+                yield pa.RecordBatch.from_pydict({"doc_id": np.repeat(x.doc[pick], n), "place": _ranges(first, n), "h": windows[_ranges(x.start[pick], n)].view(np.int64)})
 
     return rows
 
 
-def _matches(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+def _shared_words(order: np.ndarray, core: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each of sorted suffixes, how many words in a row it shares with the one before; -1 where cores differ."""
+    differ = words[order][1:] != words[order][:-1]
+    n = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+    return np.append(-1, np.where(core[order][1:] == core[order][:-1], n, -1))
+
+
+def _matches(blobs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
     """Sorts suffixes, compares neighbours, and yields runs of windows that occur again."""
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
-    for blob in blobs:
-        size, at = int.from_bytes(blob[:8], "little"), 8
-        for k, kind in enumerate((np.uint64, np.int64, np.int64, np.uint16)):
-            columns[k].append(np.frombuffer(blob, kind, size, at))
-            at += size * np.dtype(kind).itemsize
-        columns[4].append(np.frombuffer(blob, np.uint8, -1, at).reshape(-1, 6))
-    key, doc, place, n = (np.concatenate(x) for x in columns[:4])
-    n, short = n.astype(np.int64), np.concatenate(columns[4])
-    heads = np.cumsum(n) - n
-    order = np.lexsort((place, doc, key))
-    same = key[order][1:] == key[order][:-1]
-    near = np.zeros(len(order), bool)
-    near[1:] |= same
-    near[:-1] |= same
-    pick = order[near]
+    columns, lefts, rights = [], [], []
+    for packed, words in blobs:
+        columns.append(opened(packed, _SUFFIX))
+        before, n = (x.astype(np.int64) for x in columns[-1][3:])
+        behind = REACH - (before - n + 1)
+        around = np.frombuffer(words, np.uint32)
+        split = int(before.sum())
+        lefts.append((around[:split], before))
+        rights.append((around[split:], behind))
+    core, doc, place, before, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+    order = np.argsort(core, kind="stable")
+    same = core[order][1:] == core[order][:-1]
+    again = np.zeros(len(core), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    pick = np.flatnonzero(again)
     if not len(pick):
         return
-    h = np.zeros((int(n[pick].sum()), 8), np.uint8)
-    h[:, :6] = short[_ranges(heads[pick], n[pick])]
-    h = h.view(np.uint64).reshape(-1)
-    rank = np.repeat(np.arange(len(pick)), n[pick])  # suffixes with equal heads stand together
-    head = np.cumsum(np.append(True, key[pick][1:] != key[pick][:-1]))[rank]
-    yield from _found(head, h, doc[pick][rank], place[pick][rank] + _ranges(np.zeros(len(pick), np.int64), n[pick]), window)
-
-
-def _found(head: np.ndarray, h: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((place, doc, h, head))
-    head, h, doc, place = head[order], h[order], doc[order], place[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (head[1:] != head[:-1])
+    core, doc, place, before, n = (x[pick].astype(t) for x, t in zip((core, doc, place, before, n), (np.uint64, np.int64, np.int64, np.int64, np.int64), strict=True))
+
+    def table(sides: list[tuple[np.ndarray, np.ndarray]], backwards: bool) -> np.ndarray:
+        """A row of REACH words for each picked suffix, nearest first; 0 beyond what its windows reach."""
+        words, counts = (np.concatenate(x) for x in zip(*sides, strict=True))
+        begins, counts = (np.cumsum(counts) - counts)[pick], counts[pick]
+        out = np.zeros((len(pick), REACH), np.uint32)
+        inner = _ranges(np.zeros(len(pick), np.int64), counts)
+        source = np.repeat(begins + counts - 1, counts) - inner if backwards else np.repeat(begins, counts) + inner
+        out[np.repeat(np.arange(len(pick)), counts), inner] = words[source]
+        return out
+
+    classes = []  # for each direction: the order, and what neighbours in it share
+    for words in (table(rights, False), table(lefts, True)):
+        order = np.lexsort((*words.T[::-1], core))
+        classes.append((order, _shared_words(order, core, words)))
+
+    def alike(direction: int, words: int) -> np.ndarray:
+        """Equal numbers for suffixes that agree on the core and so many words beyond it in one direction."""
+        order, common = classes[direction]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(common < words)
+        return out
+
+    found = []
+    for k in range(REACH + 1):
+        has = np.flatnonzero((before >= k) & (before - n < k))
+        code = alike(0, REACH - k)[has] * (len(core) + 1) + alike(1, k)[has]
+        found.append(_found(code, doc[has], place[has] - k))
+    yield from _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _found(code: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of a code that others have too: document, place, and those of the first."""
+    order = np.lexsort((place, doc, code))
+    code, doc, place = code[order], doc[order], place[order]
+    once = np.ones(len(code), bool)
+    once[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    code, doc, place = code[once], doc[once], place[once]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = code[1:] != code[:-1]
     starts = np.flatnonzero(fresh)
-    size = np.diff(np.append(starts, len(h)))
-    source = np.repeat(starts, size)
-    again = np.repeat(size > 1, size)
-    pick = np.flatnonzero(again)
-    yield from _runs(doc[pick], place[pick], doc[source[pick]], place[source[pick]], window)
+    size = np.diff(np.append(starts, len(code)))
+    pick = np.flatnonzero(np.repeat(size > 1, size))
+    source = np.repeat(starts, size)[pick]
+    return doc[pick], place[pick], doc[source], place[source]
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+def _runs(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(doc):
         return
     order = np.lexsort((source_place, source, place, doc))
@@ -194,19 +228,7 @@ def _runs(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place:
     fresh[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1]) | (source_place[1:] != source_place[:-1] + 1) | (first[1:] != first[:-1])
     heads = np.flatnonzero(fresh)
     n = np.diff(np.append(heads, len(doc)))
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[heads], place[heads], n + window - 1, first[heads], source[heads], source_place[heads])], ["doc_id", "start_word", "n_words", "is_source", "source_doc_id", "source_start"])
-
-
-def _sorted_parts(window: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["suffixes"].to_pylist(), strict=True):
-                held.setdefault(part, []).append(blob)
-        while held:
-            yield from _matches(held.popitem()[1], window)
-
-    return rows
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[heads], place[heads], n + WINDOW - 1, first[heads], source[heads], source_place[heads])], ["doc_id", "start_word", "n_words", "is_source", "source_doc_id", "source_start"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +252,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot_load: int = HOT_LOAD) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot_load: int = HOT_LOAD) -> DataFrame:
     """Spans of words that repeat: doc_id, start_word, n_words, is_source, source_doc_id, source_start.
 
     Copies carry the place of the source of their first window; a span with
@@ -238,17 +260,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot_lo
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = shared.partitions(spark)
-    buckets = _hot_buckets(docs, window, run, hot_load)
+    parts = shared.parts_for(docs)
+    buckets = _hot_buckets(docs, hot_load)
     hot = spark.sparkContext.broadcast(buckets)
-    blobs = docs.mapInArrow(_packed(hot, parts, window, run), "part int, suffixes binary").repartition(parts, "part")
-    runs = blobs.mapInArrow(_sorted_parts(window), SPANS)
+    blobs = shared.dealt(docs.mapInArrow(_packed(hot, parts), "part int, suffixes binary, words binary"), parts)
+    runs = blobs.mapInArrow(shared.by_part(lambda part, rows: _matches(rows), ("suffixes", "words")), SPANS)
     if buckets.any():
-        rows = shared.written(docs.mapInArrow(_hot_rows(hot, window, run), _HOT), "hot-windows")
-        again = rows.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("x")).where("c > 1")
+        rows = shared.written(docs.mapInArrow(_hot_rows(hot), _HOT), "hot-windows")
+        places = F.min(F.struct("doc_id", "place"))
+        again = rows.groupBy("h").agg(places.alias("x"), F.max(F.struct("doc_id", "place")).alias("y")).where("x <> y")
         found = rows.join(again.select("h", F.col("x.doc_id").alias("source_doc_id"), F.col("x.place").alias("source_start")), "h")
-        runs = runs.union(found.select("doc_id", F.col("place").alias("start_word"), F.lit(window).cast("long").alias("n_words"), F.expr("doc_id = source_doc_id AND place = source_start").alias("is_source"), "source_doc_id", "source_start"))
-    return runs.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "is_source", "start_word", "source_doc_id", "source_start").mapInArrow(_merge, SPANS)
+        is_source = F.expr("doc_id = source_doc_id AND place = source_start")
+        found = found.select("doc_id", F.col("place").alias("start_word"), F.lit(WINDOW).cast("long").alias("n_words"), is_source.alias("is_source"), "source_doc_id", "source_start")
+        runs = runs.union(found)
+    runs = runs.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "is_source", "start_word", "source_doc_id", "source_start")
+    return runs.mapInArrow(_merge, SPANS)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -281,5 +307,10 @@ def without_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with the copies of repeated spans cut from their texts (and n_chars set anew, where there is one)."""
     own, spans = (f"_{k}_{uuid.uuid4().hex}" for k in ("id", "spans"))  # names that docs does not have
     found = repeated_spans(docs, **options).where("NOT is_source").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(spans))
+    texts = F.xxhash64("text")
+    unclear = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.min(texts).alias("x"), F.max(texts).alias("y")).where("x <> y").select(own)
+    # tables whose size Spark knows: where they are small, texts need not be shuffled for them
+    found, unclear = shared.written(found, "copies"), shared.written(unclear, "unclear")
+    found = found.join(unclear, own, "left_anti")
     out = docs.join(found, docs["doc_id"] == found[own], "left").select(*docs.columns, spans).mapInArrow(_cut_rows, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
