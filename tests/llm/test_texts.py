@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -95,61 +95,104 @@ def test_lm_query(spark, sf, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_is_a_distribution(spark):
-    """Outcomes sum to 1 after any history, and words to 1 within a shared outcome."""
-    rng = random.Random(1)
-    docs = spark.createDataFrame([(k, " ".join(rng.choice(["the", "of", f"x{rng.randint(0, 3000)}"]) for _ in range(60))) for k in range(80)], "doc_id long, text string")
-    model = lm_scoring.train(docs)
+def test_lm_is_a_distribution(documents):
+    """Outcomes sum to 1 after any history, seen or not, and words to 1 within a bucket."""
+    model = lm_scoring.train(documents, head=500)
     counts = model.counts
-    found = np.repeat(np.array([[5], [9], [77]], np.uint16), lm_scoring.CLASSES * lm_scoring.SLOTS, axis=1)
-    assert (10 ** model.log10(found, np.arange(found.shape[1]))).sum() == pytest.approx(1, abs=1e-4)
-    outcome, own = counts.outcomes(counts.words)
-    for k in np.unique(outcome[~own]):
-        c = counts.counts[(outcome == k) & ~own]
-        assert (c + lm_scoring.ADD).sum() + lm_scoring.ADD == pytest.approx(10 ** counts.shared[k])
-    assert counts.counts.sum() == counts.n
-
-
-def test_lm_small_head(spark, rows, documents, monkeypatch):
-    """Nearly all words by the way of rare ones."""
-    counts = lm_scoring.train(documents)
-    counts.counts.words, counts.counts.counts = counts.counts.words[:3], counts.counts.counts[:3]
-    assert close([tuple(r)[:6] for r in lm_scoring.scored(documents, counts).collect()], lm_base(rows))
-
-
-@pytest.mark.parametrize("head", [None, 3])
-def test_lm_histories(documents, rows, head):
-    """Scores are those of counts of what follows each history, however many there are, over the fixed model."""
-    model = lm_scoring.train(documents)
-    if head:
-        model.counts.words, model.counts.counts = model.counts.words[:head], model.counts.counts[:head]
-    each = {i: [None, None, *lower(t), ""] for i, t in rows}
-    places = [(i, tuple(x[k - 2 : k]), x[k]) for i, x in each.items() for k in range(2, len(x))]
-    learned = [p for p in places if zlib.crc32(str(p[0]).encode()) % 10]
-    pairs, words, after = Counter(p[1:] for p in learned), Counter(p[2] for p in learned), Counter(p[1] for p in learned)
-    kinds = Counter(h for h, _ in pairs)
-    h, starts = lm_scoring.tokens_of([t.encode() for _, t in rows])
-    outcome, own = model.counts.outcomes(h)
-    count = np.array([words[w] for _, _, w in places])
-    prior = model.log10(lm_scoring.features(h, starts), outcome) + np.where(own, 0, np.log10(count + lm_scoring.ADD) - model.counts.shared[outcome])
-    want = Counter()
-    for (i, before, w), p in zip(places, 10**prior, strict=True):
-        n = after[before]
-        want[i] += math.log10((max(pairs[before, w] - 0.75, 0) + 0.75 * kinds[before] * p) / n if n else p)
-    got = {r.doc_id: r.score for r in lm_scoring.scored(documents, model).collect()}
-    assert got == pytest.approx(dict(want), rel=1e-5)
-
-
-def test_lm_tells_apart_words_of_one_outcome(spark):
-    """Words far from the commonest, equally common and of one shared outcome, go by the history."""
-    names = [f"w{k}" for k in range(4000)]
-    slots = lm_scoring.hashed_slot(lm_scoring.tokens_of([" ".join(names).encode()])[0][:-1])
-    a, b = (names[k] for k in np.flatnonzero(slots == slots[0])[:2])
+    every = np.arange(len(counts.by_rank) + lm_scoring.BUCKETS)
+    assert len(counts.by_rank) <= 500
+    for first, second in ((1, 2), (0, 0), (int(lm_scoring.START), int(lm_scoring.START))):
+        for n in (np.zeros(len(every)), (every % 40 == 0) * 3.0, (every == 7) * 1.0, (every < 300) * 1.0):
+            logs = lm_scoring.after_histories(model, np.full(len(every), first, np.uint32), np.full(len(every), second, np.uint32), every, n)
+            assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+    inside = 10 ** counts.inside
+    assert np.bincount(counts.outcome_group, inside)[np.unique(counts.outcome_group)] == pytest.approx(1, abs=1e-9)
+
+
+def plain_lm(rows, model, rounds, of_round):
+    """The same training and scores in plain loops, from the model's hashes only; of_round gives a text's round."""
+    counts, C, S = model.counts, lm_scoring.CLASSES, lm_scoring.SLOTS
+    a, b = np.zeros((lm_scoring.CLASS_ROWS, C)), np.zeros((lm_scoring.SLOT_ROWS, S))
+    seen = [np.zeros(len(a)), np.zeros(len(b))]
+    share = [np.exp(counts.class_bias.astype(float)), np.exp(counts.slot_bias.astype(float)).mean(axis=0)]
+    each = {}
+    for i, t in rows:
+        h, starts = lm_scoring.tokens_of([(t or "").encode()])
+        short = counts.short(h)
+        first, second = lm_scoring.before(short, starts)
+        each[i] = list(zip(first.tolist(), second.tolist(), counts.outcome(short).tolist(), lm_scoring.features(first, second).T.tolist(), h.tolist(), strict=True))
+
+    def levels(f, outcome):
+        c, s = divmod(int(counts.outcome_group[outcome]), S)
+        inner = lm_scoring.slot_rows(np.array(f)[:, None], np.array([c]))[:, 0].tolist()
+        for rows_, w, bias, y in ((f, a, counts.class_bias, c), (inner, b, counts.slot_bias[c], s)):
+            z = sum(w[r] for r in rows_) + bias
+            yield rows_, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), y
+
+    trained = [i for i in each if lm_scoring.in_training([i])[0]]
+    for k in range(rounds):
+        total, more = [np.zeros_like(a), np.zeros_like(b)], [np.zeros(len(a)), np.zeros(len(b))]
+        for i in trained:
+            if of_round[i] == k:
+                for _, _, o, f, _ in each[i]:
+                    for level, (rows_, p, y) in enumerate(levels(f, o)):
+                        for r in rows_:
+                            total[level][r] -= p
+                            total[level][r, y] += 1
+                            more[level][r] += 1
+        for w, g, n, m, q in zip((a, b), total, seen, more, share, strict=True):
+            n += m
+            w += np.clip(lm_scoring.RATE * g / (n[:, None] * q + lm_scoring.CAUTION), -lm_scoring.MOST_STEP, lm_scoring.MOST_STEP)
+    after, words = defaultdict(Counter), Counter()
+    for i in trained:
+        for u, v, o, _, h in each[i]:
+            after[u, v][o] += 1
+            words[h] += 1
+
+    def log(u, v, o, f, h):
+        prior = lambda o, f: math.prod(p[y] for _, p, y in levels(f, o)) * 10 ** counts.inside[o]
+        n, total = after[u, v], sum(after[u, v].values())
+        target = {x: (c - lm_scoring.D) / total for x, c in n.items()}
+        q = {x: prior(x, f) for x in n}
+        active = set(n)
+        while True:
+            scale = (1 - sum(target[x] for x in active)) / (1 - sum(q[x] for x in active))
+            out = {x for x in active if target[x] <= q[x] * scale}
+            if not out:
+                break
+            active -= out
+        p = math.log10(target[o] if o in active else prior(o, f) * scale)
+        rare = o - len(counts.by_rank)
+        return p if rare < 0 else p + math.log10(words[h] + 0.1) - counts.bucket_mass[rare]
+
+    return {i: sum(log(*x) for x in t) for i, t in each.items()}
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 40])
+@pytest.mark.parametrize("hot", [lm_scoring.HOT_TOKENS, 0])
+def test_lm_against_plain_loops(spark, head, hot):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["the", "of", "cat", "sat", f"x{rng.randint(0, 90)}"]) for _ in range(rng.randint(0, 25)))) for k in range(60)] + [(60, None), (61, "the cat"), (62, "the the the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm_scoring.train(df, head=head)
+    of_round = {r.doc_id: r.k for r in df.selectExpr("doc_id", f"pmod(xxhash64(doc_id, text), {lm_scoring.ROUNDS}) k").collect()}
+    got = {r.doc_id: r.score for r in lm_scoring.scored(df, model, hot_tokens=hot).collect()}
+    assert got == pytest.approx(plain_lm(rows, model, lm_scoring.ROUNDS, of_round), rel=1e-5)
+    assert close([tuple(r)[:6] for r in lm_scoring.scored(df, model, hot_tokens=hot).collect()], lm_base(rows))
+
+
+def test_lm_does_not_depend_on_the_split(documents):
+    found = [{r.doc_id: r.score for r in lm_scoring.scored(documents.repartition(n)).collect()} for n in (1, 8, 64)]
+    assert found[0] == pytest.approx(found[1], rel=1e-6) and found[0] == pytest.approx(found[2], rel=1e-6)
+
+
+def test_lm_tells_words_apart_by_history(spark):
+    """Words far from the commonest, and equally common, go by the history."""
     common = " ".join(f"c{k}" for k in range(1000))
     ids = [k for k in range(60) if lm_scoring.in_training([k])[0]]
-    rows = [(k, f"{common} left hand {a} stop right hand {b} stop") for k in ids[:2]] + [(k, common) for k in ids[2:6]]
+    rows = [(k, f"{common} left hand aa stop right hand bb stop") for k in ids[:2]] + [(k, common) for k in ids[2:6]]
     held = [k for k in range(200) if not lm_scoring.in_training([k])[0]][:2]
-    rows += [(held[0], f"left hand {a}"), (held[1], f"left hand {b}")]
+    rows += [(held[0], "left hand aa"), (held[1], "left hand bb")]
     got = {r.doc_id: r.score for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]] > got[held[1]] + 1
 
