@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from llm_models import EDGE
 from tokenizers import Tokenizer
 
@@ -67,37 +68,64 @@ def test_rollup_batches(spark):
             assert rollup.committed() == ["all-2"] and totals(rollup) == dict(want)
 
 
-def test_rollup_lost_commit(spark):
-    """A batch whose delta was not finished does not count, and can be sent again."""
+def one_change(spark, *rows):
+    return spark.createDataFrame(list(rows), token_rollups.CHANGES)
+
+
+def test_rollup_lost_commit(spark, monkeypatch):
+    """A batch whose driver is lost before its claim does not count, and can be sent again."""
     rollup = token_rollups.TokenRollup(spark, shared.fresh_path(spark, "rollup"))
-    one = spark.createDataFrame([(0, "insert", 1, "t", "a", "en", 5)], token_rollups.CHANGES)
-    rollup.commit("b0", one)
-    shared.drop(spark, rollup._at("delta", "b0") + "/_SUCCESS")
+    one = one_change(spark, (0, "insert", 1, "t", "a", "en", 5))
+
+    def lost(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_rollups.TokenRollup, "_claim", lost)
+        with pytest.raises(OSError):
+            rollup.commit("b0", one)
     assert rollup.totals().count() == 0 and rollup.state().count() == 0
-    assert rollup.commit("b0", one) and totals(rollup) == {("a", "en", "t"): (1, 5)}
+    assert rollup.commit("b0", one) and totals(rollup) == {("a", "en", "t"): (1, 5)} and not rollup.commit("b0", one)
+
 
+def test_rollup_two_writers(spark, monkeypatch):
+    """A writer that another one overtakes applies its batch to what that one left."""
+    path = shared.fresh_path(spark, "rollup")
+    rollup, other = token_rollups.TokenRollup(spark, path), token_rollups.TokenRollup(spark, path)
+    rollup.commit("b0", one_change(spark, (0, "insert", 1, "t", "a", "en", 5)))
+    claim, done = token_rollups.TokenRollup._claim, []
 
-def test_rollup_compaction(spark, monkeypatch):
-    """A compacted batch sent again is not applied, and a driver lost while old batches are dropped loses nothing."""
+    def overtaken(self, entry):
+        if not done:
+            done.append(entry)
+            assert other.commit("b1", one_change(spark, (0, "revise", 1, "t", "a", "de", 9)))
+        return claim(self, entry)
+
+    monkeypatch.setattr(token_rollups.TokenRollup, "_claim", overtaken)
+    assert rollup.commit("b2", one_change(spark, (0, "revise", 1, "t", "b", "de", 2)))
+    assert totals(rollup) == {("b", "de", "t"): (1, 2)} and rollup.committed() == ["b0", "b1", "b2"]
+
+
+@pytest.mark.parametrize("step", range(8))
+def test_rollup_compaction(spark, monkeypatch, step):
+    """A compacted batch sent again is not applied, and a driver lost at any step of dropping loses nothing."""
     rollup = token_rollups.TokenRollup(spark, shared.fresh_path(spark, "rollup"))
-    one = spark.createDataFrame([(0, "insert", 1, "t", "a", "en", 5), (1, "insert", 2, "t", "a", "en", 7)], token_rollups.CHANGES)
+    one = one_change(spark, (0, "insert", 1, "t", "a", "en", 5), (1, "insert", 2, "t", "a", "en", 7))
     rollup.commit("b0", one)
-    rollup.commit("b1", spark.createDataFrame([(0, "delete", 1, "t", "a", "en", 0)], token_rollups.CHANGES))
+    rollup.commit("b1", one_change(spark, (0, "delete", 1, "t", "a", "en", 0)))
     want, drop, calls = {("a", "en", "t"): (1, 7)}, shared.drop, []
 
     def lost(*args):
-        drop(*args)
-        calls.append(args)
-        if len(calls) == 3:
+        if len(calls) == step:
             raise OSError("lost")
+        calls.append(args)
+        drop(*args)
 
-    monkeypatch.setattr(shared, "drop", lost)
-    try:
-        rollup.compact("c0")
-    except OSError:
-        pass
-    monkeypatch.setattr(shared, "drop", drop)
-    assert totals(rollup) == want
+    with monkeypatch.context() as m:
+        m.setattr(shared, "drop", lost)
+        with pytest.raises(OSError):
+            rollup.compact("c0")
+    assert totals(rollup) == want and rollup.committed() == ["c0"]
     assert not rollup.commit("b0", one) and totals(rollup) == want and rollup.state().count() == 1
     rollup.compact("c1")
     assert rollup.committed() == ["c1"] and not rollup.commit("b1", one) and not rollup.commit("c0", one) and totals(rollup) == want
