@@ -4,12 +4,13 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from llm_models import COPY, EDGE, lower, shingles
 
 from vellum.llm import fingerprints, jaccard_join, suffix_dedup
 from vellum.llm.components import connected_components
 from vellum.llm.queries import QUERIES
-from vellum.llm.words import hashed
+from vellum.llm.words import hashed, shingle_sets
 
 
 def components(rows):
@@ -217,6 +218,50 @@ def test_fingerprints_query(spark, sf, rows):
     assert len(got) == len(rows) and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_fingerprints_of_common_ids(spark, monkeypatch, parts):
+    """Many rows without doc_id, and many of one: dealt into parts, in one order."""
+    rng = np.random.default_rng(parts)
+    rows = [(None, f"null {k} a b c d") for k in range(40)] + [(5, f"five {k} a b c d") for k in range(40)] + [(int(i), f"text {i} {k} of words") for k, i in enumerate(rng.integers(0, 60, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(fingerprints.shared, "parts_for", lambda df: parts)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        half, following = len(t) // 2, order[(k + 1) % len(order)][1]
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(df).collect()) == sorted(want)
+
+
+def plain_signature(hashes):
+    """One-permutation MinHash in plain loops: a minimum for each bin, empty bins by their draws."""
+    least = {}
+    for h in hashes:
+        least[h >> 56] = min(h, least.get(h >> 56, h))
+    out = []
+    for k in range(256):
+        found = least.get(k)
+        for draw in fingerprints._DRAWS if found is None else ():
+            if int(draw[k]) in least:
+                found = least[int(draw[k])]
+                break
+        if found is None:  # no draw hits: the next full bin
+            found = least[min((x for x in least if x >= k), default=min(least))]
+        out.append(found & 255)
+    return bytes(out)
+
+
+def test_fingerprints_against_plain_loops(spark, sf, rows):
+    got = {r.doc_id: r for r in QUERIES["op10_fingerprints"](spark, sf).collect()}
+    near = lambda a, b: max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 256 - 1 / 256) / (1 - 1 / 256))
+    for i, t, changed, following in edits(rows):
+        own, other, after = (plain_signature([int(h) for h in next(shingle_sets([x.encode()]))]) for x in (t, changed, following))
+        r = got[i]
+        assert (bytes.fromhex(r.fingerprint), bytes.fromhex(r.edited_fingerprint)) == (own, other)
+        assert (r.near_edited, r.near_next) == pytest.approx((near(own, other), near(own, after)))
+
+
 def test_fingerprints_edge(spark, edge, empty):
     got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(edge).collect())
     assert got == sorted((str(i), len(t), hashlib.sha256(c.encode()).hexdigest()) for i, t, c, _ in edits(EDGE))

@@ -11,13 +11,15 @@ corrected for: (m - c) / (1 - c), at least 0.
 Cases: a null text is empty; a text of fewer than five words is one shingle;
 one without words has the fingerprint "", which is like another "" (1.0) and
 unlike all else (0.0). Equal texts have equal fingerprints. Rows with equal
-doc_ids stand in the order of their texts; rows with a null doc_id come first.
+doc_ids stand in the order of a hash of their texts; rows with a null doc_id
+come first.
 An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,30 +93,86 @@ def packed(x: np.ndarray | None) -> str:
     return "" if x is None else x.tobytes().hex()
 
 
-def _placing(bounds: np.ndarray, first: int | None):
+_LEAST = -(1 << 63)
+
+
+class Cuts:
+    """Keys (known, doc_id, hash) at which parts begin, in order; doc_id and known are 0 for a null."""
+
+    def __init__(self, keys: list[tuple[int, int, int]]):
+        self.nulls = np.array([h for known, _, h in keys if not known], np.int64)
+        self.ids, self.hashes = (np.array([k[i] for k in keys if k[0]], np.int64) for i in (1, 2))
+        self.parts = len(keys) + 1
+
+    def part_of(self, null: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        part = np.searchsorted(self.ids, x) + len(self.nulls)
+        part[null] = np.searchsorted(self.nulls, h[null], side="right")
+        for cut in np.intersect1d(x[~null], self.ids):
+            rows = np.flatnonzero(~null & (x == cut))
+            begin, end = np.searchsorted(self.ids, cut), np.searchsorted(self.ids, cut, side="right")
+            part[rows] += np.searchsorted(self.hashes[begin:end], h[rows], side="right")
+        return part
+
+    def set_firsts(self, firsts: dict[int, tuple[int, int, int]]) -> None:
+        """Takes the least key of each part that has rows."""
+        self.first = np.full((self.parts, 3), -1, np.int64)
+        for k, key in firsts.items():
+            self.first[k] = key
+        full = sorted(firsts)
+        self.before = np.zeros(self.parts, np.int64)
+        self.before[full] = [*full[-1:], *full[:-1]]
+
+    def is_first(self, part: np.ndarray, null: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        known, first, least = self.first[part].T
+        return (known == ~null) & (first == x) & (least == h)
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = batch["doc_id"]
+    return ~np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.asarray(batch["h"])
+
+
+def _parts(cuts: Cuts):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("part", pa.array(cuts.part_of(*_keys(batch)).astype(np.int32)))
+
+    return rows
+
+
+def _cuts(docs: DataFrame, parts: int) -> Cuts:
+    """Quantiles of doc_ids; among rows of a null or very common doc_id, even steps of their texts' hashes."""
+    steps = [k / parts for k in range(1, parts)] or [0.5]
+    found = docs.select(F.percentile_approx("doc_id", steps, 100 * parts).alias("x"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    times = Counter(found.x or []) if parts > 1 else Counter()
+    even = lambda m: [_LEAST + k * (1 << 64) // m for k in range(1, m)]
+    keys = [(1, i, h) for i, m in times.items() for h in (_LEAST, *even(m))]
+    keys += [(0, 0, h) for h in even(max(1, parts * found.nulls // max(found.n, 1)))]
+    cuts = Cuts(sorted(keys))
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    firsts = docs.mapInArrow(_parts(cuts), "doc_id long, h long, part int").groupBy("part").agg(F.min(key).alias("x"))
+    cuts.set_firsts({r.part: tuple(r.x) for r in firsts.collect()})  # one row a part
+    return cuts
+
+
+def _placing(cuts: Cuts):
     """Gives each row its part; the first row of a part also goes, as an extra, behind the part before it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"]
-            null = ~np.asarray(ids.is_valid())
-            x = np.asarray(ids.fill_null(0))
-            part = np.searchsorted(bounds, x, side="right").astype(np.int32)
-            part[null] = 0
+            key = _keys(batch)
+            part = cuts.part_of(*key)
             yield _with(batch, part, False)
-            starts = np.isin(x, bounds) & ~null
-            if starts.any():
-                yield _with(batch.filter(pa.array(starts)), part[starts] - 1, True)
-            start = null if first is None else (x == first) & ~null
-            if start.any():
-                yield _with(batch.filter(pa.array(start)), np.full(int(start.sum()), len(bounds), np.int32), True)
+            first = cuts.is_first(part, *key)
+            if first.any():
+                yield _with(batch.filter(pa.array(first)), cuts.before[part[first]], True)
 
     return rows
 
 
 def _with(batch: pa.RecordBatch, part: np.ndarray, extra: bool) -> pa.RecordBatch:
-    columns = [pa.array(part, pa.int32()), pa.array(np.full(len(part), extra)), batch["doc_id"], batch["text"].cast(pa.string())]
-    return pa.RecordBatch.from_arrays(columns, ["part", "extra", "doc_id", "text"])
+    columns = [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), extra)), batch["doc_id"], batch["h"], batch["text"].cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "extra", "doc_id", "h", "text"])
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -150,16 +208,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of edited texts, with the likeness of each text to its edit and to the next text.
 
-    The order of doc_ids is cut at quantiles into parts; each part also gets
-    the first row of the next one (that of the last part is the first of all),
-    so that a text and the next meet in one sorted part and texts move once.
+    The order of rows is cut at quantiles into parts; each part also gets the
+    first row of the next one (that of the last part is the first of all), so
+    that a text and the next meet in one sorted part and texts move once.
     """
-    parts = shared.partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    steps = [k / parts for k in range(1, parts)] or [0.5]
-    found = docs.select(F.percentile_approx("doc_id", steps, 100 * parts).alias("x"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    least = None if found.nulls else found.least
-    bounds = np.array(sorted(x for x in set(found.x or []) if x != least), np.int64)
-    rows = docs.mapInArrow(_placing(bounds, least), "part int, extra boolean, doc_id long, text string")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(_rows, _OUT)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    cuts = _cuts(docs.select("doc_id", "h"), shared.parts_for(docs))
+    rows = shared.dealt(docs.mapInArrow(_placing(cuts), "part int, extra boolean, doc_id long, h long, text string"), cuts.parts)
+    rows = rows.sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "h", "text")
+    return rows.select("part", "extra", "doc_id", "text").mapInArrow(_rows, _OUT)
