@@ -10,8 +10,9 @@ that it can hold, and so on until none fits. A plan is a list of patterns with
 multiplicities, at most a few for each length, however many pieces there are.
 
 Pieces then find their sequence by their rank within their length. Ranks are
-counted within salted buckets of a length and shifted by the counts of the
-buckets before, so that a very common length is spread over many tasks.
+counted within buckets of a length, into which pieces are dealt in turn, and
+shifted by the counts of the buckets before, so that a very common length, or
+doc_id, is spread over many tasks.
 
 Cases: a null text is empty and gives one piece, the end token; repeated rows
 are packed one by one; a null doc_id is kept; an empty table gives an empty
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ SIZE = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, size: int, end: bytes):
+def _cut(path: str, size: int, end: bytes, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, dealt = encoder(path), TaskContext.get().partitionId()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -52,7 +54,10 @@ def _cut(path: str, size: int, end: bytes):
                         for x, v in zip(out, (doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])), strict=True):
                             x.append(v)
                         at, k = at + n, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                bucket = (np.arange(len(out[0])) + dealt) % buckets
+                dealt += len(bucket)
+                columns = [pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bucket, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
 
     return rows
 
@@ -180,10 +185,9 @@ def _placed(intervals):
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = 0) -> DataFrame:
     """docs (doc_id, text) to doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path or default_path(), size, end_id.to_bytes(4, "little")), _PIECES)
+    buckets = max(16, shared.parts_for(docs))
+    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path or default_path(), size, end_id.to_bytes(4, "little"), buckets), _PIECES + ", bucket long")
     pieces = shared.written(pieces, "pieces")
-    buckets = max(16, shared.partitions(spark))
-    pieces = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece), {buckets})"))
     counted = pieces.groupBy("bucket", "length").count()
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most size rows
     intervals = spark.sparkContext.broadcast(_intervals(plan(counts, size)))
