@@ -5,9 +5,9 @@ import os
 import pytest
 
 from compare import duck, same
-from vellum.plans.oracles import ORACLE_SQL
-from vellum.plans.queries import QUERIES
+from vellum.plans import oracles, package_oracles, package_queries, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | package_queries.QUERIES, oracles.ORACLE_SQL | package_oracles.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

@@ -1,4 +1,4 @@
-"""Guards, the data source, streaming and random differential tests."""
+"""Guards, the scan, streaming and random differential tests."""
 
 import random
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vellum.operators import chunks, lists, numbering
 from vellum.sources import guards, ooxml, package, writer
-from vellum.sources.datasource import register
 from vellum.streaming.documents import package_stream, write_stream
 
 
@@ -43,13 +42,12 @@ def test_numbering_rules():
     assert [(x["start"], x["num_fmt"]) for x in levels] == [(5, "decimal")] and nums == [{"num_id": 1, "abstract_num_id": 3, "overrides": [{"ilvl": 0, "start_override": 2}]}]
 
 
-def test_data_source_and_stream(spark, tmp_path):
+def test_scan_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     for k in range(3):
         (folder / f"{k}.docx").write_bytes(writer.of_stream([{"kind": "heading", "level": 1, "text": f"T{k}"}, {"kind": "paragraph", "level": None, "text": "body"}]))
-    register(spark)
-    assert spark.read.format("docx").load(str(folder)).where("part_name = 'word/document.xml' AND size > 0").count() == 3
+    assert package.parts(package.packages(spark, str(folder))).where("part_name = 'word/document.xml' AND size > 0").count() == 3
     assert package.packages(spark, str(folder)).count() == 3
     query = write_stream(package_stream(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -2,7 +2,7 @@
 
 Lookups within a document (styles, numbering, links, notes, header and footer
 parts) are resolved inside its staging row, before anything is exploded: they
-move no data. What is left are ordered scans, all by document.
+move no data. What is left are ordered scans under one partitioning by document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import heading_of_name, heading_of_outline, let, list_type
 from ..sources.package import ITEM
-from . import numbering, styles, tables
+from . import numbering, styles
 
 LINKS = "array<struct<text:string,url:string>>"
 ROWS = "array<struct<cells:array<struct<text:string,col_span:int,row_span:int>>>>"
@@ -97,7 +97,7 @@ def _resolved(placed: Column, honor_start_override: bool) -> Column:
             style = F.when(is_paragraph, let(styles.resolve_chain(s, ppr["style_id"]), with_chain))
             fields = (
                 *(x[f].alias(f) for f in ("scope", "host", "class", "ref", "slot", "at")), item["kind"].alias("kind"), style.alias("style"), links.alias("links"), ordered.alias("notes"),
-                F.array_join(F.transform(item["inlines"], lambda i: F.coalesce(i["text"], F.lit(""))), "").alias("text"), item["cells"].alias("cells"), item["rows"].alias("n_rows"),
+                F.array_join(F.transform(item["inlines"], lambda i: F.coalesce(i["text"], F.lit(""))), "").alias("text"), item["table"].alias("rows"),
             )
             return F.struct(*fields)
 
@@ -112,13 +112,13 @@ def resolved_items(parsed: DataFrame, honor_start_override: bool = False, normal
     return good.select("doc_id", _resolved(_placed(normalise_targets), honor_start_override).alias("items"))
 
 
-def _style_error() -> Column:
-    return F.get(F.filter(F.transform("items", lambda x: x["style"]["error"]), lambda e: e.isNotNull()), F.lit(0))
+def _style_error(items: Column) -> Column:
+    return F.get(F.filter(F.transform(items, lambda x: x["style"]["error"]), lambda e: e.isNotNull()), F.lit(0))
 
 
 def style_errors(parsed: DataFrame) -> DataFrame:
     """doc_id, kind of packages whose paragraphs use a circular or too deep style chain; they have no elements."""
-    return resolved_items(parsed).select("doc_id", _style_error().alias("kind")).where("kind IS NOT NULL")
+    return resolved_items(parsed).select("doc_id", _style_error(F.col("items")).alias("kind")).where("kind IS NOT NULL")
 
 
 def classify(items: DataFrame) -> DataFrame:
@@ -148,36 +148,36 @@ def classify(items: DataFrame) -> DataFrame:
 def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_targets: bool = False) -> DataFrame:
     """The element stream of parsed packages, ordered by (doc_id, pos).
 
-    Several branches (tables, sections, body) read parsed: persist it, or write
-    it, so that packages are unpacked once.
+    Rows are dealt by document once; every window below is within a document,
+    so nothing else is shuffled, and parsed is read once.
     """
-    nested = resolved_items(parsed, honor_start_override, normalise_targets)
-    rows = nested.where(_style_error().isNull()).select("doc_id", F.inline("items"))
-    rows = rows.select("*", "style.list", "style.heading").drop("style")
-    found = classify(rows.drop("cells", "n_rows"))
-    key = ["doc_id", "scope", "at"]
-    # spans of cells need windows of their own; tables are few beside paragraphs
-    with_cells = rows.where("kind = 'table'").select(*key, "n_rows", "cells")
-    spans = tables.table_rows(with_cells.select(*key, F.inline("cells")), key)
-    built = with_cells.select(*key, "n_rows").join(spans, key, "left").select(*key, tables.rows_of(F.col("_cells"), F.col("n_rows")).cast(ROWS).alias("rows"))
-    found = found.join(built, key, "left")
-
-    none = lambda kind: F.lit(None).cast(kind)
-    own = F.array(F.struct(F.lit(0).alias("sub"), *(F.col(c).alias(c) for c in ("kind", "text", "level", "list_type", "num_fmt", "display_index", "parent_heading", "links", "rows")), none("bigint").alias("note_id"), none("string").alias("author"), none("string").alias("url")))
-    note = lambda n, k: F.struct(
-        (k + 1).alias("sub"), n["kind"].alias("kind"), n["n"]["text"].alias("text"), none("int").alias("level"), none("string").alias("list_type"), none("string").alias("num_fmt"), none("bigint").alias("display_index"),
-        none("struct<level:int,text:string>").alias("parent_heading"), none(LINKS).alias("links"), none(ROWS).alias("rows"), n["note_id"].alias("note_id"), n["n"]["author"].alias("author"), none("string").alias("url"),
-    )
-    text = F.when(F.col("kind") != "table", F.col("text"))
-    found = found.withColumn("text", text)
-    flat = found.select("doc_id", "scope", "host", "class", "ref", "slot", "at", F.inline(F.when(F.col("at") < 0, F.array(own[0])).otherwise(F.concat(own, F.transform(F.coalesce("notes", F.array()), note)))))
-    leaf = F.struct("at", "sub", *_LEAF_NAMES)
-    body = flat.where("class = 0").select("doc_id", "host", "class", "ref", "sub", *_LEAF_NAMES, none("string").alias("slot"), none(CONTENT).alias("content"))
-    parts = flat.where("class > 0").groupBy("doc_id", "host", "class", "ref", "slot").agg(F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct(F.col("at"), F.col("sub"), leaf.alias("leaf")))), lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["sub"] - b["sub"]).cast("int")).alias("c"))
-    content = F.transform("c", lambda x: F.struct(*(x["leaf"][n].alias(n) for n in _LEAF_NAMES))).cast(CONTENT)
-    sections = parts.select("doc_id", "host", "class", "ref", F.lit(0).alias("sub"), F.when(F.col("class") == 1, "header").otherwise("footer").alias("kind"), *(F.lit(None).alias(n) for n in _LEAF_NAMES if n != "kind"), "slot", content.alias("content"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("host", "class", "ref", "sub")) - 1
-    return body.unionByName(sections).withColumn("pos", pos.cast("int")).select(*COLUMNS)
+    good = parsed.where("open_error IS NULL AND element_error IS NULL")
+    # in one expression, so that the items are resolved once
+    sound = let(_resolved(_placed(normalise_targets), honor_start_override), lambda x: F.when(_style_error(x).isNull(), x))
+    rows = good.select("doc_id", F.inline(sound)).repartition("doc_id")
+    found = classify(rows.select("*", "style.list", "style.heading").drop("style"))
+
+    none = {"note_id": "bigint", "author": "string", "url": "string", "level": "int", "list_type": "string", "num_fmt": "string", "display_index": "bigint", "parent_heading": "struct<level:int,text:string>", "links": LINKS, "rows": ROWS}
+    null = lambda c: F.lit(None).cast(none[c]).alias(c)
+
+    def leaf(sub: Column, known: dict[str, Column]) -> Column:
+        return F.struct(sub.alias("sub"), *(known[c].alias(c) if c in known else null(c) for c in _LEAF_NAMES))
+
+    own = {c: F.col(c) for c in ("kind", "level", "list_type", "num_fmt", "display_index", "parent_heading", "links")}
+    own |= {"text": F.when(F.col("kind") != "table", F.col("text")), "rows": F.col("rows").cast(ROWS)}
+    note = lambda n, k: leaf(k + 1, {"kind": n["kind"], "text": n["n"]["text"], "note_id": n["note_id"], "author": n["n"]["author"]})
+    each = F.concat(F.array(leaf(F.lit(0), own)), F.transform(F.coalesce("notes", F.array()), note))
+    flat = found.select("doc_id", "host", "class", "ref", "slot", "at", F.inline(each))
+
+    # a section's head row takes up the rows of its part, in order
+    order = ["host", "class", "ref", "at", "sub"]
+    section = Window.partitionBy("doc_id", "host", "class", "ref").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_part = F.col("class") > 0
+    content = F.collect_list(F.when(is_part & (F.col("at") >= 0), F.struct(*_LEAF_NAMES))).over(section)
+    flat = flat.withColumn("content", F.when(is_part, content).cast(CONTENT)).where("class = 0 OR at < 0")
+    kind = F.when(F.col("class") == 1, "header").when(F.col("class") == 2, "footer").otherwise(F.col("kind"))
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+    return flat.withColumn("kind", kind).withColumn("pos", pos.cast("int")).select(*COLUMNS)
 
 
 def links(parsed: DataFrame) -> DataFrame:

@@ -18,6 +18,11 @@ def _render(elements: DataFrame, leaf, section) -> Column:
     return F.coalesce(whole, own, F.lit(""))
 
 
+def rendered(elements: DataFrame, form: str) -> Column:
+    """Each element as Markdown or plain text, as a column over the elements."""
+    return _render(elements, markdown, section_markdown) if form == "markdown" else _render(elements, plain, section_plain)
+
+
 def _documents(elements: DataFrame, leaf, section, name: str) -> DataFrame:
     rows = elements.select("doc_id", "pos", "kind", _render(elements, leaf, section).alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "kind", "text")))

@@ -9,11 +9,13 @@ from ..functions.text import image_type
 from ..sources.package import parts
 
 
-def images(packages: DataFrame) -> DataFrame:
-    """doc_id, path, bytes, content_type of entries under word/media/, by doc_id and path.
+def images(packages: DataFrame, whole: bool = True) -> DataFrame:
+    """doc_id, path, bytes, content_type, error of entries under word/media/, by path within each package.
 
-    The rows are sorted within each package by the unpacking; order the result
-    by doc_id and path where a total order is wanted.
+    A package of which one image cannot be read has a row with the error in
+    place of its images; without whole, only that image's row has an error.
+    Packages that cannot be opened have a row with the error, too. Order the
+    result by doc_id and path where a total order is wanted.
     """
-    found = parts(packages, "^word/media/").where("error IS NULL")
-    return found.select("doc_id", F.col("part_name").alias("path"), "bytes", image_type(F.col("bytes")).alias("content_type"))
+    found = parts(packages, "^word/media/", whole=whole)
+    return found.select("doc_id", F.col("part_name").alias("path"), "bytes", F.when(F.col("error").isNull(), image_type(F.col("bytes"))).alias("content_type"), "error")

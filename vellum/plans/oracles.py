@@ -73,7 +73,7 @@ select doc_id, string_agg(case when seen = 0 then '' when kind = 'list_item' and
 
 
 _NESTED = f"""with {STREAM}, others as (select *, sum((kind <> 'list_item')::int) over (partition by doc_id order by pos) as o from el), items as (select * from others where kind = 'list_item')"""
-_CELLS = """lines_ as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as k from lineitem),
+CELLS = """lines_ as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as k from lineitem),
 cells as (select l_orderkey as t, (k // 2)::int as row, (k % 2)::int as cell, (1 + l_linenumber % 2)::int as grid_span, case l_returnflag when 'R' then 'restart' when 'A' then 'continue' end as v_merge, l_linestatus as text from lines_)"""
 
 ORACLE_SQL = {
@@ -93,10 +93,10 @@ ORACLE_SQL = {
     "markdown_elements": f"with {STREAM} select doc_id, pos, {_MARKDOWN} as markdown from el",
     "markdown_docs": _documents(STREAM, _MARKDOWN, "markdown"),
     "plain_text_docs": _documents(NOTES, _PLAIN, "plain_text"),
-    "table_spans": f"""with {_CELLS}, placed as (select *, coalesce(sum(grid_span) over (partition by t, row order by cell rows between unbounded preceding and 1 preceding), 0) as col from cells),
+    "table_spans": f"""with {CELLS}, placed as (select *, coalesce(sum(grid_span) over (partition by t, row order by cell rows between unbounded preceding and 1 preceding), 0) as col from cells),
 islands as (select *, sum((coalesce(v_merge, '') <> 'continue')::int) over (partition by t, col order by row, cell) as isl from placed)
 select t, row, cell, text, col_span, row_span from (select t, row, cell, text, grid_span as col_span, v_merge, (1 + case when v_merge = 'restart' then sum((coalesce(v_merge, '') = 'continue')::int) over (partition by t, col, isl) else 0 end)::int as row_span from islands) where coalesce(v_merge, '') <> 'continue'""",
-    "table_markdown": f"""with {_CELLS}, lines as (select t, row, '| ' || string_agg(text, ' | ' order by cell) || ' |' as md, string_agg(text, ' | ' order by cell) as plain, count(*) as n from cells group by 1, 2)
+    "table_markdown": f"""with {CELLS}, lines as (select t, row, '| ' || string_agg(text, ' | ' order by cell) || ' |' as md, string_agg(text, ' | ' order by cell) as plain, count(*) as n from cells group by 1, 2)
 select t, string_agg(case when row = 0 then md || chr(10) || '|' || repeat(' --- |', n::int) else md end, chr(10) order by row) as markdown, string_agg(plain, chr(10) order by row) as plain from lines group by 1""",
     "style_resolution": """with recursive s as (select (p_partkey % 16)::varchar as doc_id, p_partkey // 16 as k, case when p_size % 3 = 0 then p_size % 10 end as o from part),
 walk as (select doc_id, k as start_, k as cur, 0 as hop, o from s union all select w.doc_id, w.start_, s.k, w.hop + 1, s.o from walk w join s on s.doc_id = w.doc_id and s.k = w.cur // 2 where w.cur > 0)

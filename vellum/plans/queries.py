@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, elements, export, lists, numbering, styles, tables
-from ..sources import package, writer
+from ..sources import guards, package, writer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +127,7 @@ def plain_text_docs(spark, sf_dir):
     return export.plain_text(with_notes(spark, sf_dir))
 
 
-def _cells(spark, sf_dir):
+def order_cells(spark, sf_dir):
     """Orders as tables, two lines a row; the return flag says which cells merge downwards."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(line) - 1)
@@ -136,11 +136,11 @@ def _cells(spark, sf_dir):
 
 
 def table_spans(spark, sf_dir):
-    return tables.table_cells(_cells(spark, sf_dir), ["t"])
+    return tables.table_cells(order_cells(spark, sf_dir), ["t"])
 
 
 def table_markdown(spark, sf_dir):
-    cells = _cells(spark, sf_dir).select("t", "row", "cell", F.lit(1).alias("grid_span"), F.lit(None).cast("string").alias("v_merge"), "text")
+    cells = order_cells(spark, sf_dir).select("t", "row", "cell", F.lit(1).alias("grid_span"), F.lit(None).cast("string").alias("v_merge"), "text")
     rows = tables.table_rows(cells, ["t"]).select("t", tables.rows_of(F.col("_cells"), F.array_max(F.transform("_cells", lambda c: c["row"])) + 1).alias("rows"))
     return rows.select("t", T.table_markdown(F.col("rows")).alias("markdown"), T.table_text(F.col("rows")).alias("plain"))
 
@@ -179,17 +179,13 @@ def image_types(spark, sf_dir):
 
 
 def zip_guards(spark, sf_dir):
-    """Orders as entries: what the guards on size, ratio and path say of them."""
-    from ..sources import guards
-
+    """Orders as entries: what the guards on size and ratio say of them."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") * 1000).cast("bigint").alias("size"), (F.col("o_orderkey") % 200000).alias("packed"))
-    bomb = (F.col("size") > guards.MAX_ENTRY_BYTES) | ((F.col("size") > 0) & (F.col("packed") > 0) & (F.col("packed") / F.col("size") < guards.MIN_RATIO))
-    return rows.select("o_orderkey", bomb.alias("bomb"))
+    return rows.select("o_orderkey", (guards.too_large(F.col("size")) | guards.too_packed(F.col("size"), F.col("packed"))).alias("bomb"))
 
 
 def _parsed(spark, sf_dir):
-    # several branches of the element plan read it
-    return package.parse_packages(writer.write_packages(stream(spark, sf_dir))).persist()
+    return package.parse_packages(writer.write_packages(stream(spark, sf_dir)))
 
 
 def docx_roundtrip_elements(spark, sf_dir):

@@ -150,6 +150,31 @@ def paragraph_properties(node: Node | None) -> dict:
     }
 
 
+def spanned(cells: list[dict], count: int) -> list[dict]:
+    """Rows of a table's cells (in order) with the columns and rows they span.
+
+    A cell's column is the sum of the spans before it in its row. One that
+    continues another adds a row to the last cell of its column that does not,
+    if that one is marked as a restart, and is left out.
+    """
+    rows: list[dict] = [{"cells": []} for _ in range(count)]
+    heads: dict[int, tuple[dict, bool]] = {}
+    row, column = -1, 0
+    for c in cells:
+        if c["row"] != row:
+            row, column = c["row"], 0
+        if c["v_merge"] == "continue":
+            head, merges = heads.get(column, ({}, False))
+            if merges:
+                head["row_span"] += 1
+        else:
+            made = {"text": c["text"], "col_span": c["grid_span"], "row_span": 1}
+            heads[column] = made, c["v_merge"] == "restart"
+            rows[row]["cells"].append(made)
+        column += c["grid_span"]
+    return rows
+
+
 class _Body:
     """Items of a body, header or footer, in order."""
 
@@ -247,7 +272,7 @@ class _Body:
         rows(node)
         properties = node.find("w:tblPr")
         style = properties.find("w:tblStyle") if properties else None
-        self.items.append({"kind": "table", "cells": cells, "rows": row + 1, "ppr": {"style_id": style.val() if style is not None else None}})
+        self.items.append({"kind": "table", "cells": cells, "rows": row + 1, "table": spanned(cells, row + 1), "ppr": {"style_id": style.val() if style is not None else None}})
 
     def section(self, node: Node) -> None:
         refs = []

@@ -25,7 +25,7 @@ PPR = "struct<style_id:string,num_pr:struct<num_id:bigint,ilvl:int>,alignment:st
 RUN = "struct<text:string," + RPR.removeprefix("struct<")
 ITEM = (
     f"struct<kind:string,ppr:{PPR},inlines:array<struct<kind:string,rel_id:string,anchor:string,text:string,runs:array<{RUN}>>>,refs:array<struct<note_kind:string,note_id:bigint>>,"
-    "rows:int,cells:array<struct<row:int,cell:int,grid_span:int,v_merge:string,width:bigint,text:string>>,sections:array<struct<which:string,rel_id:string,slot:string>>>"
+    "rows:int,cells:array<struct<row:int,cell:int,grid_span:int,v_merge:string,width:bigint,text:string>>,table:array<struct<cells:array<struct<text:string,col_span:int,row_span:int>>>>,sections:array<struct<which:string,rel_id:string,slot:string>>>"
 )
 ERROR = "struct<kind:string,part:string,detail:string>"
 PARSED = (
@@ -120,11 +120,33 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def _in_batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that come with their sizes, about BATCH_BYTES of them or one row at a time."""
+    held, size = [], 0
+    for n, row in rows:
+        if held and size + n > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes | None]]:
+    for batch in batches:
+        for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+            yield doc_id.as_py(), content.as_py()
+
+
 def _parse_rows(schema: pa.Schema):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a package at a time, so that memory follows the largest
-                yield pa.RecordBatch.from_pylist([parse_package(batch["doc_id"][k].as_py(), batch["content"][k].as_py())], schema=schema)
+        # XML is many times the size of the package it was packed into
+        parsed = ((16 * len(content or b""), parse_package(doc_id, content)) for doc_id, content in _contents(batches))
+        yield from _in_batches(parsed, schema)
 
     return rows
 
@@ -149,35 +171,65 @@ def parse_packages(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return parsed
 
 
-def _part_rows(pattern: str, with_bytes: bool, schema: pa.Schema):
+def _package_parts(doc_id: str | None, content: bytes | None, wanted: re.Pattern, with_bytes: bool, whole: bool) -> Iterator[tuple[int, dict]]:
+    row = {"doc_id": doc_id, "part_name": None, "size": None, "compressed_size": None, "bytes": None, "error": None}
+    try:
+        archive = Archive(content or b"")
+        names = sorted(x for x in set(archive.names) if wanted.search(x))
+        if whole:  # all or nothing: each entry is read once before any is given
+            for name in names:
+                archive.read(name)
+            archive = Archive(content or b"")
+    except PackageError as e:
+        yield 0, row | {"part_name": e.part or None, "error": e.row()}
+        return
+    for name in names:
+        try:
+            x = archive.info(name)
+            data = archive.read(name) if with_bytes else None
+            yield len(data or b""), row | {"part_name": name, "size": x.file_size, "compressed_size": x.compress_size, "bytes": data}
+        except PackageError as e:
+            yield 0, row | {"part_name": name, "error": e.row()}
+
+
+def parts(source: DataFrame, pattern: str = "", with_bytes: bool = True, whole: bool = False) -> DataFrame:
+    """Entries of packages whose name a pattern finds, by name.
+
+    An entry that cannot be read has a row with its error, and the others
+    follow; a package that cannot be opened has one row with the error. With
+    whole, a package of which any such entry cannot be read has only that row.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(pattern)
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"].to_pylist(), batch["content"], strict=True):
-                row = {"doc_id": doc_id, "part_name": None, "size": None, "compressed_size": None, "bytes": None, "error": None}
-                try:
-                    archive = Archive(content.as_py() or b"")
-                    for name in sorted(set(archive.names)):
-                        if not wanted.search(name):
-                            continue
-                        x = archive.info(name)
-                        data = archive.read(name) if with_bytes else None
-                        yield pa.RecordBatch.from_pylist([row | {"part_name": name, "size": x.file_size, "compressed_size": x.compress_size, "bytes": data}], schema=schema)
-                except PackageError as e:
-                    yield pa.RecordBatch.from_pylist([row | {"error": e.row()}], schema=schema)
+        yield from _in_batches((x for doc_id, content in _contents(batches) for x in _package_parts(doc_id, content, wanted, with_bytes, whole)), schema)
 
-    return rows
+    schema = _arrow(PARTS)
+    return source.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(rows, PARTS)
 
 
-def parts(source: DataFrame, pattern: str = "", with_bytes: bool = True) -> DataFrame:
-    """Entries of packages whose name a pattern finds; an error ends a package with a row of its own."""
-    return source.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(_part_rows(pattern, with_bytes, _arrow(PARTS)), PARTS)
+def has_entry(source: DataFrame, name: str) -> DataFrame:
+    """doc_id, has_entry of packages (doc_id, content)."""
+    rows = parts(source, with_bytes=False).groupBy("doc_id")
+    return rows.agg(F.coalesce(F.max(F.col("error").isNull() & (F.col("part_name") == name)), F.lit(False)).alias("has_entry"))
 
 
 def content_types(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("content_types"))
 
 
+def has_part(parsed: DataFrame, part_name: str) -> DataFrame:
+    """doc_id, has_part: whether the manifest names the part, given with or without a slash before it."""
+    name = part_name.lstrip("/")
+    return parsed.select("doc_id", F.coalesce(F.exists("content_types", lambda x: (x["kind"] == "override") & (x["key"] == name)), F.lit(False)).alias("has_part"))
+
+
+def default_for_extension(parsed: DataFrame, extension: str) -> DataFrame:
+    """doc_id, content_type that the manifest gives an extension, or null; of several the last."""
+    found = F.filter("content_types", lambda x: (x["kind"] == "default") & (x["key"] == extension))
+    return parsed.select("doc_id", F.try_element_at(found, F.lit(-1))["content_type"].alias("content_type"))
+
+
 def main_part(parsed: DataFrame) -> DataFrame:
     """The main document part of each package: the least name of its content type."""
     rows = content_types(parsed).where((F.col("kind") == "override") & (F.col("content_type") == ooxml.MAIN_TYPE))
@@ -188,8 +240,48 @@ def relationships(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("rels"))
 
 
-def notes(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline("notes"))
+def relationship(parsed: DataFrame, rel_id: str) -> DataFrame:
+    """The relationship of an id, of each package that has it."""
+    return relationships(parsed).where(F.col("rel_id") == rel_id)
+
+
+def relationships_of_type(parsed: DataFrame, part_of_type: str) -> DataFrame:
+    """Relationships whose type contains a text."""
+    return relationships(parsed).where(F.contains("rel_type", F.lit(part_of_type)))
+
+
+def notes(parsed: DataFrame, kind: str | None = None) -> DataFrame:
+    """Footnotes, endnotes and comments, or those of one kind."""
+    rows = parsed.select("doc_id", F.inline("notes"))
+    return rows if kind is None else rows.where(F.col("note_kind") == kind)
+
+
+def raw_body(parsed: DataFrame) -> DataFrame:
+    """doc_id, item_ord and the raw items of the main part."""
+    return parsed.select("doc_id", F.posexplode("items").alias("item_ord", "item")).select("doc_id", "item_ord", "item.*")
+
+
+def style_table(parsed: DataFrame) -> DataFrame:
+    return parsed.select("doc_id", F.inline("styles"))
+
+
+def numbering_defs(parsed: DataFrame) -> DataFrame:
+    """Concrete numbers with the levels of the abstract ones they name: doc_id, num_id, ilvl, start, num_fmt, level_text."""
+    of = lambda n: F.transform(F.filter("levels", lambda x: x["abstract_num_id"] == n["abstract_num_id"]), lambda x: F.struct(n["num_id"].alias("num_id"), x["ilvl"].alias("ilvl"), x["start"].alias("start"), x["num_fmt"].alias("num_fmt"), x["level_text"].alias("level_text")))
+    return parsed.select("doc_id", F.inline(F.flatten(F.transform("nums", of))))
+
+
+def section_part(parsed: DataFrame, part_name: str) -> DataFrame:
+    """doc_id, item_ord and the raw items of a header or footer part, of each package that has it."""
+    found = F.get(F.filter("part_items", lambda p: p["part"] == part_name), F.lit(0))["items"]
+    return parsed.select("doc_id", F.posexplode(found).alias("item_ord", "item")).select("doc_id", "item_ord", "item.*")
+
+
+def counts(parsed: DataFrame) -> DataFrame:
+    """How many items, styles, numbers, notes, relationships and section parts each package has; 0 for those that failed."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    kinds = ("items", "styles", "nums", "notes", "rels", "part_items")
+    return parsed.select("doc_id", *(F.greatest(n(c), F.lit(0)).alias(f"n_{c}") for c in kinds))
 
 
 def errors(parsed: DataFrame) -> DataFrame:

@@ -41,6 +41,25 @@ def decimal_numbering() -> str:
     return f'<w:numbering xmlns:w="{W}"><w:abstractNum w:abstractNumId="0">{each}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
 
 
+def numbering(levels: list[dict], nums: list[dict]) -> str:
+    """levels: abstract_num_id, ilvl, start, num_fmt; nums: num_id, abstract_num_id."""
+    each = {}
+    for x in levels:
+        each.setdefault(x["abstract_num_id"], []).append(f'<w:lvl w:ilvl="{x["ilvl"]}"><w:start w:val="{x["start"]}"/><w:numFmt w:val="{x["num_fmt"]}"/><w:lvlText w:val="%{x["ilvl"] + 1}."/></w:lvl>')
+    abstract = "".join(f'<w:abstractNum w:abstractNumId="{k}">{"".join(x)}</w:abstractNum>' for k, x in each.items())
+    concrete = "".join(f'<w:num w:numId="{x["num_id"]}"><w:abstractNumId w:val="{x["abstract_num_id"]}"/></w:num>' for x in nums)
+    return f'<w:numbering xmlns:w="{W}">{abstract}{concrete}</w:numbering>'
+
+
+def styles(rows: list[dict]) -> str:
+    """rows: style_id, name, based_on, and properties of paragraphs and runs as XML."""
+    out = []
+    for x in rows:
+        base = f'<w:basedOn w:val="{x["based_on"]}"/>' if x.get("based_on") else ""
+        out.append(f'<w:style w:type="paragraph" w:styleId="{x["style_id"]}"><w:name w:val="{escape(x["name"])}"/>{base}<w:pPr>{x.get("ppr", "")}</w:pPr><w:rPr>{x.get("rpr", "")}</w:rPr></w:style>')
+    return f'<w:styles xmlns:w="{W}">{"".join(out)}</w:styles>'
+
+
 def package(parts: dict[str, str | bytes], types: str | None = TYPES, packing: int = zipfile.ZIP_DEFLATED) -> bytes:
     """A package of the given parts; content types are added unless they are None."""
     out = io.BytesIO()
@@ -50,27 +69,78 @@ def package(parts: dict[str, str | bytes], types: str | None = TYPES, packing: i
     return out.getvalue()
 
 
-def of_stream(rows: list[dict]) -> bytes:
-    """A package of headings, decimal list items and paragraphs."""
-    body = []
+#: What a row of a stream may hold beside kind, level and text; all may be null or absent.
+ROW = (
+    "pos int, kind string, level int, text string, style string, num_id int, run string, links array<struct<text:string,url:string,anchor:string>>, "
+    "notes array<struct<kind:string,id:bigint,author:string,text:string>>, cells array<struct<row:int,cell:int,grid_span:int,v_merge:string,text:string>>, "
+    "sections array<struct<which:string,slot:string,texts:array<string>>>"
+)
+
+
+def _table(cells: list[dict]) -> str:
+    rows: dict[int, list[str]] = {}
+    for c in sorted(cells, key=lambda c: (c["row"], c["cell"])):
+        merge = "" if c["v_merge"] is None else "<w:vMerge/>" if c["v_merge"] == "continue" else f'<w:vMerge w:val="{c["v_merge"]}"/>'
+        rows.setdefault(c["row"], []).append(f'<w:tc><w:tcPr><w:gridSpan w:val="{c["grid_span"]}"/>{merge}</w:tcPr>{paragraph(c["text"] or "")}</w:tc>')
+    return "<w:tbl>" + "".join(f"<w:tr>{''.join(x)}</w:tr>" for _, x in sorted(rows.items())) + "</w:tbl>"
+
+
+def _notes(kind: str, rows: list[dict]) -> str:
+    each = "".join(f'<w:{kind} w:id="{n["id"]}"' + (f' w:author="{escape(n["author"] or "", {chr(34): "&quot;"})}"' if kind == "comment" else "") + f">{paragraph(n['text'] or '')}</w:{kind}>" for n in rows)
+    return f'<w:{kind}s xmlns:w="{W}">{each}</w:{kind}s>'
+
+
+def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> bytes:
+    """A package of rows as ROW says: headings, list items, paragraphs with links and notes, tables, section breaks.
+
+    more: parts in place of, or beside, the nine heading styles and decimal numbers.
+    """
+    body, rels, notes, parts = [], [], {}, {}
+    run_text = lambda text, run="": f'<w:r>{f"<w:rPr>{run}</w:rPr>" if run else ""}<w:t xml:space="preserve">{escape(text or "")}</w:t></w:r>'
     for x in rows:
+        if x.get("cells") is not None:
+            body.append(_table(x["cells"]))
+            continue
+        if x.get("sections") is not None:
+            refs = []
+            for s in x["sections"]:
+                tag, name = ("hdr" if s["which"] == "header" else "ftr"), f"{s['which']}{len(parts) + 1}.xml"
+                parts[f"word/{name}"] = f'<w:{tag} xmlns:w="{W}">{"".join(map(paragraph, s["texts"]))}</w:{tag}>'
+                rels.append(("section", name, False))
+                refs.append(f'<w:{s["which"]}Reference w:type="{s["slot"]}" r:id="rel{len(rels)}"/>')
+            body.append(f'<w:sectPr>{"".join(refs)}<w:pgSz w:w="1"/></w:sectPr>')
+            continue
+        properties = f'<w:pStyle w:val="{x["style"]}"/>' if x.get("style") else ""
         if x["kind"] == "heading":
             properties = f'<w:pStyle w:val="Heading{x["level"]}"/>'
         elif x["kind"] == "list_item":
-            properties = f'<w:numPr><w:ilvl w:val="{x["level"]}"/><w:numId w:val="1"/></w:numPr>'
-        else:
-            properties = ""
-        body.append(paragraph(x["text"], properties))
-    return package({"word/document.xml": document("".join(body)), "word/styles.xml": heading_styles(), "word/numbering.xml": decimal_numbering()})
-
-
-def write_packages(stream: DataFrame) -> DataFrame:
-    """Rows (doc_id, pos, kind, level, text) to packages (doc_id, content), one for each doc_id."""
+            properties += f'<w:numPr><w:ilvl w:val="{x["level"]}"/><w:numId w:val="{x.get("num_id") or 1}"/></w:numPr>'
+        inner = [run_text(x["text"], x.get("run") or "")]
+        for link in x.get("links") or []:
+            target = f' w:anchor="{escape(link["anchor"])}"' if link["anchor"] else ""
+            if link["url"]:
+                rels.append(("hyperlink", link["url"], True))
+                target += f' r:id="rel{len(rels)}"'
+            inner.append(f"<w:hyperlink{target}>{run_text(link['text'])}</w:hyperlink>")
+        for n in x.get("notes") or []:
+            notes.setdefault(n["kind"], []).append(n)
+            inner.append(f'<w:r><w:{n["kind"]}Reference w:id="{n["id"]}"/></w:r>')
+        body.append(f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}{''.join(inner)}</w:p>")
+    if rels:
+        each = "".join(f'<Relationship Id="rel{k}" Type="{R}/{kind}" Target="{escape(target, {chr(34): "&quot;"})}"{" TargetMode=" + chr(34) + "External" + chr(34) if external else ""}/>' for k, (kind, target, external) in enumerate(rels, 1))
+        parts["word/_rels/document.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{each}</Relationships>'
+    parts |= {f"word/{kind}s.xml": _notes(kind, found) for kind, found in notes.items()}
+    return package({"word/document.xml": document("".join(body)), "word/styles.xml": heading_styles(), "word/numbering.xml": decimal_numbering()} | parts | (more or {}))
+
+
+def write_packages(stream: DataFrame, more: dict[str, str | bytes] | None = None) -> DataFrame:
+    """Rows (doc_id and columns of ROW) to packages (doc_id, content), one for each doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict({"doc_id": [batch["doc_id"][k].as_py()], "content": [of_stream(batch["rows"][k].as_py())]})
+                yield pa.RecordBatch.from_pydict({"doc_id": [batch["doc_id"][k].as_py()], "content": [of_stream(batch["rows"][k].as_py(), more)]})
 
-    each = F.array_sort(F.collect_list(F.struct("pos", "kind", "level", "text"))).alias("rows")
+    names = [x.strip().split()[0] for x in ROW.split(", ")]
+    each = F.array_sort(F.collect_list(F.struct("pos", *(c for c in names[1:] if c in stream.columns)))).alias("rows")
     return stream.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each).mapInArrow(rows, "doc_id string, content binary")

@@ -33,16 +33,9 @@ def chunk_batch(parsed: DataFrame) -> DataFrame:
 
 
 def write_stream(packages: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = chunk_batch) -> DataStreamWriter:
-    """A writer that appends transform's rows of parsed packages; a batch that is tried again replaces what it wrote.
-
-    The parsed rows of a micro-batch are kept while it runs, since several branches read them.
-    """
+    """A writer that appends transform's rows of parsed packages; a batch that is tried again replaces what it wrote."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_packages(batch).persist()
-        try:
-            transform(parsed).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        finally:
-            parsed.unpersist()
+        transform(parse_packages(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return packages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
