@@ -28,8 +28,8 @@ def test_guards():
 
 
 def test_parts_of_the_manifest():
-    types = ooxml.content_types("t", b'<Types><Default Extension="png" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="x"/></Types>')
-    assert [x["key"] for x in types] == ["png", "word/document.xml"]
+    types = ooxml.content_types("t", b'<Types><Default Extension="tiff" ContentType="image/tiff"/><Override PartName="/story/main.xml" ContentType="q"/><Override PartName="/no/type.xml"/></Types>')
+    assert [x["key"] for x in types] == ["tiff", "story/main.xml"]
     rels = ooxml.relationships("r", b'<Relationships><Relationship Id="a" Type="t" Target="x" TargetMode="external"/><Relationship Id="b" Type="t"/></Relationships>')
     assert [(x["rel_id"], x["is_external"]) for x in rels] == [("a", True)]
     with pytest.raises(guards.PackageError, match="invalid_relationships"):
@@ -37,9 +37,9 @@ def test_parts_of_the_manifest():
 
 
 def test_numbering_rules():
-    data = f'<w:numbering xmlns:w="{writer.W}"><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="5"/><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="0"><w:start w:val="9"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="1"><w:abstractNumId w:val="3"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="2"/></w:lvlOverride></w:num></w:numbering>'
+    data = f'<w:numbering xmlns:w="{writer.W}"><w:abstractNum w:abstractNumId="21"><w:lvl w:ilvl="2"><w:start w:val="14"/><w:numFmt w:val="upperLetter"/></w:lvl><w:lvl w:ilvl="2"><w:start w:val="70"/></w:lvl></w:abstractNum><w:num w:numId="8"><w:abstractNumId w:val="21"/></w:num><w:num w:numId="8"><w:abstractNumId w:val="34"/><w:lvlOverride w:ilvl="2"><w:startOverride w:val="19"/></w:lvlOverride></w:num></w:numbering>'
     nums, levels = ooxml.numbering("n", data.encode())
-    assert [(x["start"], x["num_fmt"]) for x in levels] == [(5, "decimal")] and nums == [{"num_id": 1, "abstract_num_id": 3, "overrides": [{"ilvl": 0, "start_override": 2}]}]
+    assert [(x["start"], x["num_fmt"]) for x in levels] == [(14, "upperLetter")] and nums == [{"num_id": 8, "abstract_num_id": 34, "overrides": [{"ilvl": 2, "start_override": 19}]}]
 
 
 def test_scan_and_stream(spark, tmp_path):
