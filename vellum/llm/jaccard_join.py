@@ -26,9 +26,10 @@ are in spark.checkpoint.dir; those that the result does not read are dropped. Th
 frequency keeps very common keys out of all but short texts' prefixes; those
 that are left are dealt, by the sketch's count, into several lists with leaders
 of their own, which the second round takes up as one. There a long list is
-dealt into blocks, and each two blocks are compared in a group of their own: no
-group is large, but the work grows with the square of the blocks. So are the
-texts that one leader is verified against dealt into groups.
+dealt into blocks, and each two blocks are compared in a group of their own,
+but for two of its commonest component: no group is large, but the work grows
+with the square of the blocks of other components. So are the texts that one
+leader is verified against dealt into groups.
 
 Cases: a null or blank text has no shingles and links with nothing; a text of
 fewer than five words is one shingle; rows that share a doc_id are one node; a
@@ -439,9 +440,10 @@ def jaccard_components(
     for best in (True, False):
         label = nodes.withColumnRenamed("node", "rep")
         named = entries.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        one_list = Window.partitionBy("list", "x", "y")
-        named = named.withColumn("c1", F.min("component").over(one_list)).withColumn("c2", F.max("component").over(one_list))
-        mixed = own.written(named.where("c1 <> c2").drop("c1", "c2"), "mixed")
+        one_list = Window.partitionBy("list")
+        short = named.where("NOT long").withColumn("c1", F.min("component").over(one_list)).withColumn("c2", F.max("component").over(one_list))
+        short = short.where("c1 <> c2").select("list", "rep", "n", "at", "component", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("block"))
+        mixed = own.written(short.unionByName(_in_blocks(named.where("long").drop("long"), block)), "mixed")
         with_bits = mixed.join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep")
         more = with_bits.groupBy("list", "x", "y").applyInArrow(_across(best, num, den), "a long, b long").distinct()
         if best:  # and the lists of two groups of one member each
@@ -450,8 +452,7 @@ def jaccard_components(
                 twos = twos.join(nodes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
             more = more.union(possible(twos.where("coalesce(ca, a) <> coalesce(cb, b)"))).distinct()
         new = links_of(more)
-        own.drop(entries)
-        entries = mixed.drop("component")
+        own.drop(mixed)
         if not new.isEmpty():
             links = links.union(new)
             nodes = shared.written(connected_components(links), "nodes")
@@ -466,20 +467,33 @@ def jaccard_components(
 
 
 def _entries(found: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """list, x, y, rep, n, at, block: entries of index lists and of groups, with all members of their groups.
-
-    A list of more than block entries is dealt into blocks, and each two
-    blocks x and y are a list of their own.
-    """
+    """list, rep, n, at, long: entries of index lists and of groups, with all members of their groups."""
     lists = found.where("list IS NOT NULL").groupBy("list", "gid").agg(F.min("n").alias("n"), F.min("at").alias("at"))
     lists = lists.join(members.select("gid", "rep"), "gid", "left").select("list", F.coalesce("rep", "gid").alias("rep"), "n", "at")
     grouped = members.where("size > 2").select(F.xxhash64("g", "n", F.lit("group")).alias("list"), "rep", "n", F.lit(0).cast("long").alias("at"))
     rows = shared.written(lists.union(grouped), "list-entries")
     # a table of so few rows that Spark, which knows its size, need not shuffle entries for it
-    long_ = shared.written(rows.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "long-lists")
-    rows = rows.join(long_, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "n", "at", "block")
+    long_ = shared.written(rows.groupBy("list").agg(F.count("*").alias("c")).where(F.col("c") > block).select("list", F.lit(True).alias("long")), "long-lists")
+    return rows.join(long_, "list", "left").withColumn("long", F.coalesce("long", F.lit(False)))
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Entries of long lists (list, rep, n, at, component) in groups (x, y) of at most two blocks, in one of which each two meet.
+
+    Entries of a list's commonest component need not meet each other: they are
+    in blocks of their own, and meet the blocks of all others. A list whose
+    entries are all of one component is left out.
+    """
+    each = rows.groupBy("list", "component").agg(F.count("*").alias("c"))
+    lists = each.groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("k")).where("k > 0")
+    of = lambda c: F.ceil(F.col(c) / block).cast("int")
+    lists = shared.written(lists.select("list", "major", of("m").alias("bm"), of("k").alias("bn")), "mixed-lists")
+    rows = rows.join(lists, "list").withColumn("is_major", F.col("component") == F.col("major"))
+    own = F.when(F.col("is_major"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("bm"))).otherwise(F.col("bm") + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("bn"))).cast("int")
+    # blocks are numbered with those of the commonest component first
+    others = F.when(F.col("is_major"), F.sequence(F.col("bm"), F.col("bm") + F.col("bn") - 1)).otherwise(F.sequence(F.lit(0), F.col("bm") + F.col("bn") - 1))
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(others))
+    return rows.select("list", "rep", "n", "at", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
