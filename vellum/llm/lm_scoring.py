@@ -56,7 +56,7 @@ CLASSES, SLOTS, OWN = 32, 32, 24
 CLASS_ROWS, SLOT_ROWS = 1 << 12, 1 << 14
 HEAD, BUCKETS = 1 << 18, 1 << 14
 ROUNDS, RATE, CAUTION, MOST_STEP = 4, 0.6, 4.0, 2.0
-BATCH = 1 << 14
+BATCH, CHUNK = 1 << 14, 400_000
 ADD, D = 0.1, 0.75
 HOT_BITS, HOT_TOKENS = 16, 4_000_000
 END, START = np.uint64(0x452821E638D01377), np.uint32(0xFFFFFFFF)
@@ -198,17 +198,30 @@ class Counts:
         self.outcome_group = groups
         self.bucket_mass = np.log10(bucket_mass)
 
-    def known(self, h: np.ndarray) -> np.ndarray:
+        self._table = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}  # each process makes its own
+
+    def known(self, short: np.ndarray) -> np.ndarray:
         """Counts of tokens among the commonest words; 0 for others."""
-        short = self.short(h)
         return np.where(short < _RARE_BIT, self.count_of[np.minimum(short, max(len(self.count_of) - 1, 0))] if len(self.count_of) else 0, 0)
 
     def short(self, h: np.ndarray) -> np.ndarray:
         """Words in 32 bits: the rank of one of the commonest, 31 bits of the hash of another."""
         out = (h >> np.uint64(33)).astype(np.uint32) | _RARE_BIT
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            out = np.where(self.words[at] == h, self.ranks[at], out)
+        if not len(self.words):
+            return out
+        if self._table is None:  # a place for each word by some bits; of words that share one, only one is in it
+            self._table = np.full(1 << 21, -1, np.int32)
+            self._table[_table_place(self.words)] = np.arange(len(self.words))
+        at = self._table[_table_place(h)]
+        hit = self.words[at] == h
+        out[hit] = self.ranks[at[hit]]
+        left = np.flatnonzero((at >= 0) & ~hit)
+        at = np.minimum(np.searchsorted(self.words, h[left]), len(self.words) - 1)
+        hit = self.words[at] == h[left]
+        out[left[hit]] = self.ranks[at[hit]]
         return out
 
     def outcome(self, short: np.ndarray) -> np.ndarray:
@@ -216,6 +229,10 @@ class Counts:
         return np.where(short < _RARE_BIT, short.astype(np.int64), len(self.by_rank) + bucket_of(short))
 
 
+def _table_place(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(24)) & np.uint64((1 << 21) - 1)).astype(np.int64)
+
+
 def counted(docs: DataFrame, head: int = HEAD) -> Counts:
     """Counts of all training texts; at most head words reach the driver."""
     parts = shared.parts_for(docs)
@@ -246,7 +263,11 @@ def before(short: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def history(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Hashes of the two words before."""
-    return mix(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+    return mix(_pair(first, second))
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.uint64) << np.uint64(32) | second
 
 
 def _load_bucket(key: np.ndarray) -> np.ndarray:
@@ -396,7 +417,7 @@ def _score_rows(model, hot, parts: int):
         batch = TaskContext.get().partitionId() << 24
         for ids, train, h, starts in _texts(batches):
             short = counts.short(h)
-            n = counts.known(h)
+            n = counts.known(short)
             rare = short >= _RARE_BIT
             text = np.repeat(np.arange(len(ids), dtype=np.uint32), np.diff(starts))
             sums = np.bincount(text, np.where(rare, 0.0, np.log10(n + ADD)), len(ids))
@@ -420,7 +441,7 @@ def _score_rows(model, hot, parts: int):
             part = _part_of(key, parts)
             part[hot.value[_load_bucket(key)]] = parts
             # in the order of histories, so that their columns pack well
-            order = np.lexsort((outcome, second, first))
+            order = np.argsort(_pair(first, second))
             columns = [x[order] for x in (first, second, outcome, sign, text)]
             out += [(k, batch, _ASK_HISTORIES, squeezed([x[pick] for x in columns])) for k, pick in _split(part[order], parts)]
             yield _flow(out)
@@ -473,13 +494,20 @@ def _part_replies(model):
     def after(blobs: list[tuple[int, bytes]]) -> Iterator[tuple]:
         each = [opened(x, _KINDS[_ASK_HISTORIES]) for _, x in blobs]
         first, second, outcome, train = (np.concatenate([x[i] for x in each]) for i in range(4))
-        order = np.lexsort((outcome, second, first))
-        first, second, outcome = first[order], second[order], outcome[order].astype(np.int64)
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (outcome[1:] != outcome[:-1])
-        of = np.cumsum(fresh) - 1
+        order = np.argsort(_pair(first, second))
+        begins = np.flatnonzero(np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])))
+        # some histories at a time
+        cuts = np.unique(np.append(begins[np.searchsorted(begins, np.arange(0, begins[-1] + 1, CHUNK))], len(order)))
         logs = np.empty(len(order))
-        logs[order] = _token_logs(model.value, first[fresh], second[fresh], outcome[fresh], np.bincount(of, train[order]))[of]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            pick = order[a:b]
+            key = _pair(first[pick], second[pick])
+            rank = np.cumsum(np.append(False, key[1:] != key[:-1])) << 20 | outcome[pick]
+            inner = np.argsort(rank, kind="stable")
+            pick, rank = pick[inner], rank[inner]
+            fresh = np.append(True, rank[1:] != rank[:-1])
+            of, one = np.cumsum(fresh) - 1, pick[fresh]
+            logs[pick] = _token_logs(model.value, first[one], second[one], outcome[one].astype(np.int64), np.bincount(of, train[pick]))[of]
         at = 0
         for (batch, _), x in zip(blobs, each, strict=True):
             which, place = np.unique(x[4], return_inverse=True)
