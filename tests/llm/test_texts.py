@@ -58,6 +58,24 @@ def test_quality_scores(spark):
     assert got[1] > got[2]
 
 
+def test_quality_scores_of_all(spark, sf, documents):
+    """Every document's score, from counts over all of them in Python; the hash alone is Spark's."""
+    buckets = quality_rules.BUCKETS
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    h = documents.selectExpr("doc_id", "transform(filter(split(text, '[ \\\\t-\\\\r]+'), x -> x <> ''), w -> xxhash64(w)) h")
+    pairs = f"case when size(h) > 1 then transform(sequence(1, size(h) - 1), i -> pmod(xxhash64(h[i - 1], h[i]), {buckets})) else array() end"
+    each = {r.doc_id: [*r.u, *r.b] for r in h.selectExpr("doc_id", f"transform(h, x -> pmod(xxhash64(x), {buckets})) u", f"{pairs} b").collect()}
+    raw, target = Counter(), Counter()
+    for i, found in each.items():
+        raw.update(found)
+        if labels.get(i) == (1, 0):
+            target.update(found)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = [round(math.log((target[b] + quality_rules.PRIOR * share) / ((raw[b] + quality_rules.PRIOR) * share)), 4) for b in range(buckets)]
+    want = {i: sum(ratio[b] for b in found) / len(found) if found else 0.0 for i, found in each.items()}
+    assert {r.doc_id: r.score for r in QUERIES["op3_quality_rules"](spark, sf).collect()} == pytest.approx(want, abs=2e-4)
+
+
 def test_quality_repeats(spark):
     rng = random.Random(2)
     docs = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(60 + k, "\n".join(rng.choice(["x y", "", " ", "z"]) for _ in range(9))) for k in range(20)]
