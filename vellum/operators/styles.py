@@ -32,7 +32,14 @@ def resolve_chain(known: Column, style_id: Column) -> Column:
     def step(a: Column, _: Column) -> Column:
         def visit(s: Column) -> Column:
             rpr = F.struct(*(F.coalesce(a["rpr"][x], s["rpr"][x]).alias(x) for x in _RPR))
-            fields = (s["based_on"].alias("cur"), F.array_append(a["seen"], a["cur"]).alias("seen"), F.lit(None).alias("error"), F.coalesce(a["num_pr"], s["ppr"]["num_pr"]).alias("num_pr"), F.coalesce(a["outline_level"], s["ppr"]["outline_level"]).alias("outline_level"), rpr.alias("rpr"))
+            fields = (
+                s["based_on"].alias("cur"),
+                F.array_append(a["seen"], a["cur"]).alias("seen"),
+                F.lit(None).alias("error"),
+                F.coalesce(a["num_pr"], s["ppr"]["num_pr"]).alias("num_pr"),
+                F.coalesce(a["outline_level"], s["ppr"]["outline_level"]).alias("outline_level"),
+                rpr.alias("rpr"),
+            )
             return F.when(s.isNotNull(), F.struct(*fields).cast(_STATE)).otherwise(ended(None))
 
         def ended(error: str | None) -> Column:
@@ -80,8 +87,17 @@ def run_formatting(parsed: DataFrame) -> DataFrame:
         def of_item(item: Column, i: Column) -> Column:
             def of_style(chain: Column) -> Column:
                 number = F.coalesce(item["ppr"]["num_pr"], chain["num_pr"], F.col("defaults.ppr.num_pr"))
-                found = F.filter(F.col("levels"), lambda x: (x["ilvl"] == number["ilvl"]) & F.exists(F.col("nums"), lambda y: (y["num_id"] == number["num_id"]) & (y["abstract_num_id"] == x["abstract_num_id"])))
-                return let(F.get(found, F.lit(0)), lambda level: F.flatten(F.transform(item["inlines"], lambda x, j: F.transform(x["runs"], lambda r, k: F.struct(i.alias("item_ord"), j.alias("inline_ord"), k.alias("run_ord"), r["text"].alias("text"), merge_layers(F.col("defaults.rpr"), chain["rpr"], level["rpr"], r).alias("formatting"))))))
+                named = lambda x: F.exists(F.col("nums"), lambda y: (y["num_id"] == number["num_id"]) & (y["abstract_num_id"] == x["abstract_num_id"]))
+                found = F.filter(F.col("levels"), lambda x: (x["ilvl"] == number["ilvl"]) & named(x))
+
+                def of_level(level: Column) -> Column:
+                    def one(r: Column, j: Column, k: Column) -> Column:
+                        formatting = merge_layers(F.col("defaults.rpr"), chain["rpr"], level["rpr"], r)
+                        return F.struct(i.alias("item_ord"), j.alias("inline_ord"), k.alias("run_ord"), r["text"].alias("text"), formatting.alias("formatting"))
+
+                    return F.flatten(F.transform(item["inlines"], lambda x, j: F.transform(x["runs"], lambda r, k: one(r, j, k))))
+
+                return let(F.get(found, F.lit(0)), of_level)
 
             return let(resolve_chain(m, item["ppr"]["style_id"]), of_style)
 

@@ -106,7 +106,9 @@ def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_paragraphs(spark: SparkSession, sf_dir: str, prefix: str, kinds: int) -> DataFrame:
     """Parts as paragraphs of 50 documents, with styles by their size."""
     rows = table(spark, sf_dir, "part")
-    return rows.select((F.col("p_partkey") % 50).cast("string").alias("doc_id"), F.col("p_partkey").cast("int").alias("pos"), F.lit("paragraph").alias("kind"), F.col("p_name").alias("text"), F.concat(F.lit(prefix), (F.col("p_size") % kinds).cast("string")).alias("style"), "p_size")
+    place = ((F.col("p_partkey") % 50).cast("string").alias("doc_id"), F.col("p_partkey").cast("int").alias("pos"))
+    style = F.concat(F.lit(prefix), (F.col("p_size") % kinds).cast("string"))
+    return rows.select(*place, F.lit("paragraph").alias("kind"), F.col("p_name").alias("text"), style.alias("style"), "p_size")
 
 
 def docx_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,9 @@ def docx_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as items of lists of three formats, which run beside each other in 40 documents."""
     rows = table(spark, sf_dir, "orders")
-    stream = rows.select((F.col("o_custkey") % 40).cast("string").alias("doc_id"), F.col("o_orderkey").cast("int").alias("pos"), F.lit("list_item").alias("kind"), (F.col("o_custkey") % 3 % 2).cast("int").alias("level"), F.col("o_orderpriority").alias("text"), (1 + F.col("o_orderkey") % 3).cast("int").alias("num_id"))
+    place = ((F.col("o_custkey") % 40).cast("string").alias("doc_id"), F.col("o_orderkey").cast("int").alias("pos"))
+    number = ((F.col("o_custkey") % 3 % 2).cast("int").alias("level"), (1 + F.col("o_orderkey") % 3).cast("int").alias("num_id"))
+    stream = rows.select(*place, F.lit("list_item").alias("kind"), *number, F.col("o_orderpriority").alias("text"))
     found = elements.elements(parsed(stream, {"word/numbering.xml": writer.numbering(LEVELS, NUMS)}))
     return found.select("doc_id", "pos", "kind", "level", "list_type", "display_index", export.rendered(found, "markdown").alias("markdown"))
 

@@ -28,14 +28,28 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", kind.alias("kind"), "text", level.cast("int").alias("level"))
 
 
+def nulls(**kinds: str) -> list:
+    return [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream as elements, through the classifier."""
     rows = stream(spark, sf_dir)
     is_list = F.col("kind") == "list_item"
-    number = F.when(is_list, F.struct(F.lit(1).cast("bigint").alias("num_id"), F.col("level").alias("ilvl"), F.lit(1).cast("bigint").alias("start"), F.lit("decimal").alias("num_fmt")))
-    rows = rows.select("doc_id", F.lit("").alias("scope"), F.col("pos").alias("at"), F.lit("paragraph").alias("kind"), "text", number.alias("list"), F.when(F.col("kind") == "heading", F.col("level")).alias("heading"), F.array().cast(elements.LINKS).alias("links"))
-    none = lambda t: F.lit(None).cast(t)
-    return elements.classify(rows).select("doc_id", F.col("at").alias("pos"), "kind", "text", "level", "parent_heading", "links", "list_type", "num_fmt", "display_index", none(elements.ROWS).alias("rows"), none("bigint").alias("note_id"), none("string").alias("author"), none("string").alias("url"))
+    one = F.lit(1).cast("bigint")
+    number = F.struct(one.alias("num_id"), F.col("level").alias("ilvl"), one.alias("start"), F.lit("decimal").alias("num_fmt"))
+    rows = rows.select(
+        "doc_id",
+        F.lit("").alias("scope"),
+        F.col("pos").alias("at"),
+        F.lit("paragraph").alias("kind"),
+        "text",
+        F.when(is_list, number).alias("list"),
+        F.when(F.col("kind") == "heading", F.col("level")).alias("heading"),
+        F.array().cast(elements.LINKS).alias("links"),
+    )
+    known = ("kind", "text", "level", "parent_heading", "links", "list_type", "num_fmt", "display_index")
+    return elements.classify(rows).select("doc_id", F.col("at").alias("pos"), *known, *nulls(rows=elements.ROWS, note_id="bigint", author="string", url="string"))
 
 
 def with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +57,20 @@ def with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", "role", "text")
     doc = Window.partitionBy("doc_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("pos", (F.row_number().over(doc) - 1).cast("int"))
-    kind = F.when(F.col("pos") % 5 == 4, "comment").when(F.col("pos") % 2 == 1, F.when(F.col("pos") % 4 == 1, "footnote").otherwise("endnote")).when(F.col("pos") % 4 == 0, "heading").otherwise("paragraph")
-    none = lambda t: F.lit(None).cast(t)
+    of_odd = F.when(F.col("pos") % 4 == 1, "footnote").otherwise("endnote")
+    kind = F.when(F.col("pos") % 5 == 4, "comment").when(F.col("pos") % 2 == 1, of_odd).when(F.col("pos") % 4 == 0, "heading").otherwise("paragraph")
     note = F.col("kind").isin("footnote", "endnote", "comment")
-    rows = rows.withColumn("kind", kind)
-    return rows.select("doc_id", "pos", "kind", "text", F.when(F.col("kind") == "heading", F.lit(1)).alias("level"), F.array().cast(elements.LINKS).alias("links"), none("string").alias("list_type"), none("bigint").alias("display_index"), none(elements.ROWS).alias("rows"), F.when(note, F.col("pos").cast("bigint")).alias("note_id"), F.when(F.col("kind") == "comment", F.col("role")).alias("author"), none("string").alias("url"))
+    return rows.withColumn("kind", kind).select(
+        "doc_id",
+        "pos",
+        "kind",
+        "text",
+        F.when(F.col("kind") == "heading", F.lit(1)).alias("level"),
+        F.array().cast(elements.LINKS).alias("links"),
+        F.when(note, F.col("pos").cast("bigint")).alias("note_id"),
+        F.when(F.col("kind") == "comment", F.col("role")).alias("author"),
+        *nulls(list_type="string", display_index="bigint", rows=elements.ROWS, url="string"),
+    )
 
 
 # -- queries ------------------------------------------------------------------
@@ -132,7 +155,8 @@ def order_cells(spark, sf_dir):
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(line) - 1)
     merge = F.when(F.col("l_returnflag") == "R", "restart").when(F.col("l_returnflag") == "A", "continue")
-    return rows.select(F.col("l_orderkey").alias("t"), F.floor(F.col("k") / 2).cast("int").alias("row"), (F.col("k") % 2).cast("int").alias("cell"), (1 + F.col("l_linenumber") % 2).cast("int").alias("grid_span"), merge.alias("v_merge"), F.col("l_linestatus").alias("text"))
+    places = (F.floor(F.col("k") / 2).cast("int").alias("row"), (F.col("k") % 2).cast("int").alias("cell"))
+    return rows.select(F.col("l_orderkey").alias("t"), *places, (1 + F.col("l_linenumber") % 2).cast("int").alias("grid_span"), merge.alias("v_merge"), F.col("l_linestatus").alias("text"))
 
 
 def table_spans(spark, sf_dir):
@@ -148,8 +172,11 @@ def table_markdown(spark, sf_dir):
 def style_resolution(spark, sf_dir):
     """Parts as styles, each based on the part of half its number; brands of one bound document."""
     part = table(spark, sf_dir, "part").select((F.col("p_partkey") % 16).alias("d"), F.floor(F.col("p_partkey") / 16).cast("bigint").alias("k"), "p_name", "p_size")
-    ppr = F.struct(F.lit(None).cast("string").alias("style_id"), F.lit(None).cast("struct<num_id:bigint,ilvl:int>").alias("num_pr"), F.lit(None).cast("string").alias("alignment"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 10).cast("int").alias("outline_level"), F.lit(False).alias("keep_next"), F.lit(False).alias("page_break_before"))
-    rows = part.select(F.col("d").cast("string").alias("doc_id"), F.col("k").cast("string").alias("style_id"), F.col("p_name").alias("name"), F.when(F.col("k") > 0, F.floor(F.col("k") / 2).cast("bigint").cast("string")).alias("based_on"), ppr.alias("ppr"), F.lit(None).cast(package.RPR).alias("rpr"))
+    outline = F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 10).cast("int")
+    ppr = F.struct(*nulls(style_id="string", num_pr="struct<num_id:bigint,ilvl:int>", alignment="string"), outline.alias("outline_level"), F.lit(False).alias("keep_next"), F.lit(False).alias("page_break_before"))
+    base = F.when(F.col("k") > 0, F.floor(F.col("k") / 2).cast("bigint").cast("string"))
+    names = (F.col("d").cast("string").alias("doc_id"), F.col("k").cast("string").alias("style_id"), F.col("p_name").alias("name"))
+    rows = part.select(*names, base.alias("based_on"), ppr.alias("ppr"), *nulls(rpr=package.RPR))
     return styles.resolve_styles(rows).select("doc_id", "style_id", F.col("depth").cast("int").alias("depth"), "outline_level", T.heading_of_outline(F.col("outline_level")).alias("heading_level"))
 
 
@@ -157,7 +184,8 @@ def list_formats(spark, sf_dir):
     """Orders as numbers of customers, their priorities as formats: concrete numbers joined with abstract levels."""
     nums = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).cast("string").alias("doc_id"), F.col("o_orderkey").alias("num_id"), (F.col("o_orderkey") % 7).alias("abstract_num_id"))
     fmt = F.element_at(F.array(*(F.lit(x) for x in ("decimal", "bullet", "lowerRoman", "none", "upperLetter"))), (F.col("id") % 5 + 1).cast("int"))
-    levels = spark.range(700).select((F.floor(F.col("id") / 7)).cast("bigint").cast("string").alias("doc_id"), (F.col("id") % 7).alias("abstract_num_id"), F.lit(0).alias("ilvl"), (F.col("id") % 3).alias("start"), fmt.alias("num_fmt"), F.lit("%1.").alias("level_text")).where("abstract_num_id < 6")
+    keys = ((F.floor(F.col("id") / 7)).cast("bigint").cast("string").alias("doc_id"), (F.col("id") % 7).alias("abstract_num_id"), F.lit(0).alias("ilvl"))
+    levels = spark.range(700).select(*keys, (F.col("id") % 3).alias("start"), fmt.alias("num_fmt"), F.lit("%1.").alias("level_text")).where("abstract_num_id < 6")
     found = numbering.level_formats(nums, levels)
     return found.select("doc_id", "num_id", "start", "num_fmt", T.list_type(F.col("num_fmt")).alias("list_type"))
 

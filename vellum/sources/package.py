@@ -267,7 +267,11 @@ def style_table(parsed: DataFrame) -> DataFrame:
 
 def numbering_defs(parsed: DataFrame) -> DataFrame:
     """Concrete numbers with the levels of the abstract ones they name: doc_id, num_id, ilvl, start, num_fmt, level_text."""
-    of = lambda n: F.transform(F.filter("levels", lambda x: x["abstract_num_id"] == n["abstract_num_id"]), lambda x: F.struct(n["num_id"].alias("num_id"), x["ilvl"].alias("ilvl"), x["start"].alias("start"), x["num_fmt"].alias("num_fmt"), x["level_text"].alias("level_text")))
+
+    def of(n):
+        own = F.filter("levels", lambda x: x["abstract_num_id"] == n["abstract_num_id"])
+        return F.transform(own, lambda x: F.struct(n["num_id"].alias("num_id"), *(x[c].alias(c) for c in ("ilvl", "start", "num_fmt", "level_text"))))
+
     return parsed.select("doc_id", F.inline(F.flatten(F.transform("nums", of))))
 
 
