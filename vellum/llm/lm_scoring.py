@@ -63,8 +63,7 @@ END, START = np.uint64(0x452821E638D01377), np.uint32(0xFFFFFFFF)
 _GROUPS = CLASSES * SLOTS
 _RARE_BIT = np.uint32(1 << 31)
 _BATCH_BYTES = 8 << 20
-_ROUND_BYTES = 64 << 20
-_ROW = 4096
+_TASK_BYTES = 32 << 20
 _LOG10 = np.log(10.0)
 
 
@@ -132,7 +131,8 @@ def _grade(n: np.ndarray) -> np.ndarray:
     return np.minimum((np.log2(np.maximum(n, 1)) * 16).astype(np.int64), 1023)
 
 
-_STATS = 2 + 2 * BUCKETS + 1024  # tokens, words, tokens and words by bucket, words by grade
+_ROW = 4096
+_STATS = 2 * BUCKETS + 2 * _ROW  # tokens and words by bucket, words by grade, tokens and words
 _COUNTED = "words binary, counts binary, stats binary"
 
 
@@ -143,13 +143,17 @@ def _count_part(part: int, blobs: list[tuple[bytes]]) -> Iterator[pa.RecordBatch
     n = np.bincount(back, np.concatenate([x[1] for x in each]), len(h)).astype(np.int64)
     bucket = bucket_of((h >> np.uint64(33)).astype(np.uint32))
     by_bucket = [np.bincount(bucket, n, BUCKETS), np.bincount(bucket, minlength=BUCKETS)]
-    stats = np.concatenate([[n.sum(), len(h)], *by_bucket, np.bincount(_grade(n), minlength=1024)]).astype(np.int64)
+    stats = np.zeros(_STATS, np.int64)
+    stats[: -2 * _ROW] = np.concatenate(by_bucket)
+    stats[-2 * _ROW : 1024 - 2 * _ROW] = np.bincount(_grade(n), minlength=1024)
+    stats[-2:] = n.sum(), len(h)
     yield pa.RecordBatch.from_pydict({"words": [h.tobytes()], "counts": [n.tobytes()], "stats": [stats.tobytes()]})
 
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_pydict({"row": pa.array([0] * batch.num_rows, pa.int32()), "data": batch["stats"]})
+        for stats in batch["stats"].to_pylist():
+            yield shared.as_rows(np.frombuffer(stats, np.int64), _ROW)
 
 
 def _common(grade: int):
@@ -170,7 +174,7 @@ class Counts:
     """What every task knows of the training corpus; of fixed size."""
 
     def __init__(self, stats: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        self.n, self.v = int(stats[0]), int(stats[1])
+        self.n, self.v = int(stats[-2]), int(stats[-1])
         rank = np.lexsort((words, -counts))
         self.by_rank, self.count_of = words[rank], counts[rank]
         order = np.argsort(self.by_rank)
@@ -181,7 +185,7 @@ class Counts:
         self.group = group_of(bucket_of((self.by_rank >> np.uint64(33)).astype(np.uint32)))
         home = bucket_of((self.by_rank >> np.uint64(33)).astype(np.uint32))
         self.group[own] = own % CLASSES * SLOTS + own // CLASSES
-        rest = stats[2 : 2 + 2 * BUCKETS].reshape(2, BUCKETS).astype(np.int64).copy()  # tokens and words of rare words by bucket
+        rest = stats[: 2 * BUCKETS].reshape(2, BUCKETS).astype(np.int64)  # tokens and words of rare words by bucket
         np.subtract.at(rest[0], home, self.count_of)
         np.subtract.at(rest[1], home, 1)
         bucket_mass = rest[0] + ADD * (rest[1] + 1)
@@ -239,8 +243,8 @@ def counted(docs: DataFrame, head: int = HEAD) -> Counts:
     blobs = shared.dealt(docs.mapInArrow(_count_rows(parts), "part int, words binary"), parts)
     own = shared.Tables(docs.sparkSession)
     words = own.written(blobs.mapInArrow(shared.by_part(_count_part, ("words",)), _COUNTED), "words")
-    stats = shared.total_of(words.mapInArrow(_stats_rows, shared.ARRAY), _STATS, _STATS, "i8", "i8")
-    upto = np.cumsum(stats[-1024:][::-1])[::-1]
+    stats = shared.total_of(words.mapInArrow(_stats_rows, shared.ARRAY), _STATS, _ROW, "i8", "i8")
+    upto = np.cumsum(stats[-2 * _ROW : 1024 - 2 * _ROW][::-1])[::-1]
     grade = int(np.searchsorted(-upto, -head))  # the least one that at most head words reach
     rows = words.select("words", "counts").mapInArrow(_common(grade), "words binary, counts binary").collect()
     join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)])
@@ -377,8 +381,8 @@ def train(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     model = Model(counted(docs, head))
-    # few large tasks a round, since each sends a gradient of fixed size
-    tasks = max(spark.sparkContext.defaultParallelism, -(-shared.source_bytes(docs) // (_ROUND_BYTES * rounds)))
+    # tasks that read so much, of which a round's share is theirs, since each sends a gradient of fixed size
+    tasks = max(2, -(-shared.source_bytes(docs) // _TASK_BYTES))
     for k in range(rounds if model.counts.n else 0):
         mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k).coalesce(tasks)
         sent = spark.sparkContext.broadcast(model)
