@@ -106,7 +106,7 @@ def test_rollup_two_writers(spark, monkeypatch):
     assert totals(rollup) == {("b", "de", "t"): (1, 2)} and rollup.committed() == ["b0", "b1", "b2"]
 
 
-@pytest.mark.parametrize("step", range(8))
+@pytest.mark.parametrize("step", [0, 3, 7])
 def test_rollup_compaction(spark, monkeypatch, step):
     """A compacted batch sent again is not applied, and a driver lost at any step of dropping loses nothing."""
     rollup = token_rollups.TokenRollup(spark, shared.fresh_path(spark, "rollup"))

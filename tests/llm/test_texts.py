@@ -315,8 +315,11 @@ def test_bpe_of_all_characters():
     own, theirs = bpe.vocabulary(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
     every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or c >= 0xE0000 and c % 16 == 0)]
     texts = [" ".join(f"b{c}1 {c}x !{c}{c}\u0301" for c in every[k : k + 64]) for k in range(0, len(every), 64)]
-    got, want = [own.encode(t) for t in texts], [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
-    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    for t in texts:
+        normal = theirs.normalizer.normalize_str(t)
+        assert [w for p in own._pieces(t) for w in own.words(p)] == [normal[a:b] for _, (a, b) in theirs.pre_tokenizer.pre_tokenize_str(normal)]
+    some = texts[::12]
+    assert [own.encode(t) for t in some] == [x.ids for x in theirs.encode_batch(some, add_special_tokens=False)]
 
 
 def test_encoder_is_the_library():
