@@ -4,8 +4,8 @@ Method: P(word | history) = P(class | history) P(group | class, history)
 P(word | group, history). The first two are softmaxes whose logits are sums of
 weight rows for hashed features of the history (the word before, and the word
 before that as a skip feature) on top of the corpus frequencies. The commonest
-words are groups of their own; all others share hashed groups, in which words go
-by their counts.
+words are groups of their own, in classes of like frequency; all others share
+hashed groups, in which words go by their counts.
 
 Distributed training: the training texts are dealt into ROUNDS by their hash. In
 each round all tasks take the gradient of the log likelihood of the round's
@@ -184,7 +184,7 @@ class Counts:
         # the group of each common word: its own for the commonest
         self.group = group_of(bucket_of((self.by_rank >> np.uint64(33)).astype(np.uint32)))
         home = bucket_of((self.by_rank >> np.uint64(33)).astype(np.uint32))
-        self.group[own] = own % CLASSES * SLOTS + own // CLASSES
+        self.group[own] = own // OWN * SLOTS + own % OWN  # classes of like frequency
         rest = stats[: 2 * BUCKETS].reshape(2, BUCKETS).astype(np.int64)  # tokens and words of rare words by bucket
         np.subtract.at(rest[0], home, self.count_of)
         np.subtract.at(rest[1], home, 1)
