@@ -58,7 +58,7 @@ SKETCH_BITS = 20
 SKETCH_ROW = 4096
 BLOOM_BITS = 23
 HOT_ENTRIES = 2_000_000
-BLOCK = 2048
+BLOCK = 512
 FOLLOWERS = 1000
 
 
