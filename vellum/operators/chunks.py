@@ -47,7 +47,8 @@ def chunk_rows(elements: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     level, the current one included.
     """
     rows = elements.where(~F.col("kind").isin("header", "footer"))
-    rows = rows.select("doc_id", "pos", *(("source_pos",) if "source_pos" in elements.columns else (F.col("pos").alias("source_pos"),)), "kind", "level", F.coalesce(plain(F.col("kind"), F.col), F.lit("")).alias("text"))
+    source = F.col("source_pos" if "source_pos" in elements.columns else "pos").alias("source_pos")
+    rows = rows.select("doc_id", "pos", source, "kind", "level", F.coalesce(plain(F.col("kind"), F.col), F.lit("")).alias("text"))
     rows = rows.withColumn("n", estimate_tokens(F.col("text")))
     heading = F.col("kind") == "heading"
     rows = rows.withColumn("over", ~heading & (F.col("n") > max_tokens))

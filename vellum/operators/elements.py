@@ -82,14 +82,20 @@ def _resolved(placed: Column, honor_start_override: bool) -> Column:
 
                 def with_num(num: Column) -> Column:
                     level = F.try_element_at(lv, F.struct(num["abstract_num_id"].alias("a"), number["ilvl"].alias("l")))
-                    return let(level, lambda v: F.when(v.isNotNull(), F.struct(number["num_id"].alias("num_id"), v["ilvl"].alias("ilvl"), numbering.start_with_override(v, num["overrides"], honor_start_override).alias("start"), v["num_fmt"].alias("num_fmt"))))
+
+                    def found(v: Column) -> Column:
+                        start = numbering.start_with_override(v, num["overrides"], honor_start_override)
+                        return F.struct(number["num_id"].alias("num_id"), v["ilvl"].alias("ilvl"), start.alias("start"), v["num_fmt"].alias("num_fmt"))
+
+                    return let(level, lambda v: F.when(v.isNotNull(), found(v)))
 
                 listed = F.when(number.isNotNull(), let(F.try_element_at(n, number["num_id"]), with_num))
                 return F.struct(listed.alias("list"), heading.cast("int").alias("heading"), chain["error"].alias("error"))
 
             link = lambda i: F.struct(i["text"].alias("text"), link_url(F.when(i["rel_id"].isNotNull(), F.try_element_at(t, i["rel_id"])), i["anchor"]).alias("url"))
             links = F.filter(F.transform(F.filter(item["inlines"], lambda i: i["kind"] == "link"), link), lambda i: i["url"].isNotNull())
-            note = lambda r: F.struct(r["note_kind"].alias("kind"), r["note_id"].alias("note_id"), F.try_element_at(nt, F.struct(r["note_kind"].alias("k"), r["note_id"].alias("i"))).alias("n"))
+            key = lambda r: F.struct(r["note_kind"].alias("k"), r["note_id"].alias("i"))
+            note = lambda r: F.struct(r["note_kind"].alias("kind"), r["note_id"].alias("note_id"), F.try_element_at(nt, key(r)).alias("n"))
             found = F.filter(F.transform(item["refs"], note), lambda r: r["n"].isNotNull())
             of_kind = lambda k: F.filter(found, lambda r: r["kind"] == k)
             ordered = F.concat(*(of_kind(k) for k in ("footnote", "endnote", "comment")))
@@ -129,7 +135,9 @@ def classify(items: DataFrame) -> DataFrame:
     not, and do not end it.
     """
     scope = ["doc_id", "scope"]
-    rows = items.withColumn("kind", F.when(F.col("kind") != "paragraph", F.col("kind")).when(F.col("list").isNotNull(), "list_item").when(F.col("heading").isNotNull(), "heading").otherwise("paragraph"))
+    kind = F.when(F.col("kind") != "paragraph", F.col("kind"))
+    kind = kind.when(F.col("list").isNotNull(), "list_item").when(F.col("heading").isNotNull(), "heading").otherwise("paragraph")
+    rows = items.withColumn("kind", kind)
     rows = rows.select("*", "list.num_id", "list.ilvl", "list.start", "list.num_fmt").withColumn("list_type", F.when(F.col("kind") == "list_item", list_type(F.col("num_fmt"))))
     rows = numbering.list_indexes(rows, scope, ["at"])
     before = Window.partitionBy(*scope).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -157,7 +165,8 @@ def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_ta
     rows = good.select("doc_id", F.inline(sound)).repartition("doc_id")
     found = classify(rows.select("*", "style.list", "style.heading").drop("style"))
 
-    none = {"note_id": "bigint", "author": "string", "url": "string", "level": "int", "list_type": "string", "num_fmt": "string", "display_index": "bigint", "parent_heading": "struct<level:int,text:string>", "links": LINKS, "rows": ROWS}
+    none = {"note_id": "bigint", "author": "string", "url": "string", "level": "int", "list_type": "string", "num_fmt": "string", "display_index": "bigint"}
+    none |= {"parent_heading": "struct<level:int,text:string>", "links": LINKS, "rows": ROWS}
     null = lambda c: F.lit(None).cast(none[c]).alias(c)
 
     def leaf(sub: Column, known: dict[str, Column]) -> Column:

@@ -43,7 +43,8 @@ def resolve_chain(known: Column, style_id: Column) -> Column:
             return F.when(s.isNotNull(), F.struct(*fields).cast(_STATE)).otherwise(ended(None))
 
         def ended(error: str | None) -> Column:
-            return F.struct(F.lit(None).alias("cur"), a["seen"].alias("seen"), F.lit(error).alias("error"), a["num_pr"].alias("num_pr"), a["outline_level"].alias("outline_level"), a["rpr"].alias("rpr")).cast(_STATE)
+            kept = (a[c].alias(c) for c in ("num_pr", "outline_level", "rpr"))
+            return F.struct(F.lit(None).alias("cur"), a["seen"].alias("seen"), F.lit(error).alias("error"), *kept).cast(_STATE)
 
         return (
             F.when(a["cur"].isNull(), a).when(F.size(a["seen"]) >= MAX_DEPTH, ended("style_chain_too_deep")).when(F.array_contains(a["seen"], a["cur"]), ended("circular_style"))

@@ -34,6 +34,7 @@ def table_rows(cells: DataFrame, key: list[str]) -> DataFrame:
 def rows_of(cells, count):
     """array<struct<cells>> of a table with count rows; rows whose cells all continue others are empty."""
     empty = F.array().cast("array<struct<row:int,cell:int,text:string,col_span:int,row_span:int>>")
-    own = lambda r: F.transform(F.filter(F.coalesce(cells, empty), lambda c: c["row"] == r), lambda c: F.struct(c["text"].alias("text"), c["col_span"].alias("col_span"), c["row_span"].alias("row_span")))
+    cell = lambda c: F.struct(*(c[x].alias(x) for x in ("text", "col_span", "row_span")))
+    own = lambda r: F.transform(F.filter(F.coalesce(cells, empty), lambda c: c["row"] == r), cell)
     none = F.array().cast("array<struct<cells:array<struct<text:string,col_span:int,row_span:int>>>>")
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda r: F.struct(own(r).alias("cells")))).otherwise(none)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,8 +86,20 @@ def _table(cells: list[dict]) -> str:
 
 
 def _notes(kind: str, rows: list[dict]) -> str:
-    each = "".join(f'<w:{kind} w:id="{n["id"]}"' + (f' w:author="{escape(n["author"] or "", {chr(34): "&quot;"})}"' if kind == "comment" else "") + f">{paragraph(n['text'] or '')}</w:{kind}>" for n in rows)
-    return f'<w:{kind}s xmlns:w="{W}">{each}</w:{kind}s>'
+    out = []
+    for n in rows:
+        author = f" w:author={quoteattr(n['author'] or '')}" if kind == "comment" else ""
+        out.append(f'<w:{kind} w:id="{n["id"]}"{author}>{paragraph(n["text"] or "")}</w:{kind}>')
+    return f'<w:{kind}s xmlns:w="{W}">{"".join(out)}</w:{kind}s>'
+
+
+def _relationships(rels: list[tuple[str, str, bool]]) -> str:
+    """rels: kind, target and whether it is external, numbered from rel1 on."""
+    out = []
+    for k, (kind, target, external) in enumerate(rels, 1):
+        mode = ' TargetMode="External"' if external else ""
+        out.append(f'<Relationship Id="rel{k}" Type="{R}/{kind}" Target={quoteattr(target)}{mode}/>')
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(out)}</Relationships>'
 
 
 def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> bytes:
@@ -117,7 +129,7 @@ def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> b
             properties += f'<w:numPr><w:ilvl w:val="{x["level"]}"/><w:numId w:val="{x.get("num_id") or 1}"/></w:numPr>'
         inner = [run_text(x["text"], x.get("run") or "")]
         for link in x.get("links") or []:
-            target = f' w:anchor="{escape(link["anchor"])}"' if link["anchor"] else ""
+            target = f" w:anchor={quoteattr(link['anchor'])}" if link["anchor"] else ""
             if link["url"]:
                 rels.append(("hyperlink", link["url"], True))
                 target += f' r:id="rel{len(rels)}"'
@@ -127,8 +139,7 @@ def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> b
             inner.append(f'<w:r><w:{n["kind"]}Reference w:id="{n["id"]}"/></w:r>')
         body.append(f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}{''.join(inner)}</w:p>")
     if rels:
-        each = "".join(f'<Relationship Id="rel{k}" Type="{R}/{kind}" Target="{escape(target, {chr(34): "&quot;"})}"{" TargetMode=" + chr(34) + "External" + chr(34) if external else ""}/>' for k, (kind, target, external) in enumerate(rels, 1))
-        parts["word/_rels/document.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{each}</Relationships>'
+        parts["word/_rels/document.xml.rels"] = _relationships(rels)
     parts |= {f"word/{kind}s.xml": _notes(kind, found) for kind, found in notes.items()}
     return package({"word/document.xml": document("".join(body)), "word/styles.xml": heading_styles(), "word/numbering.xml": decimal_numbering()} | parts | (more or {}))
 
