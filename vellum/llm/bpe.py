@@ -119,7 +119,7 @@ class Vocabulary:
         for k in np.searchsorted(begins, np.setxor1d(*starts), side="right") - 1:
             odd.add(plain[k][0])
             odd.update(plain[k][1])
-        return regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else regex.compile(r"(?!)")
+        return re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]") if odd else re.compile(r"(?!)")
 
     def prepare(self, text: str) -> str:
         if not text.isascii() and self._odd.search(text):
