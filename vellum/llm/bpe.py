@@ -99,9 +99,10 @@ class Vocabulary:
         library = Tokenizer.from_file(path)
         self._normalised, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._odd = self._unlike()
+        self._strange: set[str] = set()  # pieces of texts with such code points
 
     def _unlike(self):
-        """A pattern of the code points that the library takes otherwise than the functions here."""
+        """For each code point whether the library takes it otherwise than the functions here."""
         stable = ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x20000, 0x2A6D6), (0x33000, 0xDFFFF))  # ideographs, Hangul, nothing
         points = (c for c in range(0x80, 0xF0000) if not any(a <= c <= b for a, b in stable))
         every = [c for c in map(chr, points) if unicodedata.category(c) not in ("Cs", "Co")]
@@ -119,16 +120,24 @@ class Vocabulary:
         for k in np.searchsorted(begins, np.setxor1d(*starts), side="right") - 1:
             odd.add(plain[k][0])
             odd.update(plain[k][1])
-        return re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]") if odd else re.compile(r"(?!)")
+        table = np.zeros(0x110000, bool)
+        table[list(map(ord, odd))] = True
+        return table
 
-    def prepare(self, text: str) -> str:
-        if not text.isascii() and self._odd.search(text):
-            return self._normalised(text)
-        return prepared(text)
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and bool(self._odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+    def plain_pieces(self, text: str) -> list[str]:
+        """What stands between spaces in a text without special tokens."""
+        if self.is_odd(text):
+            pieces = list(filter(None, self._normalised(text).split(" ")))
+            self._strange.update(pieces)
+            return pieces
+        return list(filter(None, prepared(text).split(" ")))
 
     def words(self, piece: str) -> list[str]:
         """The words of what stands between two spaces."""
-        if not piece.isascii() and self._odd.search(piece):
+        if piece in self._strange:
             return [piece[a:b] for _, (a, b) in self._split(piece)]
         return self._words.findall(piece)
 
@@ -255,10 +264,10 @@ class Vocabulary:
     def _pieces(self, text: str) -> list[str]:
         """What stands between spaces, and special tokens as themselves behind a line feed."""
         if self._cut is None or not any(x in text for x in self.special):
-            return list(filter(None, self.prepare(text).split(" ")))
+            return self.plain_pieces(text)
         out: list[str] = []
         for k, part in enumerate(self._cut.split(text)):
-            out.extend(["\n" + part] if k % 2 else filter(None, self.prepare(part).split(" ")))
+            out.extend(["\n" + part] if k % 2 else self.plain_pieces(part))
         return out
 
     def learn(self, pieces: Iterable[str]) -> None:
@@ -275,6 +284,7 @@ class Vocabulary:
             found = [self.special[p[1:]]] if p[0] == "\n" else [i for w in parts[p] for i in ids[w]]
             self._ids[p] = " ".join(map(str, found))
             self._decoded[p] = self.decode(found)
+        self._strange.clear()  # those that are held keep their ids
 
     def encode(self, text: str) -> list[int]:
         pieces = self._pieces(text)
