@@ -42,6 +42,7 @@ from .words import small_batches
 
 CACHED_PIECES = 450_000
 ROW_LIMIT = 256
+ALIKE = 0x250  # Latin letters, which all versions of Unicode in use take alike
 _NONE = np.uint64((1 << 64) - 1)
 _PLACE = np.uint64(16)
 SPACES = regex.compile(r"[^\S ]\s*| \s+")  # all runs but a single space
@@ -98,7 +99,7 @@ class Vocabulary:
         self._decoded: dict[str, str] = {}
         library = Tokenizer.from_file(path)
         self._normalised, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self._odd = self._unlike()
+        self._table: np.ndarray | None = None
         self._strange: set[str] = set()  # pieces of texts with such code points
 
     def _unlike(self):
@@ -125,7 +126,15 @@ class Vocabulary:
         return table
 
     def is_odd(self, text: str) -> bool:
-        return not text.isascii() and bool(self._odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+        """Whether the library takes some code point otherwise; it is asked when the first text goes beyond ALIKE."""
+        if text.isascii():
+            return False
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if points.max() < ALIKE:
+            return False
+        if self._table is None:
+            self._table = self._unlike()
+        return bool(self._table[points].any())
 
     def plain_pieces(self, text: str) -> list[str]:
         """What stands between spaces in a text without special tokens."""
