@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading_of_name, heading_of_outline, let, list_type
+from ..sources.dealing import dealt
 from ..sources.package import ITEM
 from . import numbering, styles
 
@@ -28,13 +29,17 @@ def link_url(rel_target: Column, anchor: Column) -> Column:
 
 
 def _placed(normalise_targets: bool) -> Column:
-    """Items of the body, and behind each section break the items of the parts it refers to."""
+    """Items of the body, and behind each section break the items of the parts it refers to.
+
+    Places count on from the packages and pieces before.
+    """
+    before = F.col("begin") + F.col("first")
     targets = F.map_from_entries(F.transform("rels", lambda r: F.struct(r["rel_id"], r["target"])))
     bodies = F.map_from_entries(F.transform("part_items", lambda p: F.struct(p["part"], p["items"])))
 
     def at(scope, host, klass, ref, slot, k, item) -> Column:
         names = ("scope", "host", "class", "ref", "slot", "at", "item")
-        return F.struct(*(x.alias(n) for x, n in zip((scope, host, klass, ref, slot, k, item), names, strict=True)))
+        return F.struct(*(x.alias(n) for x, n in zip((scope, host, klass, ref, slot, k.cast("long"), item), names, strict=True)))
 
     def of_section(item: Column, i: Column, which: str, klass: int, t: Column, b: Column) -> Column:
         refs = F.filter(item["sections"], lambda s: s["which"] == which)
@@ -54,6 +59,7 @@ def _placed(normalise_targets: bool) -> Column:
 
     def every(t: Column, b: Column) -> Column:
         def each(item: Column, i: Column) -> Column:
+            i = before + i
             own = F.array(at(F.lit(""), i, F.lit(0), F.lit(0), F.lit(None).cast("string"), i, item))
             sections = F.concat(of_section(item, i, "header", 1, t, b), of_section(item, i, "footer", 2, t, b))
             return F.when(item["kind"] == "section", sections).otherwise(own)
@@ -65,13 +71,17 @@ def _placed(normalise_targets: bool) -> Column:
 
 def _resolved(placed: Column, honor_start_override: bool) -> Column:
     """Placed items with their style, list level, links and notes looked up."""
+    return let(placed, lambda items: _looked_up(items, honor_start_override))
+
+
+def _looked_up(items: Column, honor_start_override: bool) -> Column:
     known = styles.style_map(F.col("styles"))
     nums = F.map_from_entries(F.transform("nums", lambda n: F.struct(n["num_id"], n)))
     levels = F.map_from_entries(F.transform("levels", lambda x: F.struct(F.struct(x["abstract_num_id"].alias("a"), x["ilvl"].alias("l")), x)))
     targets = F.map_from_entries(F.transform("rels", lambda r: F.struct(r["rel_id"], r["target"])))
     notes = F.map_from_entries(F.transform("notes", lambda n: F.struct(F.struct(n["note_kind"].alias("k"), n["note_id"].alias("i")), F.struct(n["author"].alias("author"), n["text"].alias("text")))))
 
-    def every(s: Column, n: Column, lv: Column, t: Column, nt: Column) -> Column:
+    def every(s: Column, chains: Column, n: Column, lv: Column, t: Column, nt: Column) -> Column:
         def each(x: Column) -> Column:
             item, ppr = x["item"], x["item"]["ppr"]
 
@@ -100,20 +110,22 @@ def _resolved(placed: Column, honor_start_override: bool) -> Column:
             of_kind = lambda k: F.filter(found, lambda r: r["kind"] == k)
             ordered = F.concat(*(of_kind(k) for k in ("footnote", "endnote", "comment")))
             is_paragraph = item["kind"] == "paragraph"
-            style = F.when(is_paragraph, let(styles.resolve_chain(s, ppr["style_id"]), with_chain))
+            style = F.when(is_paragraph, let(F.try_element_at(chains, ppr["style_id"]), with_chain))
             fields = (
                 *(x[f].alias(f) for f in ("scope", "host", "class", "ref", "slot", "at")), item["kind"].alias("kind"), style.alias("style"), links.alias("links"), ordered.alias("notes"),
                 F.array_join(F.transform(item["inlines"], lambda i: F.coalesce(i["text"], F.lit(""))), "").alias("text"), item["table"].alias("rows"),
             )
             return F.struct(*fields)
 
-        return F.transform(placed, each)
+        return F.transform(items, each)
 
-    return let(known, lambda s: let(nums, lambda n: let(levels, lambda lv: let(targets, lambda t: let(notes, lambda nt: every(s, n, lv, t, nt))))))
+    used = lambda s: styles.chains_of(s, F.transform(items, lambda x: x["item"]["ppr"]["style_id"]))
+    looked_up = lambda s, c: let(nums, lambda n: let(levels, lambda lv: let(targets, lambda t: let(notes, lambda nt: every(s, c, n, lv, t, nt)))))
+    return let(known, lambda s: let(used(s), lambda c: looked_up(s, c)))
 
 
 def resolved_items(parsed: DataFrame, honor_start_override: bool = False, normalise_targets: bool = False) -> DataFrame:
-    """doc_id and one array of placed and resolved items for each package that parsed."""
+    """doc_id and an array of placed and resolved items for each piece of the packages that parsed."""
     good = parsed.where("open_error IS NULL AND element_error IS NULL")
     return good.select("doc_id", _resolved(_placed(normalise_targets), honor_start_override).alias("items"))
 
@@ -162,7 +174,7 @@ def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_ta
     good = parsed.where("open_error IS NULL AND element_error IS NULL")
     # in one expression, so that the items are resolved once
     sound = let(_resolved(_placed(normalise_targets), honor_start_override), lambda x: F.when(_style_error(x).isNull(), x))
-    rows = good.select("doc_id", F.inline(sound)).repartition("doc_id")
+    rows = dealt(good.select("doc_id", F.inline(sound)), "doc_id")
     found = classify(rows.select("*", "style.list", "style.heading").drop("style"))
 
     none = {"note_id": "bigint", "author": "string", "url": "string", "level": "int", "list_type": "string", "num_fmt": "string", "display_index": "bigint"}

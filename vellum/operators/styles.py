@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources import guards
 
-MAX_DEPTH = 64
+MAX_DEPTH = guards.MAX_CHAIN
 RUN_FIELDS = ("font_size_half_points", "color", "bold", "italic", "underline", "strikethrough")
 
 _STATE = (
@@ -54,6 +55,12 @@ def resolve_chain(known: Column, style_id: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_DEPTH)), start, step)
 
 
+def chains_of(known: Column, style_ids: Column) -> Column:
+    """A map of the style ids that occur to their resolved chains: each chain is walked once, however many items use it."""
+    used = F.array_distinct(F.filter(style_ids, lambda x: x.isNotNull()))
+    return F.map_from_entries(F.transform(used, lambda x: F.struct(x, resolve_chain(known, x))))
+
+
 def resolve_styles(styles: DataFrame) -> DataFrame:
     """Rows of styles (doc_id, style_id, name, based_on, ppr, rpr) with their chains resolved.
 
@@ -84,7 +91,7 @@ def run_formatting(parsed: DataFrame) -> DataFrame:
     doc_id, item_ord, inline_ord, run_ord, text, formatting.
     """
 
-    def runs(m: Column) -> Column:
+    def runs(chains: Column) -> Column:
         def of_item(item: Column, i: Column) -> Column:
             def of_style(chain: Column) -> Column:
                 number = F.coalesce(item["ppr"]["num_pr"], chain["num_pr"], F.col("defaults.ppr.num_pr"))
@@ -100,9 +107,10 @@ def run_formatting(parsed: DataFrame) -> DataFrame:
 
                 return let(F.get(found, F.lit(0)), of_level)
 
-            return let(resolve_chain(m, item["ppr"]["style_id"]), of_style)
+            return let(F.try_element_at(chains, item["ppr"]["style_id"]), of_style)
 
-        numbered = F.transform("items", lambda item, i: F.struct(item.alias("item"), i.alias("i")))
+        numbered = F.transform("items", lambda item, i: F.struct(item.alias("item"), ((F.col("begin") + F.col("first")).cast("int") + i).alias("i")))
         return F.flatten(F.transform(F.filter(numbered, lambda x: x["item"]["kind"] == "paragraph"), lambda x: of_item(x["item"], x["i"])))
 
-    return parsed.where("open_error IS NULL AND element_error IS NULL").select("doc_id", F.inline(let(style_map(F.col("styles")), runs)))
+    used = lambda m: chains_of(m, F.transform("items", lambda x: x["ppr"]["style_id"]))
+    return parsed.where("open_error IS NULL AND element_error IS NULL").select("doc_id", F.inline(let(let(style_map(F.col("styles")), used), runs)))

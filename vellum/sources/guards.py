@@ -10,6 +10,7 @@ MAX_ENTRY_BYTES = 100 * 1024 * 1024
 MAX_TOTAL_BYTES = 500 * 1024 * 1024
 MOST_PACKED = 1000
 DOCTYPE_WINDOW = 4096
+MAX_CHAIN = 64
 
 _UNSAFE = re.compile(r"^[/\\]|(?:^|[/\\])\.\.(?:[/\\]|$)")
 _DOCTYPE = re.compile(rb"<!DOCTYPE", re.I)
@@ -31,8 +32,12 @@ def check_count(entries: int) -> None:
         raise PackageError("zip_entry_limit", "", f"{entries} entries, at most {MAX_ENTRIES}")
 
 
+def safe_path(name: str) -> bool:
+    return not _UNSAFE.search(name)
+
+
 def check_path(name: str) -> None:
-    if _UNSAFE.search(name):
+    if not safe_path(name):
         raise PackageError("zip_path_traversal", name, "unsafe path")
 
 

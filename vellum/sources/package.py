@@ -1,19 +1,22 @@
 """Word packages as rows: a scan, unpacking under limits, and parsing into nested staging columns.
 
 Only unzipping and XML events run in Python, once for each package; everything
-after is DataFrame expressions over the staging columns. Media are unpacked by
+after is DataFrame expressions over the staging columns. A package with a long
+body becomes several rows, its pieces, so that no row grows with the body; each
+has the lookups that its items need, and the last has all. Media are unpacked by
 an operator of their own, so that text queries do not read images.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,7 +32,7 @@ ITEM = (
 )
 ERROR = "struct<kind:string,part:string,detail:string>"
 PARSED = (
-    f"doc_id string, open_error {ERROR}, element_error {ERROR}, items array<{ITEM}>, "
+    f"doc_id string, begin bigint, first bigint, last boolean, entries array<string>, open_error {ERROR}, element_error {ERROR}, items array<{ITEM}>, "
     f"part_items array<struct<part:string,items:array<{ITEM}>>>, "
     f"styles array<struct<style_id:string,name:string,type:string,based_on:string,next_style:string,is_default:boolean,ppr:{PPR},rpr:{RPR}>>, "
     f"defaults struct<ppr:{PPR},rpr:{RPR}>, nums array<struct<num_id:bigint,abstract_num_id:bigint,overrides:array<struct<ilvl:int,start_override:bigint>>>>, "
@@ -83,13 +86,62 @@ class Archive:
             return None
 
 
-def parse_package(doc_id: str | None, content: bytes | None) -> dict:
-    """One row of staging columns. Errors in opening, and in what elements need, are apart."""
-    row: dict = {"doc_id": doc_id, "open_error": None, "element_error": None}
+#: Bytes of a main part whose items make one row.
+PIECE_BYTES = 4 * ooxml.BLOCK
+
+
+def _broken_chains(styles: list[dict]) -> bool:
+    """Whether any style's chain is circular or too long to be followed."""
+    base = {s["style_id"]: s["based_on"] for s in styles}
+    depth: dict[str | None, int] = {}
+    for key in base:
+        path: list[str] = []
+        while key in base and key not in depth and len(path) <= guards.MAX_CHAIN:
+            path.append(key)
+            key = base[key]
+        for n, x in enumerate(reversed(path), 1 if key not in depth else 1 + depth[key]):
+            depth[x] = n
+    # an unknown parent of a chain of full length is beyond the limit, too
+    return any(n >= guards.MAX_CHAIN for n in depth.values())
+
+
+def _needed(items: list[dict], known: dict) -> dict:
+    """Those of a package's lookups that some of its items refer to."""
+    targets = {r["target"].rpartition("/")[2] for x in items for s in x.get("sections") or [] for r in known["rels"] if r["rel_id"] == s["rel_id"]}
+    parts = [p for p in known["part_items"] if p["part"].rpartition("/")[2] in targets] if targets else []
+    items = [*items, *(x for p in parts for x in p["items"])]
+    base = {s["style_id"]: s for s in known["styles"]}
+    used: set[str] = set()
+    for x in items:
+        key = (x.get("ppr") or {}).get("style_id")
+        while key in base and key not in used:
+            used.add(key)
+            key = base[key]["based_on"]
+    styles = [s for s in known["styles"] if s["style_id"] in used]
+    numbers = [p["num_pr"]["num_id"] for p in (*(x.get("ppr") or {} for x in items), *(s["ppr"] for s in styles), (known["defaults"] or {}).get("ppr") or {}) if p.get("num_pr")]
+    wanted = set(numbers)
+    nums = [n for n in known["nums"] if n["num_id"] in wanted]
+    abstract = {n["abstract_num_id"] for n in nums}
+    rel_ids = {i["rel_id"] for x in items for i in x.get("inlines") or []} | {s["rel_id"] for x in items for s in x.get("sections") or []}
+    note_ids = {(r["note_kind"], r["note_id"]) for x in items for r in x.get("refs") or []}
+    return {
+        "styles": styles, "defaults": known["defaults"], "nums": nums, "levels": [x for x in known["levels"] if x["abstract_num_id"] in abstract], "part_items": parts,
+        "notes": [n for n in known["notes"] if (n["note_kind"], n["note_id"]) in note_ids], "rels": [r for r in known["rels"] if r["rel_id"] in rel_ids],
+    }
+
+
+def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, piece_bytes: float = PIECE_BYTES) -> Iterator[dict]:
+    """Rows of staging columns, one for each piece of the body. Errors in opening, and in what elements need, are apart.
+
+    begin is the number of items in the document's packages before, first that in the pieces before. A package with a style
+    chain that fails is one row: its items fail together.
+    """
+    row: dict = {"doc_id": doc_id, "begin": begin, "first": 0, "last": True, "open_error": None, "element_error": None}
     try:
         if content is None:
             raise PackageError("io", "", "no content")
         archive = Archive(content)
+        row["entries"] = [x for x in archive.names if guards.safe_path(x)]
         types = ooxml.content_types("[Content_Types].xml", archive.read("[Content_Types].xml"))
         row["content_types"] = types
         main = min((x["key"] for x in types if x["kind"] == "override" and x["content_type"] == ooxml.MAIN_TYPE), default=None)
@@ -97,21 +149,34 @@ def parse_package(doc_id: str | None, content: bytes | None) -> dict:
             raise PackageError("missing_part", "word/document.xml", "no main document part is declared")
         document = archive.read(main)
     except PackageError as e:
-        return row | {"open_error": e.row()}
+        yield row | {"open_error": e.row()}
+        return
     optional = archive.optional
+    known: dict = {}
+    try:
+        ooxml.check(main, document)
+    except PackageError as e:
+        yield row | {"element_error": e.row()}
+        return
     try:
-        row["items"] = ooxml.body(main, document, "w:body")
-        row["styles"], row["defaults"] = ooxml.styles("word/styles.xml", x) if (x := optional("word/styles.xml")) is not None else ([], None)
-        row["nums"], row["levels"] = ooxml.numbering("word/numbering.xml", x) if (x := optional("word/numbering.xml")) is not None else ([], [])
-        row["notes"] = [n for kind in ("footnote", "endnote", "comment") if (x := optional(f"word/{kind}s.xml")) is not None for n in ooxml.notes(f"word/{kind}s.xml", x, kind)]
-        row["rels"] = ooxml.relationships("word/_rels/document.xml.rels", x) if (x := optional("word/_rels/document.xml.rels")) is not None else []
-        row["part_items"] = [
+        known["styles"], known["defaults"] = ooxml.styles("word/styles.xml", x) if (x := optional("word/styles.xml")) is not None else ([], None)
+        known["nums"], known["levels"] = ooxml.numbering("word/numbering.xml", x) if (x := optional("word/numbering.xml")) is not None else ([], [])
+        known["notes"] = [n for kind in ("footnote", "endnote", "comment") if (x := optional(f"word/{kind}s.xml")) is not None for n in ooxml.notes(f"word/{kind}s.xml", x, kind)]
+        known["rels"] = ooxml.relationships("word/_rels/document.xml.rels", x) if (x := optional("word/_rels/document.xml.rels")) is not None else []
+        known["part_items"] = [
             {"part": name, "items": ooxml.body(name, x, "w:hdr" if m[1] == "header" else "w:ftr")}
             for name in sorted(set(archive.names)) if (m := _SECTION_PART.fullmatch(name)) and (x := optional(name)) is not None
         ]
     except PackageError as e:
         row["element_error"] = e.row()
-    return row
+    whole = row["element_error"] is not None or (len(document) > piece_bytes and _broken_chains(known["styles"]))
+    first, held = 0, None
+    for items in ooxml.body_pieces(main, document, "w:body", math.inf if whole else piece_bytes):
+        if held is not None:
+            yield row | _needed(held, known) | {"content_types": None, "entries": None, "last": False, "first": first, "items": held}
+            first += len(held)
+        held = items
+    yield row | known | {"first": first, "items": held or []}
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -120,7 +185,7 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _in_batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -136,16 +201,17 @@ def _in_batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes | None]]:
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of packages, one at a time."""
     for batch in batches:
-        for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-            yield doc_id.as_py(), content.as_py()
+        for row in zip(*batch.columns, strict=True):
+            yield tuple(x.as_py() for x in row)
 
 
-def _parse_rows(schema: pa.Schema):
+def _parse_rows(schema: pa.Schema, piece_bytes: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # XML is many times the size of the package it was packed into
-        parsed = ((16 * len(content or b""), parse_package(doc_id, content)) for doc_id, content in _contents(batches))
+        # XML is many times the size of the package it was packed into, up to that of a piece
+        parsed = ((min(16 * len(content or b""), PIECE_BYTES), row) for doc_id, content, begin in _contents(batches) for row in parse_package(doc_id, content, begin, piece_bytes))
         yield from _in_batches(parsed, schema)
 
     return rows
@@ -157,9 +223,10 @@ def packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "path", F.col("modificationTime").alias("modification_time"), "length", "content")
 
 
-def parse_packages(source: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """Packages (doc_id, content) to staging columns; mode as for Spark's own readers."""
-    parsed = source.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(_parse_rows(_arrow(PARSED)), PARSED)
+def parse_packages(source: DataFrame, mode: str = "PERMISSIVE", piece_bytes: float = PIECE_BYTES) -> DataFrame:
+    """Packages (doc_id, content; begin, if documents go on over several packages) to staging columns; mode as for Spark's own readers."""
+    begin = (F.col("begin") if "begin" in source.columns else F.lit(0)).cast("long").alias("begin")
+    parsed = source.select(F.col("doc_id").cast("string").alias("doc_id"), "content", begin).mapInArrow(_parse_rows(_arrow(PARSED), piece_bytes), PARSED)
     failed = F.coalesce("open_error", "element_error")
     if mode == "DROPMALFORMED":
         return parsed.where(failed.isNull())
@@ -214,20 +281,47 @@ def has_entry(source: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.coalesce(F.max(F.col("error").isNull() & (F.col("part_name") == name)), F.lit(False)).alias("has_entry"))
 
 
+def whole(parsed: DataFrame) -> DataFrame:
+    """One row for each package, with all of its lookups."""
+    return parsed.where("last")
+
+
 def content_types(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline("content_types"))
+    return whole(parsed).select("doc_id", F.inline("content_types"))
+
+
+def _names_entry(name: str) -> Column:
+    return F.coalesce(F.array_contains("entries", name), F.lit(False)).alias("has_entry")
+
+
+def _names_part(part_name: str) -> Column:
+    name = part_name.lstrip("/")
+    return F.coalesce(F.exists("content_types", lambda x: (x["kind"] == "override") & (x["key"] == name)), F.lit(False)).alias("has_part")
+
+
+def _default_type(extension: str) -> Column:
+    found = F.filter("content_types", lambda x: (x["kind"] == "default") & (x["key"] == extension))
+    return F.try_element_at(found, F.lit(-1))["content_type"].alias("content_type")
+
+
+def _counts() -> list[Column]:
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return [(F.col("first").cast("int") + n("items")).alias("n_items"), *(n(c).alias(f"n_{c}") for c in ("styles", "nums", "notes", "rels", "part_items"))]
+
+
+def described(parsed: DataFrame, entry: str, part_name: str, extension: str) -> DataFrame:
+    """counts, has_entry, has_part and default_for_extension of each package at once, from one reading."""
+    return whole(parsed).select("doc_id", *_counts(), _names_entry(entry), _names_part(part_name), _default_type(extension))
 
 
 def has_part(parsed: DataFrame, part_name: str) -> DataFrame:
     """doc_id, has_part: whether the manifest names the part, given with or without a slash before it."""
-    name = part_name.lstrip("/")
-    return parsed.select("doc_id", F.coalesce(F.exists("content_types", lambda x: (x["kind"] == "override") & (x["key"] == name)), F.lit(False)).alias("has_part"))
+    return whole(parsed).select("doc_id", _names_part(part_name))
 
 
 def default_for_extension(parsed: DataFrame, extension: str) -> DataFrame:
     """doc_id, content_type that the manifest gives an extension, or null; of several the last."""
-    found = F.filter("content_types", lambda x: (x["kind"] == "default") & (x["key"] == extension))
-    return parsed.select("doc_id", F.try_element_at(found, F.lit(-1))["content_type"].alias("content_type"))
+    return whole(parsed).select("doc_id", _default_type(extension))
 
 
 def main_part(parsed: DataFrame) -> DataFrame:
@@ -237,7 +331,7 @@ def main_part(parsed: DataFrame) -> DataFrame:
 
 
 def relationships(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline("rels"))
+    return whole(parsed).select("doc_id", F.inline("rels"))
 
 
 def relationship(parsed: DataFrame, rel_id: str) -> DataFrame:
@@ -252,17 +346,18 @@ def relationships_of_type(parsed: DataFrame, part_of_type: str) -> DataFrame:
 
 def notes(parsed: DataFrame, kind: str | None = None) -> DataFrame:
     """Footnotes, endnotes and comments, or those of one kind."""
-    rows = parsed.select("doc_id", F.inline("notes"))
+    rows = whole(parsed).select("doc_id", F.inline("notes"))
     return rows if kind is None else rows.where(F.col("note_kind") == kind)
 
 
 def raw_body(parsed: DataFrame) -> DataFrame:
     """doc_id, item_ord and the raw items of the main part."""
-    return parsed.select("doc_id", F.posexplode("items").alias("item_ord", "item")).select("doc_id", "item_ord", "item.*")
+    rows = parsed.select("doc_id", (F.col("begin") + F.col("first")).cast("int").alias("first"), F.posexplode("items").alias("k", "item"))
+    return rows.select("doc_id", (F.col("first") + F.col("k")).alias("item_ord"), "item.*")
 
 
 def style_table(parsed: DataFrame) -> DataFrame:
-    return parsed.select("doc_id", F.inline("styles"))
+    return whole(parsed).select("doc_id", F.inline("styles"))
 
 
 def numbering_defs(parsed: DataFrame) -> DataFrame:
@@ -272,23 +367,21 @@ def numbering_defs(parsed: DataFrame) -> DataFrame:
         own = F.filter("levels", lambda x: x["abstract_num_id"] == n["abstract_num_id"])
         return F.transform(own, lambda x: F.struct(n["num_id"].alias("num_id"), *(x[c].alias(c) for c in ("ilvl", "start", "num_fmt", "level_text"))))
 
-    return parsed.select("doc_id", F.inline(F.flatten(F.transform("nums", of))))
+    return whole(parsed).select("doc_id", F.inline(F.flatten(F.transform("nums", of))))
 
 
 def section_part(parsed: DataFrame, part_name: str) -> DataFrame:
     """doc_id, item_ord and the raw items of a header or footer part, of each package that has it."""
     found = F.get(F.filter("part_items", lambda p: p["part"] == part_name), F.lit(0))["items"]
-    return parsed.select("doc_id", F.posexplode(found).alias("item_ord", "item")).select("doc_id", "item_ord", "item.*")
+    return whole(parsed).select("doc_id", F.posexplode(found).alias("item_ord", "item")).select("doc_id", "item_ord", "item.*")
 
 
 def counts(parsed: DataFrame) -> DataFrame:
     """How many items, styles, numbers, notes, relationships and section parts each package has; 0 for those that failed."""
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    kinds = ("items", "styles", "nums", "notes", "rels", "part_items")
-    return parsed.select("doc_id", *(F.greatest(n(c), F.lit(0)).alias(f"n_{c}") for c in kinds))
+    return whole(parsed).select("doc_id", *_counts())
 
 
 def errors(parsed: DataFrame) -> DataFrame:
     """doc_id, stage (open or elements), kind, part, detail of packages that failed."""
-    rows = [parsed.where(F.col(c).isNotNull()).select("doc_id", F.lit(s).alias("stage"), f"{c}.*") for c, s in (("open_error", "open"), ("element_error", "elements"))]
+    rows = [whole(parsed).where(F.col(c).isNotNull()).select("doc_id", F.lit(s).alias("stage"), f"{c}.*") for c, s in (("open_error", "open"), ("element_error", "elements"))]
     return rows[0].union(rows[1])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt
 from .ooxml import MAIN_TYPE
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -102,56 +103,144 @@ def _relationships(rels: list[tuple[str, str, bool]]) -> str:
     return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(out)}</Relationships>'
 
 
-def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> bytes:
-    """A package of rows as ROW says: headings, list items, paragraphs with links and notes, tables, section breaks.
+#: A document whose parts hold more goes on in another package: well below the limits on entries, which would refuse it.
+VOLUME_BYTES = 48 << 20
+VOLUME_PARTS = 4000
+_BLOCK = 1 << 16
+
+
+class Writer:
+    """A package that is packed as its rows come: the body at once, parts beside it when it is closed.
 
     more: parts in place of, or beside, the nine heading styles and decimal numbers.
     """
-    body, rels, notes, parts = [], [], {}, {}
-    run_text = lambda text, run="": f'<w:r>{f"<w:rPr>{run}</w:rPr>" if run else ""}<w:t xml:space="preserve">{escape(text or "")}</w:t></w:r>'
-    for x in rows:
+
+    def __init__(self, more: dict[str, str | bytes] | None = None):
+        self._more = dict(more or {})
+        self._out = io.BytesIO()
+        self._zip = zipfile.ZipFile(self._out, "w", zipfile.ZIP_DEFLATED)
+        self._put("[Content_Types].xml", self._more.pop("[Content_Types].xml", TYPES))
+        self._head, self._tail = document("\0").split("\0")
+        entry = zipfile.ZipInfo("word/document.xml")
+        entry.compress_type = zipfile.ZIP_DEFLATED
+        self._body = self._zip.open(entry, "w")
+        self._held, self._held_size, self.size = [self._head], 0, 0
+        self._rels: list[tuple[str, str, bool]] = []
+        self._notes: dict[str, list[dict]] = {}
+        self._parts: dict[str, str | bytes] = {}
+
+    def _put(self, name: str, data: str | bytes) -> None:
+        self._zip.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
+
+    def _write(self, xml: str) -> None:
+        self._held.append(xml)
+        self._held_size += len(xml)
+        self.size += len(xml)
+        if self._held_size >= _BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        if "word/document.xml" not in self._more:
+            self._body.write("".join(self._held).encode())
+        self._held, self._held_size = [], 0
+
+    def _related(self, kind: str, target: str, external: bool) -> str:
+        self._rels.append((kind, target, external))
+        self.size += 200 + len(target)
+        return f"rel{len(self._rels)}"
+
+    def full(self, most: int = VOLUME_BYTES) -> bool:
+        return self.size >= most or len(self._parts) >= VOLUME_PARTS
+
+    def add(self, x: dict) -> None:
+        """A row as ROW says: heading, list item, paragraph with links and notes, table, section break."""
         if x.get("cells") is not None:
-            body.append(_table(x["cells"]))
-            continue
-        if x.get("sections") is not None:
-            refs = []
-            for s in x["sections"]:
-                tag, name = ("hdr" if s["which"] == "header" else "ftr"), f"{s['which']}{len(parts) + 1}.xml"
-                parts[f"word/{name}"] = f'<w:{tag} xmlns:w="{W}">{"".join(map(paragraph, s["texts"]))}</w:{tag}>'
-                rels.append(("section", name, False))
-                refs.append(f'<w:{s["which"]}Reference w:type="{s["slot"]}" r:id="rel{len(rels)}"/>')
-            body.append(f'<w:sectPr>{"".join(refs)}<w:pgSz w:w="1"/></w:sectPr>')
-            continue
+            self._write(_table(x["cells"]))
+        elif x.get("sections") is not None:
+            self._section(x["sections"])
+        else:
+            self._paragraph(x)
+
+    def _section(self, sections: list[dict]) -> None:
+        refs = []
+        for s in sections:
+            tag, name = ("hdr" if s["which"] == "header" else "ftr"), f"{s['which']}{len(self._parts) + 1}.xml"
+            part = self._parts[f"word/{name}"] = f'<w:{tag} xmlns:w="{W}">{"".join(map(paragraph, s["texts"]))}</w:{tag}>'
+            self.size += len(part)
+            refs.append(f'<w:{s["which"]}Reference w:type="{s["slot"]}" r:id="{self._related("section", name, False)}"/>')
+        self._write(f'<w:sectPr>{"".join(refs)}<w:pgSz w:w="1"/></w:sectPr>')
+
+    def _paragraph(self, x: dict) -> None:
         properties = f'<w:pStyle w:val="{x["style"]}"/>' if x.get("style") else ""
         if x["kind"] == "heading":
             properties = f'<w:pStyle w:val="Heading{x["level"]}"/>'
         elif x["kind"] == "list_item":
             properties += f'<w:numPr><w:ilvl w:val="{x["level"]}"/><w:numId w:val="{x.get("num_id") or 1}"/></w:numPr>'
-        inner = [run_text(x["text"], x.get("run") or "")]
+        inner = [_run(x["text"], x.get("run") or "")]
         for link in x.get("links") or []:
             target = f" w:anchor={quoteattr(link['anchor'])}" if link["anchor"] else ""
             if link["url"]:
-                rels.append(("hyperlink", link["url"], True))
-                target += f' r:id="rel{len(rels)}"'
-            inner.append(f"<w:hyperlink{target}>{run_text(link['text'])}</w:hyperlink>")
+                target += f' r:id="{self._related("hyperlink", link["url"], True)}"'
+            inner.append(f"<w:hyperlink{target}>{_run(link['text'])}</w:hyperlink>")
         for n in x.get("notes") or []:
-            notes.setdefault(n["kind"], []).append(n)
+            self._notes.setdefault(n["kind"], []).append(n)
+            self.size += 200 + len(n["text"] or "")
             inner.append(f'<w:r><w:{n["kind"]}Reference w:id="{n["id"]}"/></w:r>')
-        body.append(f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}{''.join(inner)}</w:p>")
-    if rels:
-        parts["word/_rels/document.xml.rels"] = _relationships(rels)
-    parts |= {f"word/{kind}s.xml": _notes(kind, found) for kind, found in notes.items()}
-    return package({"word/document.xml": document("".join(body)), "word/styles.xml": heading_styles(), "word/numbering.xml": decimal_numbering()} | parts | (more or {}))
+        self._write(f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}{''.join(inner)}</w:p>")
 
+    def close(self) -> bytes:
+        self._held.append(self._tail)
+        self._flush()
+        if "word/document.xml" in self._more:
+            data = self._more.pop("word/document.xml")
+            self._body.write(data.encode() if isinstance(data, str) else data)
+        self._body.close()
+        parts = {"word/styles.xml": heading_styles(), "word/numbering.xml": decimal_numbering()} | self._parts
+        if self._rels:
+            parts["word/_rels/document.xml.rels"] = _relationships(self._rels)
+        for name, data in (parts | {f"word/{kind}s.xml": _notes(kind, found) for kind, found in self._notes.items()} | self._more).items():
+            self._put(name, data)
+        self._zip.close()
+        return self._out.getvalue()
 
-def write_packages(stream: DataFrame, more: dict[str, str | bytes] | None = None) -> DataFrame:
-    """Rows (doc_id and columns of ROW) to packages (doc_id, content), one for each doc_id."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict({"doc_id": [batch["doc_id"][k].as_py()], "content": [of_stream(batch["rows"][k].as_py(), more)]})
+def _run(text: str | None, run: str = "") -> str:
+    return f'<w:r>{f"<w:rPr>{run}</w:rPr>" if run else ""}<w:t xml:space="preserve">{escape(text or "")}</w:t></w:r>'
 
-    names = [x.strip().split()[0] for x in ROW.split(", ")]
-    each = F.array_sort(F.collect_list(F.struct("pos", *(c for c in names[1:] if c in stream.columns)))).alias("rows")
-    return stream.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each).mapInArrow(rows, "doc_id string, content binary")
+
+def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> bytes:
+    """A package of rows as ROW says; more as for Writer."""
+    out = Writer(more)
+    for x in rows:
+        out.add(x)
+    return out.close()
+
+
+def write_packages(stream: DataFrame, more: dict[str, str | bytes] | None = None, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """Rows (doc_id and columns of ROW) to packages (doc_id, begin, content).
+
+    Rows come sorted and are packed as they come, so a task holds one packed
+    package. A document has one; where that would outgrow the limits on entries,
+    it goes on in another. begin is the number of rows, each an item, in those
+    before, and the readers count on from it.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, begin, n = None, None, 0, 0
+        made = lambda: pa.RecordBatch.from_pydict({"doc_id": pa.array([held], pa.string()), "begin": pa.array([begin], pa.int64()), "content": pa.array([out.close()], pa.binary())})
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                for x in batch.slice(k, 256).to_pylist():
+                    if out is not None and (x["doc_id"] != held or out.full(volume_bytes)):
+                        yield made()
+                        begin, n, out = (begin + n if x["doc_id"] == held else 0), 0, None
+                    if out is None:
+                        out, held = Writer(more), x["doc_id"]
+                    out.add(x)
+                    n += 1
+        if out is not None:
+            yield made()
+
+    names = [c for c in (x.strip().split()[0] for x in ROW.split(", ")) if c in stream.columns]
+    rows = dealt(stream.select(F.col("doc_id").cast("string").alias("doc_id"), *names), "doc_id")
+    return rows.sortWithinPartitions("doc_id", *names).mapInArrow(packed, "doc_id string, begin bigint, content binary")
