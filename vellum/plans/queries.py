@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks, elements, export, lists, numbering, styles, tables
 from ..sources import guards, package, writer
+from ..sources.dealing import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,7 +154,7 @@ def plain_text_docs(spark, sf_dir):
 def order_cells(spark, sf_dir):
     """Orders as tables, two lines a row; the return flag says which cells merge downwards."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(line) - 1)
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("k", F.row_number().over(line) - 1)
     merge = F.when(F.col("l_returnflag") == "R", "restart").when(F.col("l_returnflag") == "A", "continue")
     places = (F.floor(F.col("k") / 2).cast("int").alias("row"), (F.col("k") % 2).cast("int").alias("cell"))
     return rows.select(F.col("l_orderkey").alias("t"), *places, (1 + F.col("l_linenumber") % 2).cast("int").alias("grid_span"), merge.alias("v_merge"), F.col("l_linestatus").alias("text"))
