@@ -24,4 +24,5 @@ def test_tables_are_dealt_by_source(spark, monkeypatch):
     found = queries.table_spans(spark, "/root/testdata/sf0.001")
     want = -(-dealing.source_bytes(found) // dealing.PART_BYTES)
     assert found.rdd.getNumPartitions() == want > 4
-    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1, plan
