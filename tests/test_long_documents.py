@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import elements, styles
+from vellum.plans import package_queries
 from vellum.sources import guards, ooxml, package, writer
 
 N = 6000
@@ -79,3 +80,15 @@ def test_blocks():
     ooxml.check("p", b"<a><b>")
     with pytest.raises(guards.PackageError):
         ooxml.check("p", b"<a></b>")
+
+
+def test_described_at_once(spark, stream):
+    """What manifests, entries and counts say comes from one reading of each package."""
+    made = writer.write_packages(stream, volume_bytes=1 << 30)
+    rows = made.select("doc_id", "content").union(spark.createDataFrame([("no_zip", bytearray(b"x")), ("no_types", bytearray(writer.package({"word/document.xml": "<a/>"}, None)))], "doc_id string, content binary")).cache()
+    got = package.parse_packages(rows)
+    for entry, part in (("word/document.xml", "/word/document.xml"), ("word/footnotes.xml", "word/none.xml")):
+        want = package.counts(got).join(package.has_entry(rows, entry), "doc_id").join(package.has_part(got, part), "doc_id").join(package.default_for_extension(got, "xml"), "doc_id")
+        assert rows_of(package.described(got, entry, part, "xml").select(*want.columns)) == rows_of(want)
+    plan = package_queries.docx_parts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan

@@ -84,12 +84,8 @@ def docx_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What manifests, entries and counts say of packages with and without relationships."""
-    made = writer.write_packages(linked(spark, sf_dir))
-    found = package.parse_packages(made)
-    out = package.counts(found).select("doc_id", "n_items", "n_rels", "n_styles")
-    out = out.join(package.has_entry(made, "word/_rels/document.xml.rels").withColumnRenamed("has_entry", "has_rels"), "doc_id")
-    out = out.join(package.has_part(found, "/word/document.xml").withColumnRenamed("has_part", "has_main"), "doc_id")
-    return out.join(package.default_for_extension(found, "xml"), "doc_id")
+    found = package.described(parsed(linked(spark, sf_dir)), "word/_rels/document.xml.rels", "/word/document.xml", "xml")
+    return found.select("doc_id", "n_items", "n_rels", "n_styles", F.col("has_entry").alias("has_rels"), F.col("has_part").alias("has_main"), "content_type")
 
 
 def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
