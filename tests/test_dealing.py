@@ -26,3 +26,12 @@ def test_tables_are_dealt_by_source(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == want > 4
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_elements_are_dealt_by_source(spark, monkeypatch):
+    """Packages are written, and elements of them found, in partitions that grow with the source."""
+    monkeypatch.setattr(dealing, "PART_BYTES", 1 << 10)
+    found = queries.docx_roundtrip_chunks(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    want = -(-dealing.source_bytes(found) // dealing.PART_BYTES)
+    assert want > 4 and plan.count("RepartitionByExpression [doc_id#") == 2 and plan.count(f"], {want}") == 2, plan
