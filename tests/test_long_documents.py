@@ -1,5 +1,6 @@
 """Documents that become several pieces or packages, against the same ones in one."""
 
+import copy
 import math
 
 import pytest
@@ -92,3 +93,19 @@ def test_described_at_once(spark, stream):
         assert rows_of(package.described(got, entry, part, "xml").select(*want.columns)) == rows_of(want)
     plan = package_queries.docx_parts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_equal_parts_are_read_once(monkeypatch):
+    """Packages of one template share what is read from it; short bodies are read once, and nothing that was read before is changed."""
+    content = writer.of_stream([{"pos": k, "kind": "heading", "level": 1, "text": f"t{k}"} for k in range(9)])
+    monkeypatch.setattr(package, "_styles", package._shared(ooxml.styles))
+    fresh = list(package.parse_package("a", content))
+    kept = copy.deepcopy(fresh)
+    calls = []
+    real = ooxml.units_by_block
+    monkeypatch.setattr(ooxml, "units_by_block", lambda part, *a, **b: calls.append(part) or real(part, *a, **b))
+    again = list(package.parse_package("a", content))
+    assert calls == ["word/document.xml"] and again == kept == fresh
+    other = writer.package({"word/document.xml": writer.document(writer.paragraph("x")), "word/styles.xml": SHEET})
+    (row,) = package.parse_package("b", other)
+    assert [x["style_id"] for x in row["styles"]] == ["H0", "H1"] and [x["style_id"] for x in fresh[0]["styles"]] == [f"Heading{k}" for k in range(1, 10)]

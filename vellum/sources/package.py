@@ -9,11 +9,12 @@ an operator of their own, so that text queries do not read images.
 
 from __future__ import annotations
 
+import functools
 import io
 import math
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,17 @@ class Archive:
 
 #: Bytes of a main part whose items make one row.
 PIECE_BYTES = 4 * ooxml.BLOCK
+#: Parts of at most so many bytes are kept with what was read from them, the last few of a kind.
+SHARED_BYTES, SHARED = 1 << 16, 8
+
+
+def _shared(read: Callable) -> Callable:
+    """A reader that reads equal parts once, as documents of one template have them; nobody may change what it gives."""
+    kept = functools.lru_cache(SHARED)(read)
+    return lambda part, data: (kept if len(data) <= SHARED_BYTES else read)(part, data)
+
+
+_content_types, _styles, _numbering = map(_shared, (ooxml.content_types, ooxml.styles, ooxml.numbering))
 
 
 def _broken_chains(styles: list[dict]) -> bool:
@@ -142,7 +154,7 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
             raise PackageError("io", "", "no content")
         archive = Archive(content)
         row["entries"] = [x for x in archive.names if guards.safe_path(x)]
-        types = ooxml.content_types("[Content_Types].xml", archive.read("[Content_Types].xml"))
+        types = _content_types("[Content_Types].xml", archive.read("[Content_Types].xml"))
         row["content_types"] = types
         main = min((x["key"] for x in types if x["kind"] == "override" and x["content_type"] == ooxml.MAIN_TYPE), default=None)
         if main is None:
@@ -153,14 +165,18 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
         return
     optional = archive.optional
     known: dict = {}
+    short = None
     try:
-        ooxml.check(main, document)
+        if len(document) <= ooxml.BLOCK:
+            short = list(ooxml.body_pieces(main, document, "w:body"))
+        else:  # too long to be held while its faults are looked for
+            ooxml.check(main, document)
     except PackageError as e:
         yield row | {"element_error": e.row()}
         return
     try:
-        known["styles"], known["defaults"] = ooxml.styles("word/styles.xml", x) if (x := optional("word/styles.xml")) is not None else ([], None)
-        known["nums"], known["levels"] = ooxml.numbering("word/numbering.xml", x) if (x := optional("word/numbering.xml")) is not None else ([], [])
+        known["styles"], known["defaults"] = _styles("word/styles.xml", x) if (x := optional("word/styles.xml")) is not None else ([], None)
+        known["nums"], known["levels"] = _numbering("word/numbering.xml", x) if (x := optional("word/numbering.xml")) is not None else ([], [])
         known["notes"] = [n for kind in ("footnote", "endnote", "comment") if (x := optional(f"word/{kind}s.xml")) is not None for n in ooxml.notes(f"word/{kind}s.xml", x, kind)]
         known["rels"] = ooxml.relationships("word/_rels/document.xml.rels", x) if (x := optional("word/_rels/document.xml.rels")) is not None else []
         known["part_items"] = [
@@ -171,7 +187,7 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
         row["element_error"] = e.row()
     whole = row["element_error"] is not None or (len(document) > piece_bytes and _broken_chains(known["styles"]))
     first, held = 0, None
-    for items in ooxml.body_pieces(main, document, "w:body", math.inf if whole else piece_bytes):
+    for items in short if short is not None else ooxml.body_pieces(main, document, "w:body", math.inf if whole else piece_bytes):
         if held is not None:
             yield row | _needed(held, known) | {"content_types": None, "entries": None, "last": False, "first": first, "items": held}
             first += len(held)

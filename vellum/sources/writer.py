@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Iterator
@@ -32,11 +33,13 @@ def paragraph(text: str, properties: str = "") -> str:
     return f'<w:p>{inner}<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
 
 
+@functools.cache
 def heading_styles() -> str:
     each = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{k}"><w:name w:val="heading {k}"/><w:pPr><w:outlineLvl w:val="{k - 1}"/></w:pPr></w:style>' for k in range(1, 10))
     return f'<w:styles xmlns:w="{W}">{each}</w:styles>'
 
 
+@functools.cache
 def decimal_numbering() -> str:
     each = "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%{k + 1}."/></w:lvl>' for k in range(9))
     return f'<w:numbering xmlns:w="{W}"><w:abstractNum w:abstractNumId="0">{each}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
