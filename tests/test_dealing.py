@@ -35,3 +35,14 @@ def test_elements_are_dealt_by_source(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     want = -(-dealing.source_bytes(found) // dealing.PART_BYTES)
     assert want > 4 and plan.count("RepartitionByExpression [doc_id#") == 2 and plan.count(f"], {want}") == 2, plan
+
+
+def test_short_rows_are_not_merged(spark, tmp_path, monkeypatch):
+    """A source of less than a partition, whose many rows take few bytes, keeps Spark's number of partitions."""
+    path = str(tmp_path / "t")
+    spark.range(20000).select(F.lit("a").alias("x"), "id").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(dealing, "PART_BYTES", dealing.source_bytes(df) + 1)
+    assert dealing.dealt(df, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    monkeypatch.setattr(dealing, "PART_BYTES", 3 * dealing.source_bytes(df))
+    assert dealing.dealt(df, "id").rdd.getNumPartitions() == 1

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Bytes of source files for each partition; a few of them are left to Spark to deal.
+#: Bytes of source files for each partition; only sources of less than half a partition are left to Spark, which merges by
+#: the bytes shuffled: tables of short rows pack so well that a merged task would hold millions of them.
 PART_BYTES = 8 << 20
-FEW = 4
 _UNKNOWN = 1 << 56
 
 
@@ -19,7 +19,7 @@ def source_bytes(df: DataFrame) -> int:
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df with rows of equal keys in one partition; larger sources are dealt into more partitions, which are not merged again."""
-    parts = -(-source_bytes(df) // PART_BYTES)
-    if parts <= FEW:
+    size = source_bytes(df)
+    if size <= PART_BYTES // 2:
         return df.repartition(*keys)
-    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(max(-(-size // PART_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
