@@ -3,11 +3,12 @@
 import copy
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import elements, styles
-from vellum.plans import package_queries
+from vellum.plans import package_queries, queries
 from vellum.sources import guards, ooxml, package, writer
 
 N = 6000
@@ -50,6 +51,22 @@ def test_pieces_and_packages(stream):
         assert [x.item_ord for x in package.raw_body(got).where("doc_id = 'long'").orderBy("item_ord").collect()] == list(range(N))
 
 
+def test_written_and_parsed_by_one_worker(spark, stream):
+    """What one worker packs and parses is what two make of it; a package is parsed before the next is packed."""
+    for piece_bytes, volume_bytes in ((package.PIECE_BYTES, writer.VOLUME_BYTES), (ooxml.BLOCK, 100_000)):
+        got = package.write_and_parse(stream, {"word/styles.xml": SHEET}, piece_bytes, volume_bytes)
+        assert rows_of(got) == rows_of(read(stream, piece_bytes, volume_bytes))
+    for name in ("docx_roundtrip_elements", "docx_roundtrip_chunks", "docx_markdown"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1, plan
+    taken = []
+    row = {"pos": 0, "kind": "paragraph", "level": None}
+    batches = (taken.append(k) or pa.RecordBatch.from_pylist([row | {"doc_id": f"{k}{n}", "text": "x" * 300_000} for n in range(9)]) for k in range(9))
+    parsed = package._parse_rows(package._arrow(package.PARSED), package.PIECE_BYTES, writer.packer())(batches)
+    assert next(parsed).num_rows and len(taken) < 9
+    assert sum(x.num_rows for x in parsed) and len(taken) == 9
+
+
 def test_rows_are_bounded(stream):
     """No row holds a long document; lookups come with the items that need them, and once for the package."""
     got = read(stream, package.PIECE_BYTES).cache()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, elements, export, lists, numbering, styles, tables
-from ..sources import guards, package, writer
+from ..sources import guards, package
 from ..sources.dealing import dealt
 
 
@@ -214,7 +214,7 @@ def zip_guards(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return package.parse_packages(writer.write_packages(stream(spark, sf_dir)))
+    return package.write_and_parse(stream(spark, sf_dir))
 
 
 def docx_roundtrip_elements(spark, sf_dir):

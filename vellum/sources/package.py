@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import guards, ooxml
+from . import guards, ooxml, writer
 from .guards import PackageError
 
 RPR = "struct<bold:boolean,italic:boolean,underline:boolean,strikethrough:boolean,font_size_half_points:bigint,color:string,highlight:string,vertical_align:string>"
@@ -55,7 +55,7 @@ class Archive:
             raise PackageError("zip", "", str(e)) from None
         self.names = [x.filename for x in self._zip.infolist() if not x.is_dir()]
         guards.check_count(len(self._zip.infolist()))
-        self._total = 0
+        self.total = 0
 
     def info(self, name: str) -> zipfile.ZipInfo:
         guards.check_path(name)
@@ -66,7 +66,7 @@ class Archive:
 
     def read(self, name: str) -> bytes:
         x = self.info(name)
-        guards.check_entry(name, x.file_size, x.compress_size, self._total)
+        guards.check_entry(name, x.file_size, x.compress_size, self.total)
         try:
             with self._zip.open(x) as f:
                 data = f.read(x.file_size + 1)
@@ -76,7 +76,7 @@ class Archive:
             raise PackageError("zip", name, str(e)) from None
         if len(data) > x.file_size:
             raise PackageError("zip_bomb", name, "longer than declared")
-        self._total += len(data)
+        self.total += len(data)
         return data
 
     def optional(self, name: str) -> bytes | None:
@@ -148,6 +148,12 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
     begin is the number of items in the document's packages before, first that in the pieces before. A package with a style
     chain that fails is one row: its items fail together.
     """
+    return (row for _, row in _sized_rows(doc_id, content, begin, piece_bytes))
+
+
+def _sized_rows(doc_id: str | None, content: bytes | None, begin: int, piece_bytes: float) -> Iterator[tuple[int, dict]]:
+    """The rows with about the bytes that each was read from: those of the package, whose names of entries it has, and of XML as unpacked."""
+    packed = 1024 + len(content or b"")
     row: dict = {"doc_id": doc_id, "begin": begin, "first": 0, "last": True, "open_error": None, "element_error": None}
     try:
         if content is None:
@@ -161,7 +167,7 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
             raise PackageError("missing_part", "word/document.xml", "no main document part is declared")
         document = archive.read(main)
     except PackageError as e:
-        yield row | {"open_error": e.row()}
+        yield packed, row | {"open_error": e.row()}
         return
     optional = archive.optional
     known: dict = {}
@@ -172,7 +178,7 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
         else:  # too long to be held while its faults are looked for
             ooxml.check(main, document)
     except PackageError as e:
-        yield row | {"element_error": e.row()}
+        yield packed, row | {"element_error": e.row()}
         return
     try:
         known["styles"], known["defaults"] = _styles("word/styles.xml", x) if (x := optional("word/styles.xml")) is not None else ([], None)
@@ -186,13 +192,13 @@ def parse_package(doc_id: str | None, content: bytes | None, begin: int = 0, pie
     except PackageError as e:
         row["element_error"] = e.row()
     whole = row["element_error"] is not None or (len(document) > piece_bytes and _broken_chains(known["styles"]))
-    first, held = 0, None
-    for items in short if short is not None else ooxml.body_pieces(main, document, "w:body", math.inf if whole else piece_bytes):
+    first, held, most = 0, None, math.inf if whole else piece_bytes
+    for items in short if short is not None else ooxml.body_pieces(main, document, "w:body", most):
         if held is not None:
-            yield row | _needed(held, known) | {"content_types": None, "entries": None, "last": False, "first": first, "items": held}
+            yield int(most), row | _needed(held, known) | {"content_types": None, "entries": None, "last": False, "first": first, "items": held}
             first += len(held)
         held = items
-    yield row | known | {"first": first, "items": held or []}
+    yield packed + archive.total - len(document) + int(min(len(document), most)), row | known | {"first": first, "items": held or []}
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -224,11 +230,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(x.as_py() for x in row)
 
 
-def _parse_rows(schema: pa.Schema, piece_bytes: float):
+def _parse_rows(schema: pa.Schema, piece_bytes: float, contents: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]] = _contents):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # XML is many times the size of the package it was packed into, up to that of a piece
-        parsed = ((min(16 * len(content or b""), PIECE_BYTES), row) for doc_id, content, begin in _contents(batches) for row in parse_package(doc_id, content, begin, piece_bytes))
-        yield from _in_batches(parsed, schema)
+        yield from _in_batches((x for doc_id, content, begin in contents(batches) for x in _sized_rows(doc_id, content, begin, piece_bytes)), schema)
 
     return rows
 
@@ -254,6 +258,14 @@ def parse_packages(source: DataFrame, mode: str = "PERMISSIVE", piece_bytes: flo
     return parsed
 
 
+def write_and_parse(stream: DataFrame, more: dict[str, str | bytes] | None = None, piece_bytes: float = PIECE_BYTES, volume_bytes: int = writer.VOLUME_BYTES) -> DataFrame:
+    """The staging columns of writer.write_packages' packages; the worker that packed one parses it before it packs the next.
+
+    So a core runs one worker, and no packages go to the JVM and back.
+    """
+    return writer.in_order(stream).mapInArrow(_parse_rows(_arrow(PARSED), piece_bytes, writer.packer(more, volume_bytes)), PARSED)
+
+
 def _package_parts(doc_id: str | None, content: bytes | None, wanted: re.Pattern, with_bytes: bool, whole: bool) -> Iterator[tuple[int, dict]]:
     row = {"doc_id": doc_id, "part_name": None, "size": None, "compressed_size": None, "bytes": None, "error": None}
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
@@ -219,31 +219,47 @@ def of_stream(rows: list[dict], more: dict[str, str | bytes] | None = None) -> b
     return out.close()
 
 
-def write_packages(stream: DataFrame, more: dict[str, str | bytes] | None = None, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
-    """Rows (doc_id and columns of ROW) to packages (doc_id, begin, content).
+def in_order(stream: DataFrame) -> DataFrame:
+    """Rows (doc_id and columns of ROW) as the packer takes them: dealt by document and sorted."""
+    names = [c for c in (x.strip().split()[0] for x in ROW.split(", ")) if c in stream.columns]
+    rows = dealt(stream.select(F.col("doc_id").cast("string").alias("doc_id"), *names), "doc_id")
+    return rows.sortWithinPartitions("doc_id", *names)
 
-    Rows come sorted and are packed as they come, so a task holds one packed
-    package. A document has one; where that would outgrow the limits on entries,
-    it goes on in another. begin is the number of rows, each an item, in those
-    before, and the readers count on from it.
-    """
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packer(more: dict[str, str | bytes] | None = None, volume_bytes: int = VOLUME_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """Makes sorted rows packages (doc_id, content, begin), one at a time."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         out, held, begin, n = None, None, 0, 0
-        made = lambda: pa.RecordBatch.from_pydict({"doc_id": pa.array([held], pa.string()), "begin": pa.array([begin], pa.int64()), "content": pa.array([out.close()], pa.binary())})
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 for x in batch.slice(k, 256).to_pylist():
                     if out is not None and (x["doc_id"] != held or out.full(volume_bytes)):
-                        yield made()
-                        begin, n, out = (begin + n if x["doc_id"] == held else 0), 0, None
+                        content, out = out.close(), None
+                        yield held, content, begin
+                        begin, n = (begin + n if x["doc_id"] == held else 0), 0
                     if out is None:
                         out, held = Writer(more), x["doc_id"]
                     out.add(x)
                     n += 1
         if out is not None:
-            yield made()
+            yield held, out.close(), begin
 
-    names = [c for c in (x.strip().split()[0] for x in ROW.split(", ")) if c in stream.columns]
-    rows = dealt(stream.select(F.col("doc_id").cast("string").alias("doc_id"), *names), "doc_id")
-    return rows.sortWithinPartitions("doc_id", *names).mapInArrow(packed, "doc_id string, begin bigint, content binary")
+    return packed
+
+
+def write_packages(stream: DataFrame, more: dict[str, str | bytes] | None = None, volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """Rows (doc_id and columns of ROW) to packages (doc_id, begin, content).
+
+    Rows come sorted and are packed as they come, so a task holds one packed
+    package. A document has one; where that would outgrow the limits on entries,
+    it goes on in another. begin is the number of rows, each an item, in those
+    before, and the readers count on from it.
+    """
+    packed = packer(more, volume_bytes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, content, begin in packed(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.string()), "begin": pa.array([begin], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    return in_order(stream).mapInArrow(rows, "doc_id string, begin bigint, content binary")
