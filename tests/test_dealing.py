@@ -37,6 +37,14 @@ def test_elements_are_dealt_by_source(spark, monkeypatch):
     assert want > 4 and plan.count("RepartitionByExpression [doc_id#") == 2 and plan.count(f"], {want}") == 2, plan
 
 
+def test_elements_and_chunks_share_sorts(spark):
+    """A task's memory is that of its sorts: one packs, one counts lists, one places elements, one cuts chunks; fragments count without another."""
+    sorts = lambda found: found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count(" Sort [")
+    assert sorts(queries.docx_roundtrip_elements(spark, "/root/testdata/sf0.001")) == 3
+    assert sorts(queries.docx_roundtrip_chunks(spark, "/root/testdata/sf0.001")) == 4
+    assert sorts(queries.rag_chunks_small(spark, "/root/testdata/sf0.001")) == 1  # list indexes are not asked for
+
+
 def test_short_rows_are_not_merged(spark, tmp_path, monkeypatch):
     """A source of less than a partition, whose many rows take few bytes, keeps Spark's number of partitions."""
     path = str(tmp_path / "t")

@@ -71,13 +71,17 @@ def rag_chunks(elements: DataFrame, max_tokens: int = MAX_TOKENS, profile: str =
     budget is split at sentences. Headings are never split.
     """
     rows = chunk_rows(apply_profile(elements, profile), max_tokens)
+    # an oversized element is alone in its group; chunks before a group are its number and what such elements have beyond one
+    rows = rows.withColumn("pieces", F.when(F.col("over"), pack_sentences(split_sentences(F.col("text")), max_tokens)))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("more", F.coalesce(F.sum(F.when(F.col("over"), F.size("pieces") - 1)).over(before), F.lit(0)))
+    rows = rows.withColumn("text", F.when(F.col("over"), F.lit(None)).otherwise(F.col("text")))  # its pieces stand for it
     parts = F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "source_pos", "stack")))
-    groups = rows.groupBy("doc_id", "grp").agg(parts.alias("p"), F.max("over").alias("over"))
+    groups = rows.groupBy("doc_id", "grp").agg(parts.alias("p"), F.max("over").alias("over"), F.max("more").alias("more"), F.first("pieces", ignorenulls=True).alias("pieces"))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
-    # an oversized element is alone in its group: its fragments come from the same row
-    fragments = F.when(F.col("over"), pack_sentences(split_sentences(F.col("p")[0]["text"]), max_tokens)).otherwise(F.array(text))
-    pieces = groups.select("doc_id", "grp", "p", "over", F.posexplode(fragments).alias("k", "text"))
-    pieces = pieces.withColumn("chunk_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("grp", "k")) - 1).cast("int"))
+    fragments = F.when(F.col("over"), F.col("pieces")).otherwise(F.array(text))
+    pieces = groups.select("doc_id", "grp", "more", "p", "over", F.posexplode(fragments).alias("k", "text"))
+    pieces = pieces.withColumn("chunk_id", (F.col("grp") + F.col("more") + F.col("k")).cast("int"))
     return pieces.select(
         "doc_id", "chunk_id", "text", F.transform("p", lambda x: x["pos"]).alias("paragraph_indices"), F.transform("p", lambda x: x["kind"]).alias("element_types"),
         F.get("p", F.size("p") - 1)["stack"].alias("heading_context"), estimate_tokens(F.col("text")).alias("token_estimate"), F.col("over").alias("is_oversized"), F.transform("p", lambda x: x["source_pos"]).alias("source_positions"),

@@ -7,6 +7,8 @@ move no data. What is left are ordered scans under one partitioning by document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,12 +141,13 @@ def style_errors(parsed: DataFrame) -> DataFrame:
     return resolved_items(parsed).select("doc_id", _style_error(F.col("items")).alias("kind")).where("kind IS NOT NULL")
 
 
-def classify(items: DataFrame) -> DataFrame:
+def classify(items: DataFrame, order: Sequence[str] = ("scope", "at")) -> DataFrame:
     """Rows (doc_id, scope, at, kind, text, list, heading, links) to elements' columns.
 
     Numbering comes before headings, so a numbered heading is a list item. A
     paragraph carries the last heading before it; a list item and a table do
-    not, and do not end it.
+    not, and do not end it. The order is one of a document's rows in which those
+    of a scope stand by at; only the body's, of scope "", may have others between.
     """
     scope = ["doc_id", "scope"]
     kind = F.when(F.col("kind") != "paragraph", F.col("kind"))
@@ -152,8 +155,11 @@ def classify(items: DataFrame) -> DataFrame:
     rows = items.withColumn("kind", kind)
     rows = rows.select("*", "list.num_id", "list.ilvl", "list.start", "list.num_fmt").withColumn("list_type", F.when(F.col("kind") == "list_item", list_type(F.col("num_fmt"))))
     rows = numbering.list_indexes(rows, scope, ["at"])
-    before = Window.partitionBy(*scope).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.col("kind") == "heading", F.struct(F.col("heading").alias("level"), "text")), ignorenulls=True).over(before)
+    before = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    of_body = F.col("scope") == ""
+    last = lambda here: F.last(F.when((F.col("kind") == "heading") & here, F.struct("scope", F.col("heading").alias("level"), "text")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_heading", F.when(of_body, last(of_body)).otherwise(last(~of_body)))
+    heading = F.when(F.col("_heading.scope") == F.col("scope"), F.struct("_heading.level", "_heading.text"))
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     return rows.select(
         "*",
@@ -162,20 +168,22 @@ def classify(items: DataFrame) -> DataFrame:
         F.when(is_("paragraph"), F.col("links")).alias("_links"),
         F.when(is_("list_item"), F.col("display_index")).alias("_index"),
         F.when(is_("list_item"), F.col("num_fmt")).alias("_fmt"),
-    ).drop("links", "display_index", "num_fmt").withColumnsRenamed({"_links": "links", "_index": "display_index", "_fmt": "num_fmt"})
+    ).drop("links", "display_index", "num_fmt", "_heading").withColumnsRenamed({"_links": "links", "_index": "display_index", "_fmt": "num_fmt"})
 
 
 def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_targets: bool = False) -> DataFrame:
     """The element stream of parsed packages, ordered by (doc_id, pos).
 
     Rows are dealt by document once; every window below is within a document,
-    so nothing else is shuffled, and parsed is read once.
+    so nothing else is shuffled, and parsed is read once. But for list indexes,
+    the windows share one sort, by place: a task holds its rows in few sorts.
     """
     good = parsed.where("open_error IS NULL AND element_error IS NULL")
     # in one expression, so that the items are resolved once
     sound = let(_resolved(_placed(normalise_targets), honor_start_override), lambda x: F.when(_style_error(x).isNull(), x))
     rows = dealt(good.select("doc_id", F.inline(sound)), "doc_id")
-    found = classify(rows.select("*", "style.list", "style.heading").drop("style"))
+    place = ["host", "class", "ref", "at"]
+    found = classify(rows.select("*", "style.list", "style.heading").drop("style"), place)
 
     none = {"note_id": "bigint", "author": "string", "url": "string", "level": "int", "list_type": "string", "num_fmt": "string", "display_index": "bigint"}
     none |= {"parent_heading": "struct<level:int,text:string>", "links": LINKS, "rows": ROWS}
@@ -188,17 +196,20 @@ def elements(parsed: DataFrame, honor_start_override: bool = False, normalise_ta
     own |= {"text": F.when(F.col("kind") != "table", F.col("text")), "rows": F.col("rows").cast(ROWS)}
     note = lambda n, k: leaf(k + 1, {"kind": n["kind"], "text": n["n"]["text"], "note_id": n["note_id"], "author": n["n"]["author"]})
     each = F.concat(F.array(leaf(F.lit(0), own)), F.transform(F.coalesce("notes", F.array()), note))
-    flat = found.select("doc_id", "host", "class", "ref", "slot", "at", F.inline(each))
+    found = found.withColumn("_each", each)
 
     # a section's head row takes up the rows of its part, in order
-    order = ["host", "class", "ref", "at", "sub"]
-    section = Window.partitionBy("doc_id", "host", "class", "ref").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    is_part = F.col("class") > 0
-    content = F.collect_list(F.when(is_part & (F.col("at") >= 0), F.struct(*_LEAF_NAMES))).over(section)
-    flat = flat.withColumn("content", F.when(is_part, content).cast(CONTENT)).where("class = 0 OR at < 0")
+    section = Window.partitionBy("doc_id", *place[:-1]).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_part, is_head = F.col("class") > 0, F.col("at") < 0
+    leaves = F.transform("_each", lambda x: F.struct(*(x[c].alias(c) for c in _LEAF_NAMES)))
+    content = F.flatten(F.collect_list(F.when(is_part & ~is_head, leaves)).over(section))
+    # places count the rows before and their notes, so they are known before the rows are made
+    before = Window.partitionBy("doc_id").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.when(~is_part | is_head, F.size("_each")).otherwise(0)).over(before), F.lit(0))
+    found = found.withColumn("_first", first).withColumn("content", F.when(is_part, content).cast(CONTENT)).where(~is_part | is_head)
+    flat = found.select("doc_id", "class", "slot", "_first", "content", F.inline("_each"))
     kind = F.when(F.col("class") == 1, "header").when(F.col("class") == 2, "footer").otherwise(F.col("kind"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    return flat.withColumn("kind", kind).withColumn("pos", pos.cast("int")).select(*COLUMNS)
+    return flat.withColumn("kind", kind).withColumn("pos", (F.col("_first") + F.col("sub")).cast("int")).select(*COLUMNS)
 
 
 def links(parsed: DataFrame) -> DataFrame:

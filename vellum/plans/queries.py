@@ -50,7 +50,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast(elements.LINKS).alias("links"),
     )
     known = ("kind", "text", "level", "parent_heading", "links", "list_type", "num_fmt", "display_index")
-    return elements.classify(rows).select("doc_id", F.col("at").alias("pos"), *known, *nulls(rows=elements.ROWS, note_id="bigint", author="string", url="string"))
+    return elements.classify(rows, ["at"]).select("doc_id", F.col("at").alias("pos"), *known, *nulls(rows=elements.ROWS, note_id="bigint", author="string", url="string"))
 
 
 def with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
